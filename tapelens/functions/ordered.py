@@ -65,7 +65,10 @@ def split_fill(
     df: DataFrame, keys: list[str], order: list[Column], cell: Column, value: Column, out: str,
     forward: bool = False, inclusive: bool = True,
 ) -> DataFrame:
-    """Last non-null `value` at or before each row (``forward``: first at or after it)."""
+    """Last non-null `value` at or before each row (``forward``: first at or after it).
+
+    `order` holds plain ascending columns.
+    """
     d = df.withColumn(CELL, cell).withColumn("__v", value)
     marked = d.filter(F.col("__v").isNotNull())
     position = F.struct(*[F.col(f"__o{i}") for i in range(len(order))])

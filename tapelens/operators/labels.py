@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelens.functions.columns import attribution_state
+from tapelens.session import cut
 
 COLLAPSE_FRAC, MOON_MULTIPLE, MIN_TRADES_AT_PEAK, MAX_MULTIPLE = 0.5, 10.0, 3, 1000.0
 LAG_S, FILL_S, SUSTAIN, TAKE_PROFIT, DEADLINE_S, FEE = 5, 15, 3, 0.20, 600, 0.015
@@ -85,8 +86,9 @@ def follow_returns(post: DataFrame, team: DataFrame, min_prints: int = 30) -> Da
         post.filter("side = 'buy'").select("token_mint", F.col("signer").alias("wallet"), "ts", "tx_signature")
         .join(team.select("token_mint", "wallet"), ["token_mint", "wallet"], "left_semi")
         .join(dense, "token_mint", "left_semi"))
-    fills = fill_prices(prints, buys.select("token_mint", (F.col("ts") + LAG_S).alias("t")).union(
-        buys.select("token_mint", (F.col("ts") + LAG_S + DEADLINE_S).alias("t"))).distinct())
+    buys = cut(buys)
+    fills = cut(fill_prices(prints, buys.select("token_mint", (F.col("ts") + LAG_S).alias("t")).union(
+        buys.select("token_mint", (F.col("ts") + LAG_S + DEADLINE_S).alias("t"))).distinct()))
     entry = fills.select("token_mint", F.col("t").alias("t_in"), F.col("fill").alias("entry"))
     leave = fills.select("token_mint", F.col("t").alias("t_out"), F.col("fill").alias("exit_px"))
     b = (buys.withColumn("t_in", F.col("ts") + LAG_S).withColumn("t_out", F.col("ts") + LAG_S + DEADLINE_S)
@@ -122,7 +124,7 @@ def fill_prices(prints: DataFrame, asks: DataFrame) -> DataFrame:
     opening = prints.groupBy("token_mint", "ts").agg(F.min("price_usd").alias("px"))
     marks = asks.select("token_mint", F.col("t").alias("ts"), F.lit(None).cast("double").alias("px"), F.lit(True).alias("ask"))
     line = opening.withColumn("ask", F.lit(False)).unionByName(marks)
-    ahead = split_fill(line, ["token_mint"], [F.col("ts"), F.col("ask").cast("int").desc()],
+    ahead = split_fill(line, ["token_mint"], [F.col("ts"), (~F.col("ask")).cast("int")],
                        time_cell("ts", 600), F.col("px"), "next_px", forward=True).filter("ask")
     return (
         ahead.select("token_mint", F.col("ts").alias("t"), "next_px").join(near, ["token_mint", "t"], "left")

@@ -322,7 +322,7 @@ cte("t_gated", "SELECT * FROM t_traj WHERE first_ts - graduated_at BETWEEN 0 AND
 
 @query("label_heads", "e", "SELECT * FROM t_heads")
 def _(t):
-    return labels.label_heads(labels.anchor_gated(labels.trajectory(t.post, t.team)))
+    return labels.label_heads(labels.anchor_gated(t.trajectory))
 
 
 @query("outcome_labels", sql="SELECT token_mint, check_offset_h, price, price_change_pct, classified FROM t_outcomes")
@@ -383,7 +383,7 @@ FROM t_traj t LEFT JOIN t_team_clusters USING (token_mint) LEFT JOIN (
 
 
 def attribution(t):
-    return labels.attribution(labels.trajectory(t.post, t.team), t.team_clusters, t.team, t.buyers, t.post)
+    return labels.attribution(t.trajectory, t.team_clusters, t.team, t.buyers, t.post)
 
 
 @query("attribution_state", sql="SELECT * FROM t_attribution")
@@ -470,6 +470,6 @@ def _(t):
 SELECT f.token_mint, n_trades, n_buyers, gini_buy_size, sol_in, sol_out, peak_multiple, time_to_collapse_s, reached_10x, time_to_team_exit_s
 FROM t_flow f JOIN t_traj USING (token_mint)""")
 def _(t):
-    return flow.bc_flow(t.bc).join(labels.trajectory(t.post, t.team), "token_mint").select(
+    return flow.bc_flow(t.bc).join(t.trajectory, "token_mint").select(
         "token_mint", "n_trades", "n_buyers", "gini_buy_size", "sol_in", "sol_out", "peak_multiple",
         "time_to_collapse_s", "reached_10x", "time_to_team_exit_s")

@@ -8,11 +8,15 @@ aggregation or join, so Catalyst prunes columns and pushes filters to the scans.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapelens.session import ensure_checkpoint_dir
+
 ANCHOR_DELAY = {"t": 200, "e": 500}
 HOUR_S = 100          # tape seconds that stand for one hour of outcome checks
 TOP_HOLDERS = 20
@@ -26,7 +30,47 @@ def exact_sum(col, digits: int | None = None) -> F.Column:
     return (total if digits is None else F.round(total, digits)).cast("double")
 
 
+_WRITTEN: set[str] = set()
+
+
+class Stored:
+    """A canonical table written once per application to the shared folder, then read back.
+
+    Every query of a run shares the written table instead of deriving it again, readers
+    see real file sizes (so only small sides are broadcast), and a lost executor costs
+    one re-read rather than the whole lineage.
+    """
+
+    def __init__(self, fn: Callable, partition_by: str | None = None):
+        self.fn, self.partition_by, self.__doc__ = fn, partition_by, fn.__doc__
+
+    def __set_name__(self, owner, name):
+        self.name = name
+
+    def __get__(self, obj, owner=None):
+        if obj is None:
+            return self
+        df = obj.store(self.name, lambda: self.fn(obj), self.partition_by)
+        obj.__dict__[self.name] = df
+        return df
+
+
+def stored(fn=None, *, partition_by: str | None = None):
+    return Stored(fn, partition_by) if fn else (lambda f: Stored(f, partition_by))
+
+
 class Tables:
+    def store(self, name: str, make: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+        base = ensure_checkpoint_dir(self.spark)
+        app = self.spark.sparkContext.applicationId
+        source = hashlib.md5(self.folder.encode()).hexdigest()[:12]
+        path = f"{base}/tables/{app}/{source}/{self.tape}/{name}"
+        if path not in _WRITTEN:
+            writer = make().write.mode("overwrite")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+            _WRITTEN.add(path)
+        return self.spark.read.parquet(path)
+
     def __init__(self, spark: SparkSession, folder: str, tape: str = "t"):
         self.spark, self.folder, self.tape = spark, folder, tape
 
@@ -82,27 +126,28 @@ class Tables:
         )
 
     # ── anchor and phases ────────────────────────────────────────────────────
-    @cached_property
+    @stored
     def coins(self) -> DataFrame:
         return self.swaps.groupBy("token_mint").agg(
             F.min("ts").alias("created_at"),
             (F.min("ts") + ANCHOR_DELAY[self.tape]).alias("graduated_at"))
 
-    @cached_property
+    @stored(partition_by="phase")
     def phased(self) -> DataFrame:
         """Every swap with its coin's anchor; one equi join, skew split by AQE."""
-        return self.swaps.join(self.coins, "token_mint")
+        phase = F.when(F.col("ts") < F.col("graduated_at"), "bc").otherwise("post")
+        return self.swaps.join(self.coins, "token_mint").withColumn("phase", phase)
 
     @cached_property
     def bc(self) -> DataFrame:
-        return self.phased.filter(F.col("ts") < F.col("graduated_at"))
+        return self.phased.filter("phase = 'bc'").drop("phase")
 
     @cached_property
     def post(self) -> DataFrame:
-        return self.phased.filter(F.col("ts") >= F.col("graduated_at"))
+        return self.phased.filter("phase = 'post'").drop("phase")
 
     # ── holders and team ─────────────────────────────────────────────────────
-    @cached_property
+    @stored
     def balances(self) -> DataFrame:
         signed = F.when(F.col("side") == "buy", F.col("token_amount")).otherwise(-F.col("token_amount"))
         return (
@@ -115,7 +160,7 @@ class Tables:
     def supply(self) -> DataFrame:
         return self.balances.groupBy("token_mint").agg(exact_sum("amount").alias("total_supply"))
 
-    @cached_property
+    @stored
     def holders(self) -> DataFrame:
         """Top holders per coin with their share; the rank filter limits before the shuffle."""
         w = Window.partitionBy("token_mint").orderBy(F.desc("amount"), F.asc("wallet"))
@@ -126,7 +171,7 @@ class Tables:
             .withColumn("pct", F.round(F.col("amount") / F.col("total_supply") * 100, 2))
         )
 
-    @cached_property
+    @stored
     def buyers(self) -> DataFrame:
         return (
             self.bc.filter("side = 'buy'")
@@ -135,13 +180,13 @@ class Tables:
                  exact_sum("token_amount").alias("tokens_received"))
         )
 
-    @cached_property
+    @stored
     def team(self) -> DataFrame:
         """Gate without optional evidence: top holders that also bought before the anchor."""
         return self.holders.select("token_mint", "wallet", "pct", "amount", "rank").join(
             self.buyers.select("token_mint", "wallet", "bought_at"), ["token_mint", "wallet"], "left_semi")
 
-    @cached_property
+    @stored
     def team_clusters(self) -> DataFrame:
         firsts = self.buyers.groupBy("token_mint").agg(F.min("bought_at").alias("launch_ts"))
         members = self.team.join(self.buyers.select("token_mint", "wallet", "bought_at"), ["token_mint", "wallet"])
@@ -157,7 +202,7 @@ class Tables:
         )
 
     # ── wallets, tokens, funding ─────────────────────────────────────────────
-    @cached_property
+    @stored
     def funding(self) -> DataFrame:
         orders = self.raw("orders").groupBy("o_custkey").agg(
             F.min(F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))).cast("long").alias("first_seen"),
@@ -180,7 +225,7 @@ class Tables:
         return self.raw("customer").filter("c_custkey % 100 = 0").select(
             F.col("c_custkey").cast("string").alias("wallet"))
 
-    @cached_property
+    @stored
     def creators(self) -> DataFrame:
         uses = self.raw("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
         top = uses.groupBy("l_partkey").agg(
@@ -202,14 +247,14 @@ class Tables:
         return p.join(self.creators, "token_mint").join(self.coins, "token_mint")
 
     # ── labels ───────────────────────────────────────────────────────────────
-    @cached_property
+    @stored
     def first_prices(self) -> DataFrame:
         return self.post.groupBy("token_mint").agg(
             F.min_by("price_usd", F.struct("ts", "price_usd")).alias("first_price"),
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.count("*").alias("n_price_points"), F.first("graduated_at").alias("graduated_at"))
 
-    @cached_property
+    @stored
     def outcomes(self) -> DataFrame:
         """Cap ratio label at +1/+4/+24 checks: last print at or before each check."""
         from tapelens.functions.columns import outcome_label
@@ -227,7 +272,13 @@ class Tables:
             "token_mint", "check_offset_h", "price", "launch_price",
             ((ratio - 1) * 100).alias("price_change_pct"), outcome_label(ratio).alias("classified"))
 
-    @cached_property
+    @stored
+    def trajectory(self) -> DataFrame:
+        from tapelens.operators.labels import trajectory
+
+        return trajectory(self.post, self.team)
+
+    @stored
     def coin_funder(self) -> DataFrame:
         """Most common non-exchange funder among the team of a coin (tie: smallest name)."""
         votes = (
