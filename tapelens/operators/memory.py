@@ -160,7 +160,7 @@ def structural_match(clusters: DataFrame, prints: DataFrame, min_rug: float = 0.
         known = known.withColumn(f"c{i}", F.explode(F.array(c - 1, c, c + 1)))
         new = new.withColumn(f"c{i}", F.floor(F.col(f"x{i}") / limit))
     d2 = sum((F.pow(F.col(f"x{i}") - F.col(f"k{i}"), 2) for i in range(1, 4)), F.pow(F.col("x0") - F.col("k0"), 2))
-    j = new.join(known, ["c0", "c1", "c3"]).withColumn("distance", F.round(F.sqrt(d2), 4)).filter(F.col("distance") <= limit)
+    j = new.join(known, ["c0", "c1", "c3"]).withColumn("distance", F.round(F.sqrt(d2), 6)).filter(F.col("distance") <= limit)
     best = j.groupBy("token_mint").agg(F.min_by(F.struct("funder", "distance", "rug_rate", "sample_count"), F.struct("distance", "funder")).alias("m"))
     return best.select("token_mint", F.col("m.funder").alias("matched_funder"), "m.distance", F.col("m.rug_rate").alias("match_rug_rate"),
                        F.col("m.sample_count").alias("match_n"))
