@@ -20,9 +20,10 @@ def time_cell(ts: str | Column, width: int = 60) -> Column:
 
 
 def magnitude_cell(x: str | Column, steps: int = 64) -> Column:
-    """Monotone log bucket for non-negative numbers (zero and below share the first cell)."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.when(c > 0, F.floor(F.log2(c) * steps)).otherwise(F.lit(-(2**40)))
+    """Monotone log bucket of a number; negative numbers mirror the positive ones below zero."""
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return (F.when(c > 0, F.floor(F.log2(c) * steps))
+            .when(c < 0, -F.floor(F.log2(-c) * steps) - 2**21).otherwise(F.lit(-(2**20))))
 
 
 def split_row_number(
