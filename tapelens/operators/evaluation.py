@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelens.functions.ordered import magnitude_cell, split_fill, split_row_number, split_running_sum, time_cell
-from tapelens.sources.tables import exact_sum
+from tapelens.session import cut
 
 DEC = "decimal(38,12)"
 
@@ -111,10 +111,10 @@ def psi(ref: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 10
     grid = edges.join(enough.select(feature), feature, "left_semi").filter(F.size("e") >= 3).select(
         feature, F.explode(F.sequence(F.lit(1), F.size("e") - 1)).alias("b"))
     j = grid.join(counts(ref, "r"), [feature, "b"], "left").join(counts(cur, "c"), [feature, "b"], "left").fillna(0, ["r", "c"])
-    tot = j.groupBy(feature).agg(F.sum("r").alias("R"), F.sum("c").alias("C"))
+    tot = j.groupBy(feature).agg(F.sum("r").alias("r_all"), F.sum("c").alias("c_all"))
     j = j.join(tot, feature)
     share = lambda a, b: F.greatest(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(1e-4))
-    r, c = share("r", "R"), share("c", "C")
+    r, c = share("r", "r_all"), share("c", "c_all")
     return j.groupBy(feature).agg(F.round(_dsum((c - r) * F.ln(c / r)), 6).alias("psi"))
 
 
@@ -232,8 +232,9 @@ def partial_spearman(df: DataFrame, features: list[str], target: str, control: s
         h = split_running_sum(h, ["feature"], [F.col("v")], magnitude_cell("v"), F.col("k"), "cum")
         r = h.select("feature", F.col("v").alias(col), (F.col("cum") - F.col("k") + (F.col("k") + 1) / 2).alias(out))
         return d.join(r, ["feature", col])
+    long = cut(long)     # each ranking reads its input twice
     for col, out in (("__x", "rx"), ("__y", "ry"), ("__c", "rc")):
-        long = ranked(long, col, out)
+        long = cut(ranked(long, col, out))
     fit = long.groupBy("feature").agg(
         F.regr_slope("rx", "rc").alias("sx"), F.regr_intercept("rx", "rc").alias("ix"), F.regr_slope("ry", "rc").alias("sy"),
         F.regr_intercept("ry", "rc").alias("iy"), F.corr("rx", "ry").alias("rho"), F.stddev_pop("rx").alias("sd"), F.count("*").alias("n"))
@@ -241,8 +242,8 @@ def partial_spearman(df: DataFrame, features: list[str], target: str, control: s
     # Rounding merges residuals that differ only by floating error before they are ranked.
     j = j.withColumn("ex", F.round(F.col("rx") - F.col("sx") * F.col("rc") - F.col("ix"), 6) + 0.0).withColumn(
         "ey", F.round(F.col("ry") - F.col("sy") * F.col("rc") - F.col("iy"), 6) + 0.0)
-    res = j.select("feature", "rho", "n", "ex", "ey")
-    res = ranked(ranked(res, "ex", "qx"), "ey", "qy")
+    res = cut(j.select("feature", "rho", "n", "ex", "ey"))
+    res = ranked(cut(ranked(res, "ex", "qx")), "ey", "qy")
     return res.groupBy("feature").agg(
         F.max("n").alias("n"), F.round(F.max("rho"), 6).alias("rho"), F.round(F.corr("qx", "qy"), 6).alias("partial_rho"))
 

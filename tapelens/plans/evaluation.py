@@ -80,9 +80,9 @@ def events(t: Tables):
 
 
 _base = "token_mint, interval_idx, t_start, t_end, tv_trades, tv_wallets, tv_price_vs_first, tv_drawdown, tv_net_flow_recent, tv_log_t"
-cte("t_pp", f"""SELECT 'A' AS model, {_base}, CASE WHEN a_event THEN 1 ELSE 0 END AS event, 0 AS b_team_exited, 0.0 AS b_log_t_since_exit, 0 AS b_team_sellers, b_log_prints FROM t_ppx
+cte("t_pp", f"""SELECT 'A' AS model, {_base}, CASE WHEN a_event THEN 1 ELSE 0 END AS event, 0 AS b_team_exited, 0.0::DOUBLE AS b_log_t_since_exit, 0 AS b_team_sellers, b_log_prints FROM t_ppx
 WHERE a_alive AND (a_event OR (span >= t_end AND NOT b_event))
-UNION ALL SELECT 'B', {_base}, CASE WHEN b_event THEN 1 ELSE 0 END, CASE WHEN exited THEN 1 ELSE 0 END, CASE WHEN exited THEN round(ln(1 + t_start - exit_s), 9) ELSE 0 END, b_team_sellers, b_log_prints FROM t_ppx
+UNION ALL SELECT 'B', {_base}, CASE WHEN b_event THEN 1 ELSE 0 END, CASE WHEN exited THEN 1 ELSE 0 END, CASE WHEN exited THEN round(ln(1 + t_start - exit_s), 9) ELSE 0::DOUBLE END, b_team_sellers, b_log_prints FROM t_ppx
 WHERE (collapse_s IS NULL OR collapse_s >= t_start) AND (b_event OR span >= t_end)""")
 cte("t_ppx", """SELECT c.*, e.exit_s, e.collapse_s, least(span_s, 3600) AS span, coalesce(exit_s >= t_start AND exit_s < t_end, false) AND (collapse_s IS NULL OR exit_s <= collapse_s) AS a_event,
   coalesce(collapse_s >= t_start AND collapse_s < t_end, false) AS b_event, (exit_s IS NULL OR exit_s >= t_start) AND (collapse_s IS NULL OR collapse_s >= t_start) AS a_alive, coalesce(exit_s < t_start, false) AS exited
@@ -175,7 +175,7 @@ def samples(t: Tables):
     return o.select("sample_id", "grad", "fold_day", "y", "outcome", (F.col("raw") / 500000).alias("score"), *[typed(n, e) for n, e in _FIELDS.items()])
 
 
-cte("t_sv", verdict_sql("SELECT *, CAST(NULL AS VARCHAR) AS signal FROM t_samples"))
+cte("t_sv", verdict_sql("SELECT * EXCLUDE (score), CAST(NULL AS VARCHAR) AS signal FROM t_samples"))
 _ds = "CASE WHEN verdict = 'SKIP' THEN 0.5::DOUBLE + 0.5::DOUBLE * confidence WHEN verdict = 'STRUCTURALLY_SOUND' THEN 0.5::DOUBLE - 0.5::DOUBLE * confidence ELSE 0.5::DOUBLE END"
 cte("t_sd", f"SELECT *, round({_ds}, 6) AS ds, CASE WHEN verdict = 'SKIP' THEN 1 ELSE 0 END AS pred FROM t_sv")
 
@@ -183,8 +183,10 @@ cte("t_sd", f"SELECT *, round({_ds}, 6) AS ds, CASE WHEN verdict = 'SKIP' THEN 1
 def judged(t: Tables):
     from tapelens.functions.columns import distribute_score
 
-    v = verdict.structural_verdict(samples(t))
-    return v.withColumn("ds", F.round(distribute_score("verdict", "confidence"), 6)).withColumn("pred", (F.col("verdict") == "SKIP").cast("int"))
+    def make():
+        v = t.store("sample_verdicts", lambda: verdict.structural_verdict(samples(t).drop("score")))
+        return v.withColumn("ds", F.round(distribute_score("verdict", "confidence"), 6)).withColumn("pred", (F.col("verdict") == "SKIP").cast("int"))
+    return t.store("judged_samples", make)
 
 
 @query("sample_verdicts", sql="SELECT sample_id, hard_skip, score, factors, verdict, confidence FROM (" + verdict_sql("SELECT * EXCLUDE (score), CAST(NULL AS VARCHAR) AS signal FROM t_samples") + ")")
@@ -206,7 +208,7 @@ def auc_sql(src: str, key: str, score: str, label: str) -> str:
 def ap_sql(src: str, key: str, score: str, label: str) -> str:
     k = key + "," if key else ""
     part = f"PARTITION BY {key}" if key else ""
-    return f"""SELECT {k} CAST(sum(CAST(tp / (tp + fp) * pos / pt AS DECIMAL(38,12))) AS DOUBLE) AS ap FROM (
+    return f"""SELECT {k} CAST(sum(CAST(tp / (tp + fp) * pos / nullif(pt, 0) AS DECIMAL(38,12))) AS DOUBLE) AS ap FROM (
   SELECT *, sum(pos) OVER ({part} ORDER BY s DESC) AS tp, sum(neg) OVER ({part} ORDER BY s DESC) AS fp, sum(pos) OVER ({part}) AS pt FROM (
     SELECT {k} {score} AS s, sum({label}) AS pos, sum(1 - {label}) AS neg FROM {src} GROUP BY ALL)) {'GROUP BY ' + key if key else ''}"""
 
@@ -293,7 +295,8 @@ def _(t):
             if col in v:
                 e = F.when(F.col("patch") == name, F.lit(v[col]).cast(types[col])).otherwise(e)
         ov[col] = e
-    j = verdict.structural_verdict(s, ov)
+    patched = t.store("patched_samples", lambda: s.withColumns(ov))
+    j = t.store("ablated_verdicts", lambda: verdict.structural_verdict(patched).select("sample_id", "patch", "y", "verdict", "confidence"))
     j = j.withColumn("ds", F.round(distribute_score("verdict", "confidence"), 6)).withColumn("pred", (F.col("verdict") == "SKIP").cast("int"))
     ap = ev.average_precision(j, ["patch"], "ds", "y")
     return ap.join(ev.prf(j, ["patch"], "pred", "y"), "patch").select("patch", F.round("ap", 9).alias("ap"), F.round("precision", 9).alias("precision"))
@@ -305,7 +308,7 @@ UNION ALL SELECT 'random', outcome, score FROM t_samples WHERE CAST(concat('0x',
 def _(t):
     from tapelens.functions.ordered import grouped_median
 
-    v = verdict.structural_verdict(samples(t).withColumnRenamed("score", "m")).select("sample_id", "outcome", "m", "verdict")
+    v = judged(t).select("sample_id", "outcome", "verdict").join(samples(t).select("sample_id", F.col("score").alias("m")), "sample_id")
     inside = F.array_compact(F.array(F.lit("all"), F.when(F.col("verdict") == "STRUCTURALLY_SOUND", "rule"),
                                      F.when(ev.hash_uniform(F.col("sample_id")) < 0.25, "random")))
     p = v.select("outcome", "m", F.explode(inside).alias("portfolio"))
