@@ -6,7 +6,7 @@ columns so many groups share one job, and never sort raw rows in a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelens.functions.ordered import magnitude_cell, split_fill, split_row_number, split_running_sum, time_cell
@@ -215,6 +215,25 @@ def equivalence_verdict(lo: Column, hi: Column, lift_a: Column, lift_b: Column,
     return F.when(~enough, "INSUFFICIENT_DATA").when(same, "POOL").otherwise("KEEP_SEPARATE")
 
 
+def prior_median_at_least(df: DataFrame, key: str, ts: str, value: str, bound: str) -> DataFrame:
+    """(key, ts, n_prior, at_least): is the median of strictly earlier values at least `bound`?
+
+    Counts decide unless exactly half the values reach the bound; then the two middle values are
+    the largest below it and the smallest at or above it. All four are running aggregates over
+    one row per (key, second), so no pair of events is ever formed.
+    """
+    high = F.col(value) >= F.col(bound)
+    line = df.groupBy(key, ts).agg(
+        F.count("*").alias("n"), F.count_if(high).alias("k"), F.max(F.when(~high, F.col(value))).alias("lo"),
+        F.min(F.when(high, F.col(value))).alias("hi"), F.first(bound).alias("b"))
+    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    r = line.select(key, ts, "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_prior"), F.sum("k").over(w).alias("k"),
+                    F.max("lo").over(w).alias("lo"), F.min("hi").over(w).alias("hi"))
+    twice = 2 * F.col("k")
+    even = (F.col("lo") + F.col("hi")) / 2 >= F.col("b")
+    return r.select(key, ts, "n_prior", F.when(twice == F.col("n_prior"), even).otherwise(twice > F.col("n_prior")).alias("at_least"))
+
+
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average rank of every row's value (ties share it), over the whole frame."""
     h = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))

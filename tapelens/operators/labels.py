@@ -78,7 +78,7 @@ def follow_returns(post: DataFrame, team: DataFrame, min_prints: int = 30) -> Da
     """Return of copying each team buy with lag, median fill, take-profit and deadline.
 
     Fills and the take-profit window are interval joins on coin plus a time cell, so a
-    busy coin splits over its cells. Medians cover at most FILL_S seconds of prints.
+    busy coin splits over its cells; medians come from price histograms.
     """
     prints = post.filter(F.col("price_usd").isNotNull()).select("token_mint", "ts", "price_usd")
     dense = prints.groupBy("token_mint").agg(F.count("*").alias("n")).filter(F.col("n") >= min_prints)
@@ -97,7 +97,10 @@ def follow_returns(post: DataFrame, team: DataFrame, min_prints: int = 30) -> Da
     lo = F.floor(F.col("t_in") / width)
     probes = (b.select("token_mint", "t_in", "entry").distinct()
               .withColumn("cell", F.explode(F.sequence(lo, lo + 1))))
-    cells = prints.withColumn("cell", F.floor(F.col("ts") / width))
+    # three prints decide, so three per second are enough and bound the join by time
+    top = Window.partitionBy("token_mint", "ts").orderBy(F.desc("price_usd"))
+    cells = (prints.withColumn("rn", F.row_number().over(top)).filter(F.col("rn") <= SUSTAIN).drop("rn")
+             .withColumn("cell", F.floor(F.col("ts") / width)))
     hit = (
         probes.join(cells, ["token_mint", "cell"])
         .filter((F.col("ts") > F.col("t_in")) & (F.col("ts") <= F.col("t_in") + DEADLINE_S)
@@ -113,14 +116,14 @@ def follow_returns(post: DataFrame, team: DataFrame, min_prints: int = 30) -> Da
 
 def fill_prices(prints: DataFrame, asks: DataFrame) -> DataFrame:
     """Median print in [t, t+FILL_S], else the first print after: (token_mint, t, fill)."""
-    from tapelens.functions.ordered import split_fill, time_cell
+    from tapelens.functions.ordered import grouped_median, split_fill, time_cell
 
     lo = F.floor(F.col("t") / 16)
-    near = (
+    near = cut(
         asks.withColumn("cell", F.explode(F.sequence(lo, lo + 1)))
         .join(prints.withColumn("cell", F.floor(F.col("ts") / 16)), ["token_mint", "cell"])
-        .filter(F.col("ts").between(F.col("t"), F.col("t") + FILL_S))
-        .groupBy("token_mint", "t").agg(F.percentile("price_usd", 0.5).alias("med")))
+        .filter(F.col("ts").between(F.col("t"), F.col("t") + FILL_S)).select("token_mint", "t", "price_usd"))
+    near = grouped_median(near, ["token_mint", "t"], "price_usd", "med")
     opening = prints.groupBy("token_mint", "ts").agg(F.min("price_usd").alias("px"))
     marks = asks.select("token_mint", F.col("t").alias("ts"), F.lit(None).cast("double").alias("px"), F.lit(True).alias("ask"))
     line = opening.withColumn("ask", F.lit(False)).unionByName(marks)

@@ -184,8 +184,30 @@ def wallet_graph(team: DataFrame, outcomes4: DataFrame, anchors: DataFrame) -> D
         F.max("graduated_at").alias("last_seen_together"))
 
 
+def graph_hit_counts(team: DataFrame, graph: DataFrame, min_co: int = 2) -> DataFrame:
+    """(mint, connected, rug_hits, soft_hits): links of a member to wallets outside its team.
+
+    A wallet's degree is summed once and the links inside the team (at most GRAPH_CAP members)
+    are subtracted, so a wallet on many teams never multiplies its partners by its coins.
+    """
+    strong = graph.filter(F.col("co_appearances") >= min_co).withColumn("rug", (F.col("rug_co_appearances") >= 2).cast("int"))
+    ends = strong.select(F.col("a").alias("connected"), "rug").union(strong.select("b", "rug"))
+    deg = ends.groupBy("connected").agg(F.sum("rug").alias("dr"), F.count("*").alias("d"))
+    m = capped_members(team)
+    pairs = m.select("token_mint", F.col("wallet").alias("a")).join(m.select("token_mint", F.col("wallet").alias("b")), "token_mint").filter("a < b")
+    own = pairs.join(strong.select("a", "b", "rug"), ["a", "b"])
+    own = own.select("token_mint", F.col("a").alias("connected"), "rug").union(own.select("token_mint", "b", "rug"))
+    own = own.groupBy("token_mint", "connected").agg(F.sum("rug").alias("ir"), F.count("*").alias("i"))
+    j = m.withColumnRenamed("wallet", "connected").join(deg, "connected").join(own, ["token_mint", "connected"], "left").fillna(0, ["ir", "i"])
+    rug, every = F.col("dr") - F.col("ir"), F.col("d") - F.col("i")
+    return j.filter(every > 0).select("token_mint", "connected", rug.alias("rug_hits"), (every - rug).alias("soft_hits"))
+
+
 def graph_hits(team: DataFrame, graph: DataFrame, min_co: int = 2) -> DataFrame:
-    """Team members linked to wallets outside their own team: (mint, connected, known, counts)."""
+    """Looks up the linked wallets of a selected team: (mint, connected, known, counts).
+
+    Lists every outside partner, so pass the coins of interest; rules use `graph_hit_counts`.
+    """
     strong = graph.filter(F.col("co_appearances") >= min_co)
     ends = strong.select(F.col("a").alias("connected"), F.col("b").alias("known"), "co_appearances", "rug_co_appearances").union(
         strong.select("b", "a", "co_appearances", "rug_co_appearances"))

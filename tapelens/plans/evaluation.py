@@ -458,16 +458,13 @@ def funder_arms(t: Tables):
     fe = ask_f(t).join(t.trajectory.filter("n_price_points >= 30 AND time_to_team_exit_s IS NOT NULL").select(
         "token_mint", F.col("time_to_team_exit_s").alias("tx")), "token_mint")
     fe = t.store("funder_exits", lambda: fe)
-    earlier = fe.select("funder", F.col("graduated_at").alias("g0"), "tx")
-    prior = fe.select("token_mint", "funder", "graduated_at").join(earlier, "funder").filter("g0 < graduated_at")
-    n = prior.groupBy("token_mint").agg(F.count("*").alias("n_prior"))
-    med = grouped_median(prior, ["token_mint"], "tx", "prior_median")
     total = fe.agg(F.count("*").alias("n"))
     rk = split_row_number(fe.withColumn("g", F.lit(1)), ["g"], [F.col("graduated_at"), F.col("token_mint")], time_cell("graduated_at", 60), "rn")
     half = rk.join(F.broadcast(total)).filter(F.col("rn") <= F.floor(F.col("n") / 2))
     bound = grouped_median(half, ["g"], "tx", "boundary").select("boundary")
-    coins = fe.join(n, "token_mint").join(med, "token_mint").join(F.broadcast(bound))
-    arm = F.when(F.col("prior_median") >= F.col("boundary"), "slow").otherwise("fast")
+    prior = ev.prior_median_at_least(fe.join(F.broadcast(bound)), "funder", "graduated_at", "tx", "boundary")
+    coins = fe.join(prior, ["funder", "graduated_at"])
+    arm = F.when(F.col("at_least"), "slow").otherwise("fast")
     r = labels.follow_returns(t.post, t.team).select("token_mint", "realised_multiple")
     return coins.filter("n_prior >= 1").select("token_mint", "funder", arm.alias("arm")).join(r, "token_mint")
 

@@ -280,9 +280,9 @@ cte("t_hits", """SELECT DISTINCT c.token_mint, e.connected, e.known, e.co_appear
 WHERE NOT EXISTS (SELECT 1 FROM t_cap k WHERE k.token_mint = c.token_mint AND k.wallet = e.known)""")
 
 
-@query("graph_hits", "e", "SELECT * FROM t_hits")
+@query("graph_hits", "e", "SELECT token_mint, connected, count(*) FILTER (rug_co_appearances >= 2) AS rug_hits, count(*) FILTER (rug_co_appearances < 2) AS soft_hits FROM t_hits GROUP BY 1, 2")
 def _(t):
-    return memory.graph_hits(t.team, graph(t))
+    return memory.graph_hit_counts(t.team, graph(t))
 
 
 @query("mirror_counts", "e", "SELECT count(*) FILTER (co_appearances >= 2) AS pairs_2, count(*) FILTER (rug_co_appearances >= 2) AS rug_pairs_2, count(*) AS pairs FROM t_graph")
@@ -336,8 +336,8 @@ def context(t: Tables):
         ss = slot_counts.groupBy("token_mint").agg(F.min_by("n", "slot").alias("launch_slot_snipe_count"))
         ch = memory.funder_choreography(flow.choreography_summary(flow.exit_choreography(t.post, t.team)), t.coin_funder).select(
             "funder", "leader_consistency", F.col("sample_count").alias("choreography_n"))
-        gh = memory.graph_hits(t.team, graph(t)).groupBy("token_mint").agg(
-            F.count_if(F.col("rug_co_appearances") >= 2).alias("graph_rug_hits"), F.count_if(F.col("rug_co_appearances") < 2).alias("graph_soft_hits"))
+        gh = memory.graph_hit_counts(t.team, graph(t)).groupBy("token_mint").agg(
+            F.sum("rug_hits").alias("graph_rug_hits"), F.sum("soft_hits").alias("graph_soft_hits"))
         vel = memory.launch_velocity(ask_f(t), "funder", VELOCITY_DAY).drop("funder")
         fp = memory.structural_match(t.team_clusters, prints(t), min_rug=FP_RUG).select("token_mint", F.col("distance").alias("fingerprint_distance"))
         j = t.coins.join(t.team_clusters, "token_mint", "left").join(t.coin_funder, "token_mint", "left").join(
