@@ -224,24 +224,16 @@ def prior_median_at_least(df: DataFrame, key: str, ts: str, value: str, bound: s
     """
     high = F.col(value) >= F.col(bound)
     line = df.groupBy(key, ts).agg(
-        F.count("*").alias("n"), F.count_if(high).alias("k"), F.max(F.when(~high, F.col(value))).alias("lo"),
-        F.min(F.when(high, F.col(value))).alias("hi"), F.first(bound).alias("b"))
+        F.count("*").alias("__n"), F.count_if(high).alias("__k"), F.max(F.when(~high, F.col(value))).alias("__lo"),
+        F.min(F.when(high, F.col(value))).alias("__hi"), F.first(bound).alias("__b"))
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    r = line.select(key, ts, "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_prior"), F.sum("k").over(w).alias("k"),
-                    F.max("lo").over(w).alias("lo"), F.min("hi").over(w).alias("hi"))
-    twice = 2 * F.col("k")
-    even = (F.col("lo") + F.col("hi")) / 2 >= F.col("b")
+    r = line.select(key, ts, "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("n_prior"), F.sum("__k").over(w).alias("__k"),
+                    F.max("__lo").over(w).alias("__lo"), F.min("__hi").over(w).alias("__hi"))
+    twice = 2 * F.col("__k")
+    even = (F.col("__lo") + F.col("__hi")) / 2 >= F.col("__b")
     return r.select(key, ts, "n_prior", F.when(twice == F.col("n_prior"), even).otherwise(twice > F.col("n_prior")).alias("at_least"))
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of every row's value (ties share it), over the whole frame."""
-    h = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    h = split_running_sum(h.withColumn("g", F.lit(1)), ["g"], [F.col("v")], magnitude_cell("v"), F.col("k"), "cum")
-    r = h.select("v", (F.col("cum") - F.col("k") + (F.col("k") + 1) / 2).alias(out))
-    return df.join(r, F.col(value) == F.col("v")).drop("v")
-
-
 def partial_spearman(df: DataFrame, features: list[str], target: str, control: str) -> DataFrame:
     """Raw rank correlation of each feature with the target, and with the control regressed out."""
     long = df.select(F.col(target).alias("__y"), F.col(control).alias("__c"),
