@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelens.functions.columns import entity_state, fresh_flag
@@ -12,7 +12,6 @@ from tapelens.session import cut
 from tapelens.sources.tables import exact_sum
 
 WINDOW_S, MIN_WINDOW_SWAPS = 600, 20
-ID_MEMBERS = 5000
 
 
 def coordination_window(post: DataFrame) -> DataFrame:
@@ -46,27 +45,21 @@ def assemble(swaps: DataFrame, chains: DataFrame, fresh: DataFrame) -> DataFrame
         .groupBy("token_mint", "comp").agg(
             F.count("*").alias("wallet_count"), exact_sum("bought").alias("bought"), exact_sum("sold").alias("sold"),
             F.count_if(F.coalesce("flag", F.lit("none")) != "none").alias("n_fresh"),
-            F.sum(F.xxhash64("wallet").cast("decimal(38,0)")).alias("checksum")))
+            F.sum(member_number("wallet")).alias("checksum")))
     kinds = chains.join(nodes.withColumnRenamed("wallet", "a"), ["token_mint", "a"]).groupBy("token_mint", "comp").agg(
         F.array_join(F.sort_array(F.collect_set("edge_type")), ",").alias("edge_sources"))
-    out = body.join(total, "token_mint").join(kinds, ["token_mint", "comp"]).join(
-        entity_ids(nodes, body), ["token_mint", "comp"])
+    out = body.join(total, "token_mint").join(kinds, ["token_mint", "comp"])
+    entity_id = F.substring(F.sha1(F.concat_ws("|", "comp", "wallet_count", F.col("checksum").cast("string")).cast("binary")), 1, 16)
     pct = F.when(F.col("denom") > 0, F.least(F.round(F.col("bought") / F.col("denom") * 100, 2), F.lit(100.0))).otherwise(0.0)
     return out.select(
-        "token_mint", "entity_id", "comp", "wallet_count", pct.alias("supply_pct"),
+        "token_mint", entity_id.alias("entity_id"), "comp", "wallet_count", pct.alias("supply_pct"),
         F.round(F.col("n_fresh") / F.col("wallet_count"), 3).alias("fresh_ratio"),
         entity_state("bought", "sold").alias("state"), "edge_sources")
 
 
-def entity_ids(nodes: DataFrame, body: DataFrame) -> DataFrame:
-    """SHA-1 prefix of the sorted members; beyond ID_MEMBERS, of first member, size and checksum."""
-    small = body.filter(F.col("wallet_count") <= ID_MEMBERS).select("token_mint", "comp")
-    exact = nodes.join(small, ["token_mint", "comp"], "left_semi").groupBy("token_mint", "comp").agg(
-        F.substring(F.sha1(F.array_join(F.sort_array(F.collect_set("wallet")), "|").cast("binary")), 1, 16).alias("entity_id"))
-    large = body.filter(F.col("wallet_count") > ID_MEMBERS).select(
-        "token_mint", "comp",
-        F.substring(F.sha1(F.concat_ws("|", "comp", "wallet_count", "checksum").cast("binary")), 1, 16).alias("entity_id"))
-    return exact.union(large)
+def member_number(wallet: str) -> Column:
+    """A wallet as a number; their sum tells member sets apart without collecting or sorting them."""
+    return F.conv(F.substring(F.md5(F.col(wallet).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
 def rollup(entities: DataFrame, stats: DataFrame) -> DataFrame:
@@ -85,124 +78,63 @@ def rollup(entities: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 # ── launch topology ──────────────────────────────────────────────────────────
-MAX_NODES, GROUP_MIN, GROUP_MAX, TOPO_TOL, PROPAGATION_ROUNDS = 300, 2, 40, 0.02, 5
+TOPO_TOL, TOPO_KINDS = 0.02, ("same_slot", "funder", "size")
 
 
-def topology_edges(bc: DataFrame, accum: DataFrame, funding: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, labelled edges) of the launch graph: at most 300 wallets, groups of 2-40.
+def topology(bc: DataFrame, accum: DataFrame, funding: DataFrame) -> DataFrame:
+    """Shape measures of the launch graph of every coin with at least three wallets.
 
-    The node and group limits are part of the graph's definition, so a coin contributes
-    a bounded number of pairs however many trades it has.
+    All measures follow from group memberships and band counts, so no pair of wallets is
+    written: a wallet in a group of k has k - 1 partners there. A pair that shares several
+    groups or kinds counts once for each.
     """
-    w = Window.partitionBy("token_mint").orderBy("wallet")
-    buyers = accum.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_NODES)
-    enough = buyers.groupBy("token_mint").agg(F.count("*").alias("n")).filter("n >= 3")
-    buyers = cut(buyers.join(enough, "token_mint", "left_semi").select("token_mint", "wallet", "total_sol_in"))
-
-    def cliques(members, label):
-        sizes = members.groupBy("token_mint", "grp").agg(F.count("*").alias("n")).filter(
-            F.col("n").between(GROUP_MIN, GROUP_MAX))
-        m = members.join(sizes, ["token_mint", "grp"], "left_semi")
-        right = m.select("token_mint", "grp", F.col("wallet").alias("b"))
-        return m.withColumnRenamed("wallet", "a").join(right, ["token_mint", "grp"]).filter("a < b").select(
-            "token_mint", "a", "b", F.lit(label).alias("label"))
-
-    node = buyers.select("token_mint", "wallet")
+    enough = accum.groupBy("token_mint").agg(F.count("*").alias("n")).filter("n >= 3")
+    nodes = cut(accum.join(enough, "token_mint", "left_semi").select("token_mint", "wallet", "total_sol_in"))
+    node = nodes.select("token_mint", "wallet")
     slots = bc.filter("side = 'buy'").select("token_mint", F.col("signer").alias("wallet"), F.col("slot").cast("string").alias("grp"))
     slots = slots.distinct().join(node, ["token_mint", "wallet"], "left_semi")
-    funders = node.join(funding.filter("funder <> 'cex'").select("wallet", F.col("funder").alias("grp")), "wallet").select(
-        "token_mint", "wallet", "grp")
-    sized = buyers.filter("total_sol_in > 0").withColumn("cell", F.floor(F.log("total_sol_in") / F.log(F.lit(1 + TOPO_TOL))))
-    right = sized.select("token_mint", "cell", F.col("wallet").alias("b"), F.col("total_sol_in").alias("bmt"))
-    left = sized.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
-    after = (F.col("bmt") > F.col("total_sol_in")) | ((F.col("bmt") == F.col("total_sol_in")) & (F.col("b") > F.col("wallet")))
-    sizes = left.join(right, ["token_mint", "cell"]).filter(
-        after & (F.col("bmt") - F.col("total_sol_in") <= F.col("total_sol_in") * TOPO_TOL)).select(
-        "token_mint", F.least("wallet", "b").alias("a"), F.greatest("wallet", "b").alias("b"), F.lit("size").alias("label"))
-    return node, cut(cliques(slots, "same_slot").union(cliques(funders, "funder")).union(sizes))
-
-
-def topology(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Shape measures of every launch graph."""
-    kinds = labelled.groupBy("token_mint").agg(
-        *[F.count_if(F.col("label") == k).alias(f"topo_{k}_edges") for k in ("same_slot", "funder", "size")])
-    e = cut(labelled.select("token_mint", "a", "b").distinct())
-    both = e.union(e.select("token_mint", F.col("b").alias("a"), F.col("a").alias("b")))
-    deg = nodes.join(
-        both.groupBy("token_mint", F.col("a").alias("wallet")).agg(F.count("*").alias("deg")),
-        ["token_mint", "wallet"], "left").select("token_mint", "wallet", F.coalesce("deg", F.lit(0)).alias("deg"))
-    deg = cut(deg)
-    tri = (
-        both.join(both.select("token_mint", F.col("a").alias("b"), F.col("b").alias("c")), ["token_mint", "b"])
-        .filter("a < c")
-        .join(e.select("token_mint", F.col("a"), F.col("b").alias("c")), ["token_mint", "a", "c"], "left_semi")
-        .groupBy("token_mint", F.col("b").alias("wallet")).agg(F.count("*").alias("tri")))
-    local = deg.join(tri, ["token_mint", "wallet"], "left").withColumn(
-        "cc", F.when(F.col("deg") >= 2, 2 * F.coalesce("tri", F.lit(0)) / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0))
-    base = local.groupBy("token_mint").agg(
-        F.count("*").alias("n"), F.sum("deg").alias("d"), F.max("deg").alias("mx"),
-        (F.sum(F.col("cc").cast("decimal(28,12)")).cast("double") / F.count("*")).alias("topo_clustering"))
-    comp = connected_components(e, ["token_mint"]).withColumnRenamed("node", "wallet")
-    comps = deg.join(comp, ["token_mint", "wallet"], "left").withColumn("comp", F.coalesce("comp", "wallet"))
-    sizes = comps.groupBy("token_mint", "comp").agg(F.count("*").alias("k")).groupBy("token_mint").agg(
-        F.count("*").alias("topo_components"), F.max("k").alias("big"))
-    comm = communities(deg, both, e)
-    j = base.join(kinds, "token_mint", "left").join(sizes, "token_mint").join(comm, "token_mint", "left")
-    n, m = F.col("n"), F.col("d") / 2
-    avg = F.col("d") / n
+    funders = node.join(funding.filter("funder <> 'cex'").select("wallet", F.col("funder").alias("grp")), "wallet").select("token_mint", "wallet", "grp")
+    sized = nodes.filter("total_sol_in > 0")
+
+    def partners(members: DataFrame, kind: str) -> DataFrame:
+        sizes = members.groupBy("token_mint", "grp").agg(F.count("*").alias("k")).filter("k > 1")
+        return members.join(sizes, ["token_mint", "grp"]).groupBy("token_mint", "wallet").agg(F.sum(F.col("k") - 1).alias("d")).withColumn("kind", F.lit(kind))
+
+    bands = links.band_counts(sized, "total_sol_in", TOPO_TOL).select("token_mint", "wallet", (F.col("ahead") + F.col("behind")).alias("d"), F.lit("size").alias("kind"))
+    degrees = cut(partners(slots, "same_slot").unionByName(partners(funders, "funder")).unionByName(bands))
+    per = degrees.groupBy("token_mint", "wallet").agg(F.sum("d").alias("deg"), *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in TOPO_KINDS])
+    base = node.join(per, ["token_mint", "wallet"], "left").fillna(0).groupBy("token_mint").agg(
+        F.count("*").alias("n"), F.sum("deg").alias("d"), F.max("deg").alias("mx"), *[F.sum(k).alias(k) for k in TOPO_KINDS])
+    chain = links.size_links(sized, "total_sol_in", TOPO_TOL)
+    star = links.stars(slots, ["token_mint", "grp"]).select("token_mint", "a", "b").union(links.stars(funders, ["token_mint", "grp"]).select("token_mint", "a", "b"))
+    comp = connected_components(star.union(chain), ["token_mint"]).withColumnRenamed("node", "wallet")
+    sizes = node.join(comp, ["token_mint", "wallet"], "left").withColumn("comp", F.coalesce("comp", "wallet")).groupBy("token_mint", "comp").agg(
+        F.count("*").alias("k")).groupBy("token_mint").agg(F.count("*").alias("topo_components"), F.max("k").alias("big"))
+    n, avg = F.col("n"), F.col("d") / F.col("n")
     r6 = lambda c, name: F.round(c, 6).alias(name)
-    return j.select(
-        "token_mint", n.alias("topo_nodes"), m.cast("long").alias("topo_edges"), r6(2 * m / (n * (n - 1)), "topo_density"),
+    return base.join(sizes, "token_mint").select(
+        "token_mint", n.alias("topo_nodes"), (F.col("d") / 2).cast("long").alias("topo_edges"), r6(F.col("d") / (n * (n - 1)), "topo_density"),
         r6(avg, "topo_avg_degree"), r6(F.when(avg > 0, F.col("mx") / avg).otherwise(0.0), "topo_max_degree_ratio"),
-        r6((n * F.col("mx") - F.col("d")) / ((n - 1) * (n - 2)), "topo_centralization"),
-        r6(F.col("topo_clustering"), "topo_clustering"), "topo_components", r6(F.col("big") / n, "topo_largest_comp_share"),
-        "topo_communities", r6(F.col("modularity"), "topo_modularity"), r6(F.col("comm_big") / n, "topo_largest_comm_share"),
-        *[F.coalesce(f"topo_{k}_edges", F.lit(0)).alias(f"topo_{k}_edges") for k in ("same_slot", "funder", "size")])
-
-
-def communities(deg: DataFrame, both: DataFrame, e: DataFrame) -> DataFrame:
-    """Label propagation for a fixed number of rounds, then modularity by aggregation.
-
-    Every round a wallet takes the most frequent label among its neighbours and itself
-    (ties: smallest). This stands in for a greedy modularity optimiser.
-    """
-    labels = deg.select("token_mint", "wallet", F.col("wallet").alias("label"))
-    for _ in range(PROPAGATION_ROUNDS):
-        votes = both.select("token_mint", F.col("a").alias("wallet"), F.col("b").alias("nb")).join(
-            labels.withColumnRenamed("wallet", "nb"), ["token_mint", "nb"]).select("token_mint", "wallet", "label")
-        votes = votes.union(labels.select("token_mint", "wallet", "label"))
-        counted = votes.groupBy("token_mint", "wallet", "label").agg(F.count("*").alias("n"))
-        labels = cut(counted.groupBy("token_mint", "wallet").agg(
-            F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
-    part = deg.join(labels, ["token_mint", "wallet"]).groupBy("token_mint", "label").agg(
-        F.count("*").alias("k"), F.sum("deg").alias("dc"))
-    la = labels.select("token_mint", F.col("wallet").alias("a"), F.col("label"))
-    lb = labels.select("token_mint", F.col("wallet").alias("b"), F.col("label").alias("label_b"))
-    inner = e.join(la, ["token_mint", "a"]).join(lb, ["token_mint", "b"]).filter("label = label_b").groupBy(
-        "token_mint", "label").agg(F.count("*").alias("lc"))
-    m = e.groupBy("token_mint").agg(F.count("*").alias("m"))
-    j = part.join(inner, ["token_mint", "label"], "left").join(m, "token_mint")
-    term = F.coalesce("lc", F.lit(0)) / F.col("m") - F.pow(F.col("dc") / (2 * F.col("m")), 2)
-    return j.groupBy("token_mint").agg(
-        F.count("*").alias("topo_communities"), F.max("k").alias("comm_big"),
-        F.sum(term.cast("decimal(28,12)")).cast("double").alias("modularity"))
+        r6((n * F.col("mx") - F.col("d")) / ((n - 1) * (n - 2)), "topo_centralization"), "topo_components",
+        r6(F.col("big") / n, "topo_largest_comp_share"), *[(F.col(k) / 2).cast("long").alias(f"topo_{k}_edges") for k in TOPO_KINDS])
 
 
 # ── graph shape with activity control ────────────────────────────────────────
 def graph_shape(edges: DataFrame, post: DataFrame, min_wallets: int = 30) -> DataFrame:
-    """Component shares, density and degree ratio over the selective edge kinds."""
+    """Component shares, density and degree ratio over the selective edge kinds; pairs and degrees from group sizes."""
     act = post.filter((F.col("side") == "buy") & ((F.col("ts") - F.col("graduated_at")) <= WINDOW_S)).groupBy(
         "token_mint", "signer").agg(F.count("*").alias("n")).groupBy("token_mint").agg(
         F.sum("n").alias("n_buys"), F.count("*").alias("n_wallets")).filter(F.col("n_wallets") >= min_wallets)
-    sel = cut(edges.filter("edge_type IN ('funder', 'same_slot')"))
+    sel = cut(edges.filter("edge_type IN ('funder', 'same_slot')"))  # star links: k - 1 rows for a group of k
     comp = connected_components(sel, ["token_mint"]).groupBy("token_mint", "comp").agg(F.count("*").alias("k"))
     comps = comp.groupBy("token_mint").agg(
         F.count("*").alias("n_components"), F.max("k").alias("big"), F.sum("k").alias("clustered"))
-    ends = sel.select("token_mint", F.col("a").alias("w")).union(sel.select("token_mint", F.col("b")))
-    deg = ends.groupBy("token_mint", "w").agg(F.count("*").alias("d")).groupBy("token_mint").agg(
+    ends = sel.select("token_mint", F.col("a").alias("w"), F.lit(1).cast("long").alias("d")).union(sel.select("token_mint", "b", F.col("group_size") - 1))
+    deg = ends.groupBy("token_mint", "w").agg(F.sum("d").alias("d")).groupBy("token_mint").agg(
         F.max("d").alias("mx"), (F.sum("d") / F.count("*")).alias("avg"))
+    pairs = F.col("group_size") / 2
     n_sel = sel.groupBy("token_mint").agg(
-        F.count("*").alias("n_sel"), F.count_if(F.col("edge_type") == "funder").alias("funder_edges"))
+        F.sum(pairs).alias("n_sel"), F.sum(F.when(F.col("edge_type") == "funder", pairs).otherwise(0.0)).cast("long").alias("funder_edges"))
     present = edges.select("token_mint").distinct()
     j = act.join(present, "token_mint", "left_semi").join(comps, "token_mint", "left").join(
         deg, "token_mint", "left").join(n_sel, "token_mint", "left")

@@ -1,11 +1,9 @@
 """Wallet links of one coin: same slot, matching size, lockstep selling, shared funder, habits.
 
-Two forms are produced. *Chains* are a linear number of links with the same connected
-components as the full pair set (a hub star per group, neighbours in sorted order for
-the band rules) and feed entity assembly. The *edge list* spells out every pair while a
-neighbourhood stays within PAIR_LIMIT wallets; a larger one is written as its hub links,
-tagged ``star`` with the group size, which states all its pairs without a quadratic
-number of rows.
+Links have one linear form at every size. A group (slot, selling second, funder) is a star of its
+members around the smallest wallet, with the group's size; the two band rules (matching size,
+close seconds) link neighbours in order. The components are those of all pairs, and the numbers
+of pairs and partners follow from group sizes and band counts (`band_counts`).
 """
 
 from __future__ import annotations
@@ -13,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelens.functions.ordered import anchored_groups, magnitude_cell, split_fill, time_cell
+from tapelens.functions.ordered import anchored_groups, magnitude_cell, split_fill, split_row_number, time_cell
+from tapelens.session import cut
 from tapelens.sources.tables import exact_sum
 
-PAIR_LIMIT = 40
 SIZE_TOL = 0.005
 LOCKSTEP_S = 2
 COSINE = 0.92
-EDGE_COLUMNS = ["token_mint", "a", "b", "edge_type", "form", "group_size"]
+EDGE_COLUMNS = ["token_mint", "a", "b", "edge_type", "grp", "group_size"]
 
 
 def slot_groups(swaps: DataFrame, slot_window: int = 0) -> DataFrame:
@@ -71,24 +69,16 @@ def stars(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(hubs, keys).filter("wallet <> a").withColumnRenamed("wallet", "b")
 
 
-def group_edges(members: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """All pairs of groups up to PAIR_LIMIT wallets; hub links for larger groups."""
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min("wallet").alias("hub"))
-    m = members.join(sizes.filter("group_size >= 2"), keys)
-    small = m.filter(F.col("group_size") <= PAIR_LIMIT)
-    right = small.select(*keys, F.col("wallet").alias("b"))
-    pairs = small.select(*keys, F.col("wallet").alias("a"), "group_size").join(right, keys).filter("a < b")
-    star = m.filter((F.col("group_size") > PAIR_LIMIT) & (F.col("wallet") != F.col("hub")))
-    out = pairs.select("token_mint", "a", "b", F.lit("pair").alias("form"), "group_size").union(
-        star.select("token_mint", F.col("hub").alias("a"), F.col("wallet").alias("b"), F.lit("star"), "group_size"))
-    return _edges(out, label)
+def _edges(df: DataFrame, label: str, grp="grp", size="group_size") -> DataFrame:
+    """EDGE_COLUMNS with a < b."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return df.select("token_mint", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(label).alias("edge_type"),
+                     column(grp).cast("string").alias("grp"), column(size).cast("long").alias("group_size"))
 
 
-def _edges(df: DataFrame, label: str) -> DataFrame:
-    """Canonical a < b, one row per link and form."""
-    return df.groupBy("token_mint", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "form").agg(
-        F.max("group_size").alias("group_size")).select(
-        "token_mint", "a", "b", F.lit(label).alias("edge_type"), "form", "group_size")
+def group_edges(members: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Star links of every group with its size, which states all its pairs."""
+    return _edges(stars(members, keys), label, keys[-1])
 
 
 def slot_members(swaps: DataFrame, slot_window: int = 0) -> DataFrame:
@@ -100,73 +90,58 @@ def largest_buys(swaps: DataFrame) -> DataFrame:
         "token_mint", F.col("signer").alias("wallet")).agg(F.max("sol_amount").alias("amt"))
 
 
-def size_chain(swaps: DataFrame, tol: float = SIZE_TOL) -> DataFrame:
-    """Neighbours in size order within the tolerance: the components of the full size band."""
+def size_links(values: DataFrame, amount: str, tol: float) -> DataFrame:
+    """Neighbours in order of `amount` within the tolerance: the components of the full band."""
     nxt = split_fill(
-        largest_buys(swaps), ["token_mint"], [F.col("amt"), F.col("wallet")], magnitude_cell("amt", 16),
-        F.struct("amt", "wallet"), "nx", forward=True, inclusive=False)
-    return nxt.filter(F.col("nx.amt") - F.col("amt") <= F.col("amt") * tol).select(
+        values.select("token_mint", "wallet", F.col(amount).alias("v")), ["token_mint"], [F.col("v"), F.col("wallet")], magnitude_cell("v", 16),
+        F.struct("v", "wallet"), "nx", forward=True, inclusive=False)
+    return nxt.filter(F.col("nx.v") <= F.col("v") * F.lit(1 + tol)).select(
         "token_mint", F.col("wallet").alias("a"), F.col("nx.wallet").alias("b"))
 
 
 def size_edges(swaps: DataFrame, tol: float = SIZE_TOL) -> DataFrame:
-    """Pairs of wallets whose largest buys match within `tol`; dense bands as chain links."""
-    big = largest_buys(swaps).withColumn("cell", F.floor(F.log("amt") / F.log(F.lit(1 + tol))))
-    spread = big.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
-    near = big.groupBy("token_mint", "cell").agg(F.count("*").alias("n"))
-    crowd = spread.join(near, ["token_mint", "cell"]).groupBy("token_mint", "wallet").agg(F.sum("n").alias("crowd"))
-    left = spread.join(crowd, ["token_mint", "wallet"])
-    right = big.select("token_mint", "cell", F.col("wallet").alias("b"), F.col("amt").alias("bmt"))
-    after = (F.col("bmt") > F.col("amt")) | ((F.col("bmt") == F.col("amt")) & (F.col("b") > F.col("wallet")))
-    pairs = (
-        left.filter(F.col("crowd") <= PAIR_LIMIT).join(right, ["token_mint", "cell"])
-        .filter(after & (F.col("bmt") - F.col("amt") <= F.col("amt") * tol))
-        .select("token_mint", F.col("wallet").alias("a"), "b", F.lit("pair").alias("form"), F.lit(2).alias("group_size")))
-    dense = size_chain(swaps, tol).join(
-        crowd.filter(F.col("crowd") > PAIR_LIMIT).withColumnRenamed("wallet", "a"), ["token_mint", "a"])
-    return _edges(pairs.union(dense.select("token_mint", "a", "b", F.lit("chain"), F.col("crowd"))), "buy_size")
+    """Wallets next to each other in order of their largest buy, within `tol`."""
+    return _edges(size_links(largest_buys(swaps), "amt", tol), "buy_size", F.lit(None), F.lit(2))
+
+
+def band_counts(values: DataFrame, amount: str, tol: float) -> DataFrame:
+    """(mint, wallet, ahead, behind): partners above and below within the band, without pairs.
+
+    `ahead` counts wallets after x, in order of (amount, wallet), with amount <= x * (1 + tol). It is
+    the rank of the band's upper end minus the rank of x; `behind` is the mirror image.
+    """
+    keys, cell = ["token_mint"], magnitude_cell("v", 16)
+    v = values.select("token_mint", "wallet", F.col(amount).alias("v"))
+    ranked = cut(split_row_number(v, keys, [F.col("v"), F.col("wallet")], cell, "rank"))
+    upper = F.col("v") * F.lit(1 + tol)
+    mark = lambda df, value, kind, rank: df.select("token_mint", "wallet", value.alias("v"), F.lit(kind).alias("kind"), rank.cast("long").alias("mark"))
+    none = F.lit(None).cast("long")
+
+    def last_rank(points: DataFrame, asks: DataFrame, out: str) -> DataFrame:
+        line = cut(points.unionByName(asks))
+        filled = split_fill(line, keys, [F.col("v"), F.col("kind"), F.coalesce("mark", F.lit(0)), F.col("wallet")], cell, F.col("mark"), out)
+        return filled.filter("mark IS NULL").select("token_mint", "wallet", F.coalesce(out, F.lit(0)).alias(out))
+
+    ends = last_rank(mark(ranked, F.col("v"), 0, F.col("rank")), mark(ranked, upper, 1, none), "top")
+    starts = last_rank(mark(ranked, upper, 1, F.col("rank")), mark(ranked, F.col("v"), 0, none), "low")
+    j = ranked.join(ends, ["token_mint", "wallet"]).join(starts, ["token_mint", "wallet"])
+    return j.select("token_mint", "wallet", (F.col("top") - F.col("rank")).alias("ahead"), (F.col("rank") - 1 - F.col("low")).alias("behind"))
 
 
 def sell_seconds(swaps: DataFrame) -> DataFrame:
     return swaps.filter("side = 'sell'").select("token_mint", "ts", F.col("signer").alias("wallet")).distinct()
 
 
-def lockstep_chain(swaps: DataFrame, window_s: int = LOCKSTEP_S) -> DataFrame:
-    """Hub links inside each selling second plus hub-to-hub links between close seconds."""
+def lockstep_edges(swaps: DataFrame, window_s: int = LOCKSTEP_S) -> DataFrame:
+    """Star links inside each selling second plus hub-to-hub links between close seconds."""
     sells = sell_seconds(swaps)
-    inside = stars(sells, ["token_mint", "ts"]).select("token_mint", "a", "b")
     hubs = sells.groupBy("token_mint", "ts").agg(F.min("wallet").alias("hub"))
     nxt = split_fill(hubs, ["token_mint"], [F.col("ts")], time_cell("ts", 600),
                      F.struct("ts", "hub"), "nx", forward=True, inclusive=False)
-    across = nxt.filter((F.col("nx.ts") - F.col("ts") <= window_s) & (F.col("nx.hub") != F.col("hub")))
-    return inside.union(across.select("token_mint", F.col("hub").alias("a"), F.col("nx.hub").alias("b")))
-
-
-def lockstep_edges(swaps: DataFrame, window_s: int = LOCKSTEP_S) -> DataFrame:
-    """Different wallets selling within the window; seconds with a crowd as hub links."""
-    sells = sell_seconds(swaps)
-    reach = sells.withColumn("at", F.explode(F.sequence(F.col("ts"), F.col("ts") + window_s)))
-    n = sells.groupBy("token_mint", F.col("ts").alias("at")).agg(F.count("*").alias("n"))
-    seconds = sells.select("token_mint", "ts").distinct().withColumn(
-        "at", F.explode(F.sequence(F.col("ts"), F.col("ts") + window_s)))
-    crowd = seconds.join(n, ["token_mint", "at"]).groupBy("token_mint", "ts").agg(F.sum("n").alias("crowd"))
-    right = sells.select("token_mint", F.col("ts").alias("at"), F.col("wallet").alias("b"))
-    pairs = (
-        reach.join(crowd.filter(F.col("crowd") <= PAIR_LIMIT), ["token_mint", "ts"])
-        .join(right, ["token_mint", "at"])
-        .filter((F.col("wallet") != F.col("b")) & ((F.col("at") > F.col("ts")) | (F.col("wallet") < F.col("b"))))
-        .select("token_mint", F.col("wallet").alias("a"), "b", F.lit("pair").alias("form"), F.lit(2).alias("group_size")))
-    busy = crowd.filter(F.col("crowd") > PAIR_LIMIT)
-    dense = stars(sells.join(busy, ["token_mint", "ts"], "left_semi"), ["token_mint", "ts"]).join(
-        busy, ["token_mint", "ts"])
-    ahead = sells.withColumn("prev", F.explode(F.sequence(F.col("ts") - window_s, F.col("ts") - 1)))
-    hubs = sells.join(busy, ["token_mint", "ts"], "left_semi").groupBy(
-        "token_mint", F.col("ts").alias("prev")).agg(F.min("wallet").alias("hub"))
-    cross = ahead.join(hubs, ["token_mint", "prev"]).filter("hub <> wallet").join(
-        busy.withColumnRenamed("ts", "prev"), ["token_mint", "prev"])
-    linear = dense.select("token_mint", "a", "b", F.lit("star"), F.col("crowd")).union(
-        cross.select("token_mint", F.col("hub"), F.col("wallet"), F.lit("star"), F.col("crowd")))
-    return _edges(pairs.union(linear), "lockstep_sell")
+    across = nxt.filter((F.col("nx.ts") - F.col("ts") <= window_s) & (F.col("nx.hub") != F.col("hub"))).select(
+        "token_mint", F.col("hub").alias("a"), F.col("nx.hub").alias("b"), "ts", F.lit(2).alias("group_size"))
+    inside = stars(sells, ["token_mint", "ts"]).select("token_mint", "a", "b", "ts", "group_size")
+    return _edges(inside.union(across), "lockstep_sell", "ts")
 
 
 def funder_members(swaps: DataFrame, funding: DataFrame, cex: DataFrame) -> DataFrame:
@@ -191,7 +166,7 @@ def behavioral_edges(participants: DataFrame, vectors: DataFrame, threshold: flo
     people = participants.select("token_mint", F.col("signer").alias("wallet")).distinct().join(unit, "wallet")
     classes = people.groupBy("token_mint", "u").agg(F.min("wallet").alias("hub"), F.count("*").alias("n"))
     same = people.join(classes, ["token_mint", "u"]).filter("wallet <> hub").select(
-        "token_mint", F.col("hub").alias("a"), F.col("wallet").alias("b"), F.lit("star").alias("form"), F.col("n").alias("group_size"))
+        "token_mint", F.col("hub").alias("a"), F.col("wallet").alias("b"), F.col("n").alias("group_size"))
     width = (2 - 2 * threshold) ** 0.5 + 1e-9
     cell = [F.floor(F.col("u")[i] / width).alias(f"c{i}") for i in range(3)]
     right = classes.select("token_mint", F.col("hub").alias("b"), F.col("u").alias("ub"), *cell)
@@ -201,11 +176,11 @@ def behavioral_edges(participants: DataFrame, vectors: DataFrame, threshold: flo
         left = left.withColumn(f"c{i}", step(i))
     dot: Column = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     across = left.join(right, ["token_mint", "c0", "c1", "c2"]).filter((F.col("a") < F.col("b")) & (dot >= threshold))
-    return _edges(same.union(across.select("token_mint", "a", "b", F.lit("pair"), F.lit(2))), "behavioral")
+    return _edges(same.union(across.select("token_mint", "a", "b", F.lit(2))), "behavioral", F.lit(None))
 
 
 def typed_edges(swaps: DataFrame, funding: DataFrame, cex: DataFrame, slot_label: str = "same_slot") -> DataFrame:
-    """The typed edge list of every coin in one frame."""
+    """The typed links of every coin in one frame, linear in its wallets and seconds."""
     return (
         group_edges(slot_members(swaps), ["token_mint", "grp"], slot_label)
         .unionByName(size_edges(swaps)).unionByName(lockstep_edges(swaps))
@@ -213,9 +188,5 @@ def typed_edges(swaps: DataFrame, funding: DataFrame, cex: DataFrame, slot_label
 
 
 def typed_chains(swaps: DataFrame, funding: DataFrame, cex: DataFrame, slot_label: str = "same_slot") -> DataFrame:
-    """Linear links with the components of `typed_edges`: (mint, a, b, edge_type)."""
-    tag = lambda df, label: df.select("token_mint", "a", "b", F.lit(label).alias("edge_type"))
-    return (
-        tag(stars(slot_members(swaps), ["token_mint", "grp"]), slot_label)
-        .union(tag(size_chain(swaps), "buy_size")).union(tag(lockstep_chain(swaps), "lockstep_sell"))
-        .union(tag(stars(funder_members(swaps, funding, cex), ["token_mint", "grp"]), "funder")))
+    """(mint, a, b, edge_type) of `typed_edges`."""
+    return typed_edges(swaps, funding, cex, slot_label).select("token_mint", "a", "b", "edge_type").distinct()

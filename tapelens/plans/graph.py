@@ -9,8 +9,6 @@ from tapelens.plans.features import anchored_cte, habits
 from tapelens.plans.registry import cte, dsum, query
 from tapelens.sources.tables import Tables
 
-LIMIT = links.PAIR_LIMIT
-
 
 def window(t: Tables):
     return t.store("coordination_window", lambda: entities.coordination_window(t.post))
@@ -52,14 +50,10 @@ def _(t):
 
 
 def group_edges_sql(members: str, label: str) -> str:
-    """Pairs of groups up to the limit, hub links beyond, as in `group_edges`."""
+    """Star links of every group around its smallest wallet."""
     return f"""
-SELECT token_mint, least(a, b) AS a, greatest(a, b) AS b, '{label}' AS edge_type, form, max(n) AS group_size FROM (
-  SELECT x.token_mint, x.wallet AS a, y.wallet AS b, 'pair' AS form, n FROM {members} x JOIN {members} y USING (token_mint, grp)
-  JOIN (SELECT token_mint, grp, count(*) AS n FROM {members} GROUP BY 1, 2) USING (token_mint, grp) WHERE x.wallet < y.wallet AND n <= {LIMIT}
-  UNION ALL
-  SELECT token_mint, hub, wallet, 'star', n FROM {members} JOIN (SELECT token_mint, grp, count(*) AS n, min(wallet) AS hub FROM {members} GROUP BY 1, 2) USING (token_mint, grp)
-  WHERE n > {LIMIT} AND wallet <> hub) GROUP BY ALL"""
+SELECT token_mint, hub AS a, wallet AS b, '{label}' AS edge_type, CAST(grp AS VARCHAR) AS grp, n AS group_size
+FROM {members} JOIN (SELECT token_mint, grp, count(*) AS n, min(wallet) AS hub FROM {members} GROUP BY 1, 2) USING (token_mint, grp) WHERE wallet <> hub"""
 
 
 cte("t_fund_mem", """SELECT DISTINCT w.token_mint, f.funder AS grp, w.signer AS wallet FROM t_win w JOIN t_funding f ON f.wallet = w.signer
@@ -67,10 +61,13 @@ WHERE f.funder <> 'cex' AND f.funder NOT IN (SELECT wallet FROM t_cex)""")
 cte("t_e_slot", group_edges_sql("t_grp", "same_slot"))
 cte("t_e_fund", group_edges_sql("t_fund_mem", "funder"))
 cte("t_amt", "SELECT token_mint, signer AS wallet, max(sol_amount) AS amt FROM t_win WHERE side = 'buy' AND sol_amount > 0 GROUP BY 1, 2")
-cte("t_e_size", """SELECT DISTINCT x.token_mint, least(x.wallet, y.wallet) AS a, greatest(x.wallet, y.wallet) AS b, 'buy_size' AS edge_type, 'pair' AS form, 2 AS group_size
-FROM t_amt x JOIN t_amt y ON x.token_mint = y.token_mint AND (y.amt > x.amt OR (y.amt = x.amt AND y.wallet > x.wallet)) AND y.amt - x.amt <= x.amt * 0.005""")
-cte("t_e_lock", """SELECT DISTINCT x.token_mint, least(x.signer, y.signer) AS a, greatest(x.signer, y.signer) AS b, 'lockstep_sell' AS edge_type, 'pair' AS form, 2 AS group_size
-FROM t_win x JOIN t_win y ON x.token_mint = y.token_mint AND x.side = 'sell' AND y.side = 'sell' AND x.signer <> y.signer AND y.ts - x.ts BETWEEN 0 AND 2""")
+cte("t_e_size", """SELECT token_mint, least(wallet, nw) AS a, greatest(wallet, nw) AS b, 'buy_size' AS edge_type, CAST(NULL AS VARCHAR) AS grp, 2 AS group_size FROM (
+  SELECT *, lead(wallet) OVER w AS nw, lead(amt) OVER w AS na FROM t_amt WINDOW w AS (PARTITION BY token_mint ORDER BY amt, wallet)) WHERE na <= amt * 1.005::DOUBLE""")
+cte("t_sec", "SELECT DISTINCT token_mint, ts, signer AS wallet FROM t_win WHERE side = 'sell'")
+cte("t_hub", "SELECT token_mint, ts, min(wallet) AS hub, count(*) AS n FROM t_sec GROUP BY 1, 2")
+cte("t_e_lock", """SELECT s.token_mint, hub AS a, wallet AS b, 'lockstep_sell' AS edge_type, CAST(s.ts AS VARCHAR) AS grp, n AS group_size FROM t_sec s JOIN t_hub h ON h.token_mint = s.token_mint AND h.ts = s.ts WHERE wallet <> hub
+UNION ALL SELECT token_mint, least(hub, nh), greatest(hub, nh), 'lockstep_sell', CAST(ts AS VARCHAR), 2 FROM (
+  SELECT *, lead(hub) OVER w AS nh, lead(ts) OVER w AS nt FROM t_hub WINDOW w AS (PARTITION BY token_mint ORDER BY ts)) WHERE nt - ts <= 2 AND nh <> hub""")
 
 
 @query("edges_same_slot", "e", "SELECT * FROM t_e_slot")
@@ -105,10 +102,10 @@ cte("t_class", "SELECT token_mint, u, min(wallet) AS hub, count(*) AS n FROM t_c
 
 
 @query("edges_behavioral", "e", f"""
-SELECT token_mint, least(a, b) AS a, greatest(a, b) AS b, 'behavioral' AS edge_type, form, max(n) AS group_size FROM (
-  SELECT m.token_mint, hub AS a, wallet AS b, 'star' AS form, n FROM t_class_mem m JOIN t_class c ON c.token_mint = m.token_mint AND c.u = m.u WHERE wallet <> hub
-  UNION ALL SELECT x.token_mint, x.hub, y.hub, 'pair', 2 FROM t_class x JOIN t_class y ON x.token_mint = y.token_mint AND x.hub < y.hub
-  WHERE list_dot_product(x.u, y.u) >= 0.92) GROUP BY ALL""")
+SELECT token_mint, least(a, b) AS a, greatest(a, b) AS b, 'behavioral' AS edge_type, CAST(NULL AS VARCHAR) AS grp, n AS group_size FROM (
+  SELECT m.token_mint, hub AS a, wallet AS b, n FROM t_class_mem m JOIN t_class c ON c.token_mint = m.token_mint AND c.u = m.u WHERE wallet <> hub
+  UNION ALL SELECT x.token_mint, x.hub, y.hub, 2 FROM t_class x JOIN t_class y ON x.token_mint = y.token_mint AND x.hub < y.hub
+  WHERE list_dot_product(x.u, y.u) >= 0.92)""")
 def _(t):
     vectors = flow.behavior_vector(habits(t)).filter("n_coins_bc >= 3")
     return links.behavioral_edges(t.bc, vectors)
@@ -129,7 +126,7 @@ JOIN t_funding f ON f.wallet = p.wallet WHERE first_seen IS NOT NULL""")
 cte("t_wflow", f"""SELECT token_mint, signer AS wallet, {dsum("CASE WHEN side = 'buy' THEN token_amount ELSE 0 END")} AS bought,
   {dsum("CASE WHEN side = 'sell' THEN token_amount ELSE 0 END")} AS sold FROM t_win GROUP BY 1, 2""")
 cte("t_entities", f"""
-SELECT c.token_mint, substr(sha1(string_agg(c.wallet, '|' ORDER BY c.wallet)), 1, 16) AS entity_id, c.comp, count(*) AS wallet_count,
+SELECT c.token_mint, substr(sha1(concat_ws('|', c.comp, count(*), sum(CAST(('0x' || substr(md5(c.wallet), 1, 15)) AS BIGINT)))), 1, 16) AS entity_id, c.comp, count(*) AS wallet_count,
   CASE WHEN any_value(denom) > 0 THEN least(round({dsum('bought')} / any_value(denom) * 100, 2), 100) ELSE 0 END AS supply_pct,
   round(count(*) FILTER (coalesce(flag, 'none') <> 'none') / count(*), 3) AS fresh_ratio,
   CASE WHEN {dsum('bought')} <= 0 THEN 'HOLDING' WHEN {dsum('sold')} / {dsum('bought')} >= 0.9 THEN 'DUMPED' WHEN {dsum('sold')} / {dsum('bought')} >= 0.3 THEN 'DISTRIBUTING'
@@ -187,50 +184,29 @@ def _(t):
 
 
 # ── topology ─────────────────────────────────────────────────────────────────
-cte("t_tb", """SELECT token_mint, wallet, total_sol_in FROM (SELECT *, row_number() OVER (PARTITION BY token_mint ORDER BY wallet) AS rn,
-  count(*) OVER (PARTITION BY token_mint) AS n FROM t_accum) WHERE rn <= 300 AND n >= 3""")
+cte("t_tb", "SELECT token_mint, wallet, total_sol_in FROM (SELECT *, count(*) OVER (PARTITION BY token_mint) AS n FROM t_accum) WHERE n >= 3")
 cte("t_ts", "SELECT DISTINCT b.token_mint, b.signer AS wallet, CAST(slot AS VARCHAR) AS grp FROM t_bc b JOIN t_tb n ON n.token_mint = b.token_mint AND n.wallet = b.signer WHERE side = 'buy'")
 cte("t_tf", "SELECT b.token_mint, b.wallet, f.funder AS grp FROM t_tb b JOIN t_funding f USING (wallet) WHERE f.funder <> 'cex'")
-
-
-def clique_sql(m: str, label: str) -> str:
-    return f"""SELECT x.token_mint, x.wallet AS a, y.wallet AS b, '{label}' AS label FROM {m} x JOIN {m} y USING (token_mint, grp)
-JOIN (SELECT token_mint, grp FROM {m} GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 40) USING (token_mint, grp) WHERE x.wallet < y.wallet"""
-
-
-cte("t_tl", clique_sql("t_ts", "same_slot") + " UNION ALL " + clique_sql("t_tf", "funder") + """
-UNION ALL SELECT x.token_mint, least(x.wallet, y.wallet), greatest(x.wallet, y.wallet), 'size' FROM t_tb x JOIN t_tb y ON x.token_mint = y.token_mint
-AND x.total_sol_in > 0 AND (y.total_sol_in > x.total_sol_in OR (y.total_sol_in = x.total_sol_in AND y.wallet > x.wallet)) AND y.total_sol_in - x.total_sol_in <= x.total_sol_in * 0.02""")
-cte("t_te", "SELECT DISTINCT token_mint, a, b FROM t_tl")
-cte("t_tu", "SELECT token_mint, a, b FROM t_te UNION ALL SELECT token_mint, b, a FROM t_te")
+cte("t_tl", """SELECT x.token_mint, x.wallet AS a, y.wallet AS b, 'same_slot' AS label FROM t_ts x JOIN t_ts y USING (token_mint, grp) WHERE x.wallet < y.wallet
+UNION ALL SELECT x.token_mint, x.wallet, y.wallet, 'funder' FROM t_tf x JOIN t_tf y USING (token_mint, grp) WHERE x.wallet < y.wallet
+UNION ALL SELECT x.token_mint, least(x.wallet, y.wallet), greatest(x.wallet, y.wallet), 'size' FROM t_tb x JOIN t_tb y ON x.token_mint = y.token_mint AND x.total_sol_in > 0
+  AND (y.total_sol_in > x.total_sol_in OR (y.total_sol_in = x.total_sol_in AND y.wallet > x.wallet)) AND y.total_sol_in <= x.total_sol_in * 1.02::DOUBLE""")
+cte("t_tu", "SELECT token_mint, a, b FROM t_tl UNION ALL SELECT token_mint, b, a FROM t_tl")
 cte("t_td", "SELECT n.token_mint, n.wallet, count(u.b) AS deg FROM t_tb n LEFT JOIN t_tu u ON u.token_mint = n.token_mint AND u.a = n.wallet GROUP BY 1, 2")
 cte("t_treach", """COLUMNS(token_mint, wallet, r) AS SELECT token_mint, wallet, wallet FROM t_td
   UNION SELECT e.token_mint, e.b, c.r FROM t_treach c JOIN t_tu e ON e.token_mint = c.token_mint AND e.a = c.wallet""")
-cte("t_lp0", "SELECT token_mint, wallet, wallet AS label FROM t_td")
-for _i in range(entities.PROPAGATION_ROUNDS):
-    cte(f"t_lp{_i + 1}", f"""SELECT token_mint, wallet, label FROM (SELECT token_mint, wallet, label, row_number() OVER (PARTITION BY token_mint, wallet ORDER BY count(*) DESC, label) AS rn
- FROM (SELECT u.token_mint, u.a AS wallet, l.label FROM t_tu u JOIN t_lp{_i} l ON l.token_mint = u.token_mint AND l.wallet = u.b UNION ALL SELECT * FROM t_lp{_i}) GROUP BY 1, 2, 3) WHERE rn = 1""")
 cte("t_topo", """
 SELECT base.token_mint, n AS topo_nodes, CAST(d // 2 AS BIGINT) AS topo_edges, round(d / (n * (n - 1)), 6) AS topo_density, round(d / n, 6) AS topo_avg_degree,
   round(CASE WHEN d > 0 THEN mx / (d / n) ELSE 0 END, 6) AS topo_max_degree_ratio, round((n * mx - d) / ((n - 1) * (n - 2)), 6) AS topo_centralization,
-  round(cc, 6) AS topo_clustering, topo_components, round(big / n, 6) AS topo_largest_comp_share, topo_communities, round(modularity, 6) AS topo_modularity,
-  round(comm_big / n, 6) AS topo_largest_comm_share, coalesce(ks, 0) AS topo_same_slot_edges, coalesce(kf, 0) AS topo_funder_edges, coalesce(kz, 0) AS topo_size_edges
-FROM (SELECT token_mint, count(*) AS n, CAST(sum(deg) AS BIGINT) AS d, max(deg) AS mx,
-   CAST(sum(CAST(CASE WHEN deg >= 2 THEN 2 * coalesce(tri, 0) / (deg * (deg - 1)) ELSE 0 END AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS cc
-   FROM t_td LEFT JOIN (SELECT x.token_mint, x.b AS wallet, count(*) AS tri FROM t_tu x JOIN t_tu y ON y.token_mint = x.token_mint AND y.a = x.b AND x.a < y.b
-      JOIN t_te z ON z.token_mint = x.token_mint AND z.a = x.a AND z.b = y.b GROUP BY 1, 2) USING (token_mint, wallet) GROUP BY 1) base
+  topo_components, round(big / n, 6) AS topo_largest_comp_share, coalesce(ks, 0) AS topo_same_slot_edges, coalesce(kf, 0) AS topo_funder_edges, coalesce(kz, 0) AS topo_size_edges
+FROM (SELECT token_mint, count(*) AS n, CAST(sum(deg) AS BIGINT) AS d, max(deg) AS mx FROM t_td GROUP BY 1) base
 JOIN (SELECT token_mint, count(*) AS topo_components, max(k) AS big FROM (SELECT token_mint, comp, count(*) AS k FROM (
    SELECT token_mint, wallet, min(r) AS comp FROM t_treach GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1) USING (token_mint)
-LEFT JOIN (SELECT token_mint, count(*) FILTER (label = 'same_slot') AS ks, count(*) FILTER (label = 'funder') AS kf, count(*) FILTER (label = 'size') AS kz FROM t_tl GROUP BY 1) USING (token_mint)
-LEFT JOIN (SELECT p.token_mint, count(*) AS topo_communities, max(k) AS comm_big, CAST(sum(CAST(coalesce(lc, 0) / m - pow(dc / (2 * m), 2) AS DECIMAL(28,12))) AS DOUBLE) AS modularity
-   FROM (SELECT token_mint, label, count(*) AS k, sum(deg) AS dc FROM t_td JOIN t_lp5 USING (token_mint, wallet) GROUP BY 1, 2) p
-   JOIN (SELECT token_mint, count(*) AS m FROM t_te GROUP BY 1) USING (token_mint)
-   LEFT JOIN (SELECT e.token_mint, x.label, count(*) AS lc FROM t_te e JOIN t_lp5 x ON x.token_mint = e.token_mint AND x.wallet = e.a
-     JOIN t_lp5 y ON y.token_mint = e.token_mint AND y.wallet = e.b AND x.label = y.label GROUP BY 1, 2) USING (token_mint, label) GROUP BY 1) USING (token_mint)""")
+LEFT JOIN (SELECT token_mint, count(*) FILTER (label = 'same_slot') AS ks, count(*) FILTER (label = 'funder') AS kf, count(*) FILTER (label = 'size') AS kz FROM t_tl GROUP BY 1) USING (token_mint)""")
 
 
 def topo_frame(t: Tables):
-    return t.store("topology", lambda: entities.topology(*entities.topology_edges(t.bc, flow.accumulation(t.bc), t.funding)))
+    return t.store("topology", lambda: entities.topology(t.bc, flow.accumulation(t.bc), t.funding))
 
 
 @query("launch_topology", "e", "SELECT * FROM t_topo")
@@ -239,6 +215,8 @@ def _(t):
 
 
 cte("t_gsel", "SELECT * FROM t_edges WHERE edge_type IN ('funder', 'same_slot')")
+cte("t_gmem", """SELECT token_mint, 'same_slot' AS kind, CAST(grp AS VARCHAR) AS grp, wallet, count(*) OVER (PARTITION BY token_mint, grp) AS k FROM t_grp
+UNION ALL SELECT token_mint, 'funder', grp, wallet, count(*) OVER (PARTITION BY token_mint, grp) FROM t_fund_mem""")
 cte("t_gu", "SELECT token_mint, a, b FROM t_gsel UNION SELECT token_mint, b, a FROM t_gsel")
 cte("t_greach", """COLUMNS(token_mint, wallet, r) AS SELECT DISTINCT token_mint, a, a FROM t_gu
   UNION SELECT e.token_mint, e.b, c.r FROM t_greach c JOIN t_gu e ON e.token_mint = c.token_mint AND e.a = c.wallet""")
@@ -249,8 +227,8 @@ SELECT token_mint, n_buys, n_wallets, coalesce(n_components, 0) AS n_components,
 FROM (SELECT token_mint, count(*) AS n_buys, count(DISTINCT signer) AS n_wallets FROM t_post WHERE side = 'buy' AND ts - graduated_at <= 600 GROUP BY 1 HAVING count(DISTINCT signer) >= 3)
 LEFT JOIN (SELECT token_mint, count(*) AS n_components, max(k) AS big, CAST(sum(k) AS BIGINT) AS clustered FROM (SELECT token_mint, comp, count(*) AS k FROM (
    SELECT token_mint, wallet, min(r) AS comp FROM t_greach GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1) USING (token_mint)
-LEFT JOIN (SELECT token_mint, max(d) AS mx, sum(d) / count(*) AS av FROM (SELECT token_mint, w, count(*) AS d FROM (SELECT token_mint, a AS w FROM t_gsel UNION ALL SELECT token_mint, b FROM t_gsel) GROUP BY 1, 2) GROUP BY 1) USING (token_mint)
-LEFT JOIN (SELECT token_mint, count(*) AS n_sel, count(*) FILTER (edge_type = 'funder') AS funder_edges FROM t_gsel GROUP BY 1) USING (token_mint)
+LEFT JOIN (SELECT token_mint, max(d) AS mx, sum(d) / count(*) AS av FROM (SELECT token_mint, wallet, sum(k - 1) AS d FROM t_gmem WHERE k > 1 GROUP BY 1, 2) GROUP BY 1) USING (token_mint)
+LEFT JOIN (SELECT token_mint, sum(k - 1) / 2 AS n_sel, CAST(sum(CASE WHEN kind = 'funder' THEN k - 1 ELSE 0 END) // 2 AS BIGINT) AS funder_edges FROM t_gmem WHERE k > 1 GROUP BY 1) USING (token_mint)
 WHERE token_mint IN (SELECT token_mint FROM t_edges)""")
 
 

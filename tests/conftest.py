@@ -9,8 +9,8 @@ from tapelens.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "local[4]", **{
+def spark(tmp_path_factory):
+    s = build_session("tests", "local[4]", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tapelens.operators import links
+from tapelens.operators import entities, links
 from tapelens.operators.components import connected_components
 
 
@@ -48,27 +48,38 @@ def brute(rows):
     return lock, size, slot
 
 
-def test_pairs_and_chains(tape):
-    rows = random_tape(tape)
-    df = tape(rows)
-    lock, size, slot = brute(rows)
-    pairs = lambda e: {(r.a, r.b) for r in e.collect()}
-    assert pairs(links.lockstep_edges(df)) == lock
-    assert pairs(links.size_edges(df)) == size
-    assert pairs(links.group_edges(links.slot_members(df), ["token_mint", "grp"], "same_slot")) == slot
-    comp = lambda e: {(r.node, r.comp) for r in connected_components(e, ["token_mint"]).collect()}
-    for chain, full in ((links.lockstep_chain(df), lock), (links.size_chain(df), size), (links.stars(links.slot_members(df), ["token_mint", "grp"]), slot)):
-        assert comp(chain) == set(union_find(full).items())
-
-
-def test_crowded_groups_stay_linear_and_keep_components(tape, spark, monkeypatch):
-    rows = random_tape(tape, n=400, seconds=20, wallets=60, seed=7)
-    df = tape(rows)
-    lock, size, slot = brute(rows)
-    monkeypatch.setattr(links, "PAIR_LIMIT", 4)
-    for e, full in ((links.lockstep_edges(df), lock), (links.size_edges(df), size), (links.group_edges(links.slot_members(df), ["token_mint", "grp"], "s"), slot)):
-        assert e.count() <= 4 * len(rows)
-        assert {(r.node, r.comp) for r in connected_components(e, ["token_mint"]).collect()} == set(union_find(full).items())
+def test_links_are_linear_and_keep_components(tape):
+    for rows in (random_tape(tape), random_tape(tape, n=400, seconds=20, wallets=60, seed=7)):
+        df = tape(rows)
+        lock, size, slot = brute(rows)
+        for e, full in ((links.lockstep_edges(df), lock), (links.size_edges(df), size), (links.group_edges(links.slot_members(df), ["token_mint", "grp"], "s"), slot)):
+            got = e.collect()
+            assert len(got) <= 2 * len(rows) and all(r.a < r.b for r in got)
+            assert {(r.node, r.comp) for r in connected_components(e, ["token_mint"]).collect()} == set(union_find(full).items())
+
+
+def test_band_counts_equal_pairs(spark):
+    rng = random.Random(9)
+    values = {f"w{i:03d}": rng.choice([1, 1.004, 1.005, 2, 2.009, rng.random() * 5 + 0.01]) for i in range(150)}
+    df = spark.createDataFrame([("m", w, v) for w, v in values.items()], "token_mint string, wallet string, v double")
+    got = {r.wallet: (r.ahead, r.behind) for r in links.band_counts(df, "v", 0.005).collect()}
+    order = sorted(values, key=lambda w: (values[w], w))
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if values[b] <= values[a] * 1.005]
+    assert got == {w: (sum(a == w for a, _ in pairs), sum(b == w for _, b in pairs)) for w in values}
+
+
+def test_group_of_thousands_keeps_exact_measures(spark):
+    """One slot with 5,000 wallets: 4,999 links that state all pairs and degrees."""
+    data = [("m", f"w{i:04d}", "buy", 1.0, 1.0, 0, 0, 1.0, f"{i}", 0, 0) for i in range(5000)]
+    df = spark.createDataFrame(data, "token_mint string, signer string, side string, sol_amount double, token_amount double, ts long, slot long, price_usd double, tx_signature string, created_at long, graduated_at long")
+    edges = links.group_edges(links.slot_members(df), ["token_mint", "grp"], "same_slot")
+    assert edges.count() == 4999
+    shape = entities.graph_shape(edges, df, 3).first()
+    assert (shape.n_components, shape.largest_comp_share, shape.sel_density, shape.max_degree_ratio) == (1, 1.0, 1.0, 1.0)
+    accum = df.select("token_mint", F.col("signer").alias("wallet"), F.lit(1.0).alias("total_sol_in"))
+    topo = entities.topology(df, accum, spark.createDataFrame([], "wallet string, funder string")).first()
+    assert (topo.topo_nodes, topo.topo_same_slot_edges, topo.topo_size_edges) == (5000, 12497500, 12497500)
+    assert topo.topo_components == 1 and topo.topo_centralization == 0
 
 
 def test_bundle_rules(tape):
