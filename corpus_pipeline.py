@@ -33,15 +33,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents keep."""
-    kept = line_dedup.with_kept(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return kept.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    kept = line_dedup.with_kept(docs).toDF(*names, "n_lines", "n_dropped", "kept_text")
+    text = F.when(F.col(names[docs.columns.index("text")]).isNotNull(), F.col("kept_text"))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*[changed.get(c, F.col(n)).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     gone = ngram_join.linked(docs, SHINGLE_WORDS, PERCENT).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stored(gone, "near-duplicates"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    gone_id = F.col(f"_c{docs.columns.index('doc_id')}") == F.col("__gone")
+    return plain.join(stored(gone, "near-duplicates"), gone_id, "left_anti").toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from tapelens.session import shared_path, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
+ENTRY_DDL = "h1 bigint, h2 bigint, doc_id bigint, row bigint, pos int, batch int"
 RUN_DDL = "h1 bigint, h2 bigint, n bigint, keeper bigint"
 
 
@@ -105,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = pick(docs, doc_id=id_col, text=text_col)
     path = shared_path(docs.sparkSession, "line-entries")
     line_entries(docs).write.partitionBy("batch").parquet(path)
-    entries = docs.sparkSession.read.parquet(path)
+    entries = docs.sparkSession.read.schema(ENTRY_DDL).parquet(path)
     repeated = stored(repeated_keys(entries), "repeated-lines")
     lost = entries.join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.select("doc_id", "row", "pos").distinct().groupBy("doc_id", "row").agg(F.collect_list("pos").alias("drop"))

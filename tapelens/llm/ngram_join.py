@@ -41,7 +41,7 @@ from tapelens.operators.components import connected_components
 from tapelens.session import stored
 
 #: Buckets of the shingle frequency table; 64-bit words of a token bitmap.
-BUCKETS, BITMAP_WORDS = 1 << 18, 32
+BUCKETS, BITMAP_WORDS = 1 << 21, 32
 #: Members of an upper node, and of a lower one.
 NODE, LEAF = 256, 16
 #: Bits of the filter that picks the texts to fetch; false hits only fetch more.
@@ -72,11 +72,9 @@ def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    total += np.bincount((shingles(text, n) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if text and len(text) > 400_000 else 0
-                short = [shingles(t, n) for t in part.column(0).to_pylist() if t and len(t) <= 400_000]
-                if short:
-                    total += np.bincount((np.concatenate(short) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                sets = [shingles(t, n) for t in part.column(0).to_pylist() if t]
+                if sets:
+                    total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         yield packed(total)
 
     def packed(total: np.ndarray) -> pa.RecordBatch:
@@ -111,7 +109,7 @@ def bitmap_of(tokens: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """SIGNATURES of every row, written once."""
     counts = bucket_counts(docs, n)
-    ranks = np.minimum(np.floor(np.log2(np.maximum(counts, 1)) * 64), 2**31 - 1).astype(np.int32)  # order of buckets, fixed size
+    ranks = np.minimum(np.log2(counts + 1) * 6, 255).astype(np.uint8)  # order of buckets in steps of an eighth, one byte each
 
     def step(cols):
         out = {f.name: [] for f in SIGNATURES}

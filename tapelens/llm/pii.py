@@ -28,7 +28,7 @@ from tapelens.llm.common import arrow_map, pick
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Strength of the skip potential, belief needed for a further span, rounds of message passing.
-SKIP, BELIEF, ROUNDS, DAMPING = 2.5, 0.8, 12, 0.5
+SKIP, BELIEF, ROUNDS, DAMPING = 4.0, 0.8, 12, 0.5
 #: Repetitions link only words with so many letters and digits.
 MIN_KEY = 6
 
