@@ -25,7 +25,7 @@ from tapelens.llm.common import arrow_map, pick
 
 NONE = np.int32(2**31 - 1)
 #: Pieces remembered per worker; cells of one matrix.
-CACHE_PIECES, MATRIX_CELLS = 300_000, 1 << 20
+CACHE_PIECES, MATRIX_CELLS = 150_000, 1 << 18
 #: A piece of more bytes than this is merged through a heap: rounds over a row that long cost its square.
 LONG_PIECE = 1024
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

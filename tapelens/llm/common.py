@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Rows of one Arrow batch and bytes a Python step takes at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 
