@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapelens.functions.columns import clip, distribution_signal
 from tapelens.sources.tables import exact_sum
 
-MIN_CALLS, MIN_SAMPLE, RUGGER_RATE, GRAPH_CAP = 15, 8, 0.65, 20
+MIN_CALLS, MIN_SAMPLE, RUGGER_RATE = 15, 8, 0.65
 
 
 def wallet_stats(buyers: DataFrame, outcomes4: DataFrame) -> DataFrame:
@@ -74,18 +74,59 @@ def creator_reputation(graded: DataFrame) -> DataFrame:
 
 
 def reputation_as_of(asking: DataFrame, graded: DataFrame, key: str, resolve_s: int) -> DataFrame:
-    """Prior coins and rug rate per coin, counting only coins resolved before its anchor.
+    """Prior coins, rugs and moons per asking row, counting only coins resolved before its anchor.
 
     Coins collapse to (key, second) first; the running window sees one row per second.
     """
-    asks = asking.groupBy(key, "graduated_at").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rugs"))
+    zero = F.lit(0).cast("long")
+    asks = asking.select(key, "graduated_at").distinct().select(key, "graduated_at", *[zero.alias(c) for c in ("n", "rugs", "moons")])
     known = graded.groupBy(key, (F.col("graduated_at") + resolve_s).alias("graduated_at")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("classified") == "rug").alias("rugs"))
-    line = asks.unionByName(known).groupBy(key, "graduated_at").agg(F.sum("n").alias("n"), F.sum("rugs").alias("rugs"))
+        F.count("*").alias("n"), F.count_if(F.col("classified") == "rug").alias("rugs"), F.count_if(F.col("classified") == "moon").alias("moons"))
+    line = asks.unionByName(known).groupBy(key, "graduated_at").agg(*[F.sum(c).alias(c) for c in ("n", "rugs", "moons")])
     w = Window.partitionBy(key).orderBy("graduated_at").rangeBetween(Window.unboundedPreceding, 0)
-    prior = line.select(key, "graduated_at", F.sum("n").over(w).alias("prior_n"), F.sum("rugs").over(w).alias("prior_rugs"))
+    prior = line.select(key, "graduated_at", *[F.sum(c).over(w).alias(f"prior_{c}") for c in ("n", "rugs", "moons")])
+    rate = lambda c: F.when(F.col("prior_n") > 0, F.col(c) / F.col("prior_n"))
     return asking.join(prior, [key, "graduated_at"]).select(
-        "token_mint", key, "prior_n", F.when(F.col("prior_n") > 0, F.col("prior_rugs") / F.col("prior_n")).alias("prior_rug_rate"))
+        "token_mint", key, "prior_n", "prior_rugs", "prior_moons", rate("prior_rugs").alias("prior_rug_rate"), rate("prior_moons").alias("prior_moon_rate"))
+
+
+def smart_scores_as_of(asking: DataFrame, calls: DataFrame, buys: DataFrame, trades: DataFrame, resolve_s: int, day_s: int) -> DataFrame:
+    """Score of `smart_scores` for each (coin, wallet) from what was known at the coin's anchor.
+
+    `calls`: (wallet, graduated_at, classified); `buys`: (wallet, ts); `trades`: (wallet, ts, n). All
+    collapse to one row per (wallet, second), over which the counts run.
+    """
+    null = F.lit(None).cast("long")
+    row = lambda df, at, n=null, good=null, trade=null, bought=null: df.select("wallet", at.alias("at"), n.alias("n"), good.alias("good"), trade.alias("trades"), bought.alias("bought"))
+    good = F.col("classified").isin("moon", "ok").cast("long")
+    line = (row(asking, F.col("graduated_at")).unionByName(row(calls, F.col("graduated_at") + resolve_s, F.lit(1).cast("long"), good))
+            .unionByName(row(trades, F.col("ts"), trade=F.col("n"))).unionByName(row(buys, F.col("ts"), bought=F.col("ts"))))
+    line = line.groupBy("wallet", "at").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("trades").alias("trades"), F.max("bought").alias("bought"))
+    w = Window.partitionBy("wallet").orderBy("at")
+    ever, recent = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(-90 * day_s, 0)
+    known = line.select("wallet", F.col("at").alias("graduated_at"), F.sum("n").over(recent).alias("n"), F.sum("good").over(recent).alias("good"),
+                        F.sum("trades").over(ever).alias("trades"), F.max("bought").over(ever).alias("bought"))
+    idle = (F.col("graduated_at") - F.col("bought")) / day_s
+    raw = (0.60 * F.col("good") / F.col("n") + 0.25 * F.least(F.coalesce("trades", F.lit(0)) / 500.0, F.lit(1.0)) + 0.15 * F.greatest(F.lit(0.0), 1.0 - idle / 90.0))
+    return asking.join(known, ["wallet", "graduated_at"]).filter("n > 0").select("token_mint", "wallet", F.round(clip(raw, 0, 1), 4).alias("score"))
+
+
+def choreography_as_of(asking: DataFrame, summary: DataFrame, resolve_s: int, min_sellers: int = 2) -> DataFrame:
+    """Leader consistency and sample of a funder's exits known at each coin's anchor.
+
+    `summary`: (token_mint, funder, graduated_at, leader_wallet, n_sellers). A leader's count only
+    grows, so the largest count so far is a running maximum of the leaders' running counts.
+    """
+    known = summary.filter(F.col("n_sellers") >= min_sellers).groupBy("funder", "leader_wallet", (F.col("graduated_at") + resolve_s).alias("graduated_at")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("funder", "leader_wallet").orderBy("graduated_at").rangeBetween(Window.unboundedPreceding, 0)
+    per = known.withColumn("k", F.sum("c").over(w)).groupBy("funder", "graduated_at").agg(F.max("k").alias("k"), F.sum("c").alias("c"))
+    null = F.lit(None).cast("long")
+    line = per.unionByName(asking.select("funder", "graduated_at", null.alias("k"), null.alias("c")).distinct()).groupBy("funder", "graduated_at").agg(
+        F.max("k").alias("k"), F.sum("c").alias("c"))
+    ever = Window.partitionBy("funder").orderBy("graduated_at").rangeBetween(Window.unboundedPreceding, 0)
+    prior = line.select("funder", "graduated_at", F.max("k").over(ever).alias("k"), F.sum("c").over(ever).alias("c"))
+    return asking.join(prior, ["funder", "graduated_at"]).select(
+        "token_mint", F.round(F.col("k") / F.col("c"), 4).alias("leader_consistency"), F.col("c").alias("choreography_n"))
 
 
 def launch_velocity(coins: DataFrame, key: str, day_s: int) -> DataFrame:
@@ -142,79 +183,78 @@ def fingerprints(clusters: DataFrame, coin_funder: DataFrame, outcomes4: DataFra
         (F.count_if(F.col("classified") == "moon") / labels).alias("moon_rate"))
 
 
-def structural_match(clusters: DataFrame, prints: DataFrame, min_rug: float = 0.6, min_n: int = 4, limit: float = 0.25) -> DataFrame:
+def fingerprints_by_epoch(clusters: DataFrame, coin_funder: DataFrame, outcomes4: DataFrame, anchors: DataFrame, resolve_s: int, epoch_s: int) -> DataFrame:
+    """`fingerprints` at the start of each epoch, from coins resolved by then: (epoch, funder, ...).
+
+    A coin enters all epochs that start after it was resolved, through sums per (funder, epoch)
+    that run on; the number of epochs is the length of the tape over `epoch_s`.
+    """
+    j = (clusters.join(coin_funder, "token_mint").join(outcomes4.select("token_mint", "classified"), "token_mint", "left")
+         .join(anchors.select("token_mint", "graduated_at"), "token_mint"))
+    first = F.ceil((F.col("graduated_at") + resolve_s) / epoch_s)
+    axes = ["first_buy_offset_s", "is_bc_sniper", "member_count", "supply_pct"]
+    per = j.groupBy("funder", first.alias("epoch")).agg(
+        F.count("*").alias("n"), F.count("classified").alias("c"), F.count_if(F.col("classified") == "rug").alias("rugs"),
+        *[F.sum(F.col(a).cast("decimal(28,9)")).alias(a) for a in axes])
+    top = anchors.agg(F.floor(F.max("graduated_at") / epoch_s).alias("top"))
+    sums = ["n", "c", "rugs", *axes]
+    spread = per.join(F.broadcast(top)).withColumn("epoch", F.explode(F.when(F.col("epoch") <= F.col("top"), F.sequence("epoch", "top"))))  # one row
+    g = spread.groupBy("funder", "epoch").agg(*[F.sum(x).alias(x) for x in sums])
+    mean = lambda a: F.round(F.col(a).cast("double") / F.col("n"), 3)
+    return g.select("funder", "epoch", mean("first_buy_offset_s").alias("avg_first_buy_offset_s"), mean("is_bc_sniper").alias("avg_sniper_rate"),
+                    mean("member_count").alias("avg_cluster_size"), mean("supply_pct").alias("avg_bundle_pct"), F.col("n").alias("sample_count"),
+                    (F.col("rugs") / F.greatest(F.col("c"), F.lit(1))).alias("rug_rate"))
+
+
+def structural_match(clusters: DataFrame, prints: DataFrame, min_rug: float = 0.6, min_n: int = 4, limit: float = 0.25, within: tuple = ()) -> DataFrame:
     """Nearest known rug structure within `limit`, through a grid join on three of the four axes.
 
     Both sides carry a cell of side `limit`; a match differs by at most one cell per axis, so
-    the known side is spread over its neighbours and no pair outside them is formed.
+    the known side is spread over its neighbours and no pair outside them is formed. `within`
+    names columns that must be equal on both sides, such as the epoch of a point-in-time match.
     """
     def axes(df, size, supply, sniper, offset):
         return df.select("*", (F.col(size) / 20.0).alias("x0"), (F.col(supply) / 100.0).alias("x1"),
                          F.col(sniper).cast("double").alias("x2"), (F.col(offset) / 300.0).alias("x3"))
     known = axes(prints.filter((F.col("rug_rate") >= min_rug) & (F.col("sample_count") >= min_n)),
                  "avg_cluster_size", "avg_bundle_pct", "avg_sniper_rate", "avg_first_buy_offset_s")
-    known = known.select("funder", "rug_rate", "sample_count", *[F.col(f"x{i}").alias(f"k{i}") for i in range(4)])
+    known = known.select("funder", "rug_rate", "sample_count", *within, *[F.col(f"x{i}").alias(f"k{i}") for i in range(4)])
     new = axes(clusters, "member_count", "supply_pct", "is_bc_sniper", "first_buy_offset_s")
     for i in (0, 1, 3):
         c = F.floor(F.col(f"k{i}") / limit)
         known = known.withColumn(f"c{i}", F.explode(F.array(c - 1, c, c + 1)))
         new = new.withColumn(f"c{i}", F.floor(F.col(f"x{i}") / limit))
     d2 = sum((F.pow(F.col(f"x{i}") - F.col(f"k{i}"), 2) for i in range(1, 4)), F.pow(F.col("x0") - F.col("k0"), 2))
-    j = new.join(known, ["c0", "c1", "c3"]).withColumn("distance", F.round(F.sqrt(d2), 6)).filter(F.col("distance") <= limit)
+    j = new.join(known, ["c0", "c1", "c3", *within]).withColumn("distance", F.round(F.sqrt(d2), 6)).filter(F.col("distance") <= limit)
     best = j.groupBy("token_mint").agg(F.min_by(F.struct("funder", "distance", "rug_rate", "sample_count"), F.struct("distance", "funder")).alias("m"))
     return best.select("token_mint", F.col("m.funder").alias("matched_funder"), "m.distance", F.col("m.rug_rate").alias("match_rug_rate"),
                        F.col("m.sample_count").alias("match_n"))
 
 
-def capped_members(team: DataFrame) -> DataFrame:
-    """At most GRAPH_CAP best-scored members per coin: the graph's own bound on pairs."""
-    w = Window.partitionBy("token_mint").orderBy("rank", "wallet")
-    return team.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= GRAPH_CAP).select("token_mint", "wallet")
+def team_memberships(team: DataFrame, outcomes4: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(wallet, token_mint, graduated_at, classified) for teams of two or more wallets.
 
+    The co-occurrence graph in two-mode form: wallets and teams, never pairs of wallets.
+    """
+    sizes = team.groupBy("token_mint").agg(F.count("*").alias("k")).filter("k >= 2").select("token_mint")
+    return (team.select("token_mint", "wallet").join(sizes, "token_mint", "left_semi")
+            .join(outcomes4.select("token_mint", "classified"), "token_mint", "left").join(anchors.select("token_mint", "graduated_at"), "token_mint"))
 
-def wallet_graph(team: DataFrame, outcomes4: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Co-appearances of wallet pairs across teams, with rug co-appearances and last time."""
-    m = capped_members(team)
-    pairs = m.select("token_mint", F.col("wallet").alias("a")).join(
-        m.select("token_mint", F.col("wallet").alias("b")), "token_mint").filter("a < b")
-    j = pairs.join(outcomes4.select("token_mint", "classified"), "token_mint", "left").join(
-        anchors.select("token_mint", "graduated_at"), "token_mint")
-    return j.groupBy("a", "b").agg(
-        F.count("*").alias("co_appearances"), F.count_if(F.col("classified") == "rug").alias("rug_co_appearances"),
-        F.max("graduated_at").alias("last_seen_together"))
 
+def wallet_graph(memberships: DataFrame) -> DataFrame:
+    """Teams, rugged teams and last appearance of every wallet."""
+    return memberships.groupBy("wallet").agg(
+        F.count("*").alias("teams"), F.count_if(F.col("classified") == "rug").alias("rug_teams"), F.max("graduated_at").alias("last_seen"))
 
-def graph_hit_counts(team: DataFrame, graph: DataFrame, min_co: int = 2) -> DataFrame:
-    """(mint, connected, rug_hits, soft_hits): links of a member to wallets outside its team.
 
-    A wallet's degree is summed once and the links inside the team (at most GRAPH_CAP members)
-    are subtracted, so a wallet on many teams never multiplies its partners by its coins.
-    """
-    strong = graph.filter(F.col("co_appearances") >= min_co).withColumn("rug", (F.col("rug_co_appearances") >= 2).cast("int"))
-    ends = strong.select(F.col("a").alias("connected"), "rug").union(strong.select("b", "rug"))
-    deg = ends.groupBy("connected").agg(F.sum("rug").alias("dr"), F.count("*").alias("d"))
-    m = capped_members(team)
-    pairs = m.select("token_mint", F.col("wallet").alias("a")).join(m.select("token_mint", F.col("wallet").alias("b")), "token_mint").filter("a < b")
-    own = pairs.join(strong.select("a", "b", "rug"), ["a", "b"])
-    own = own.select("token_mint", F.col("a").alias("connected"), "rug").union(own.select("token_mint", "b", "rug"))
-    own = own.groupBy("token_mint", "connected").agg(F.sum("rug").alias("ir"), F.count("*").alias("i"))
-    j = m.withColumnRenamed("wallet", "connected").join(deg, "connected").join(own, ["token_mint", "connected"], "left").fillna(0, ["ir", "i"])
-    rug, every = F.col("dr") - F.col("ir"), F.col("d") - F.col("i")
-    return j.filter(every > 0).select("token_mint", "connected", rug.alias("rug_hits"), (every - rug).alias("soft_hits"))
-
-
-def graph_hits(team: DataFrame, graph: DataFrame, min_co: int = 2) -> DataFrame:
-    """Looks up the linked wallets of a selected team: (mint, connected, known, counts).
-
-    Lists every outside partner, so pass the coins of interest; rules use `graph_hit_counts`.
+def graph_hit_counts(memberships: DataFrame, resolve_s: int) -> DataFrame:
+    """(mint, connected, rug_hits, soft_hits): members that were on two or more earlier teams.
+
+    Only teams resolved before the coin's anchor count; two rugged ones make it a rug hit.
     """
-    strong = graph.filter(F.col("co_appearances") >= min_co)
-    ends = strong.select(F.col("a").alias("connected"), F.col("b").alias("known"), "co_appearances", "rug_co_appearances").union(
-        strong.select("b", "a", "co_appearances", "rug_co_appearances"))
-    m = capped_members(team)
-    hits = m.withColumnRenamed("wallet", "connected").join(ends, "connected")
-    return hits.join(m.withColumnRenamed("wallet", "known"), ["token_mint", "known"], "left_anti").select(
-        "token_mint", "connected", "known", "co_appearances", "rug_co_appearances").distinct()
+    prior = reputation_as_of(memberships.select("token_mint", "wallet", "graduated_at"), memberships.filter("classified IS NOT NULL"), "wallet", resolve_s)
+    rug = (F.col("prior_rugs") >= 2).cast("int")
+    return prior.filter("prior_n >= 2").select("token_mint", F.col("wallet").alias("connected"), rug.alias("rug_hits"), (1 - rug).alias("soft_hits"))
 
 
 def funder_choreography(summary: DataFrame, coin_funder: DataFrame, min_sellers: int = 2) -> DataFrame:

@@ -15,7 +15,7 @@ EDGE_WEIGHTS = {
     "funder": 0.9, "same_slot_real": 0.85, "same_slot": 0.7, "buy_size": 0.35, "lockstep_sell": 0.35,
     "behavioral": 0.5,
 }
-MEMBER_SCORE, UNEXPLAINED_PCT, EARLY_S, FIRST_BUYS = 0.35, 10.0, 120, 50
+MEMBER_SCORE, UNEXPLAINED_PCT, EARLY_S = 0.35, 10.0, 120
 
 
 def funding_clusters(buyers: DataFrame, funding: DataFrame, width: int) -> DataFrame:
@@ -58,35 +58,39 @@ def launch_team(members: DataFrame, deployers: DataFrame, dev_labels: DataFrame)
     return best.select("token_mint", "b.*")
 
 
-def microstructure(bc: DataFrame, block_index, first_n: int = FIRST_BUYS) -> DataFrame:
-    """Slot offset, rank and size in slot, and adjacent-block flag of the first buys of a coin."""
-    w = Window.partitionBy("token_mint").orderBy("ts", "tx_signature")
-    first = (
-        bc.filter("side = 'buy' AND tx_signature IS NOT NULL").withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= first_n).withColumn("block_index", block_index)
-        .select("token_mint", F.col("signer").alias("wallet"), "tx_signature", "slot", "ts", "block_index"))
-    coin, slot = Window.partitionBy("token_mint"), Window.partitionBy("token_mint", "slot")
-    ranked = slot.orderBy("block_index", "ts", "tx_signature")
-    near = slot.orderBy("block_index")
-    step = lambda lo, hi: F.count("*").over(near.rangeBetween(lo, hi)) > 0
-    return first.select(
-        "token_mint", "wallet", "tx_signature", "slot", "block_index",
-        (F.col("slot") - F.min("slot").over(coin)).alias("slot_offset"),
-        (F.row_number().over(ranked) - 1).cast("long").alias("same_slot_rank"),
-        F.count("*").over(slot).alias("same_slot_group_size"),
-        (step(-1, -1) | step(1, 1)).cast("int").alias("is_bundled"))
+def microstructure(bc: DataFrame, block_index) -> DataFrame:
+    """Slot offset, rank and size in slot, and adjacent-block flag of all launch buys.
+
+    Sizes come from counts per slot and adjacency from the blocks of a slot, so a busy coin is
+    never one task; only the rank orders the buys of one slot.
+    """
+    buys = bc.filter("side = 'buy' AND tx_signature IS NOT NULL").withColumn("block_index", block_index).select(
+        "token_mint", F.col("signer").alias("wallet"), "tx_signature", "slot", "ts", "block_index")
+    slots = buys.groupBy("token_mint", "slot").agg(F.count("*").alias("same_slot_group_size"))
+    start = slots.groupBy("token_mint").agg(F.min("slot").alias("first_slot"))
+    blocks = buys.select("token_mint", "slot", "block_index").distinct()
+    near = blocks.select("token_mint", "slot", F.explode(F.array(F.col("block_index") - 1, F.col("block_index") + 1)).alias("block_index")).distinct()
+    near = near.withColumn("is_bundled", F.lit(1))
+    ranked = Window.partitionBy("token_mint", "slot").orderBy("block_index", "ts", "tx_signature")
+    rows = buys.withColumn("same_slot_rank", (F.row_number().over(ranked) - 1).cast("long"))
+    rows = rows.join(slots, ["token_mint", "slot"]).join(start, "token_mint").join(near, ["token_mint", "slot", "block_index"], "left")
+    return rows.select(
+        "token_mint", "wallet", "tx_signature", "slot", "block_index", (F.col("slot") - F.col("first_slot")).alias("slot_offset"),
+        "same_slot_rank", "same_slot_group_size", F.coalesce("is_bundled", F.lit(0)).alias("is_bundled"))
 
 
 def microstructure_features(rows: DataFrame) -> DataFrame:
     """First-slot and first-three-slot buys, slot spread of the first twenty, largest group, bundled count."""
-    w = Window.partitionBy("token_mint")
-    r = rows.withColumn("dr", F.dense_rank().over(w.orderBy("slot"))).withColumn(
-        "pos", F.row_number().over(w.orderBy("slot", "same_slot_rank")))
-    return r.groupBy("token_mint").agg(
-        F.count_if(F.col("slot_offset") == 0).alias("launch_slot_snipe_count"),
-        F.count_if(F.col("dr") <= 3).alias("buys_first_3_slots"),
-        F.count_distinct(F.when(F.col("pos") <= 20, F.col("slot"))).alias("distinct_slots_first_20_buys"),
-        F.max("same_slot_group_size").alias("max_same_slot_group"), F.sum("is_bundled").alias("bundled_adjacent_count"))
+    by_slot = Window.partitionBy("token_mint").orderBy("slot")
+    slots = rows.groupBy("token_mint", "slot").agg(F.count("*").alias("n"))
+    three = slots.withColumn("k", F.row_number().over(by_slot)).filter("k <= 3").groupBy("token_mint").agg(F.sum("n").alias("buys_first_3_slots"))
+    in_order = Window.partitionBy("token_mint").orderBy("slot", "same_slot_rank")
+    twenty = rows.withColumn("k", F.row_number().over(in_order)).filter("k <= 20").groupBy("token_mint").agg(
+        F.count_distinct("slot").alias("distinct_slots_first_20_buys"))
+    whole = rows.groupBy("token_mint").agg(
+        F.count_if(F.col("slot_offset") == 0).alias("launch_slot_snipe_count"), F.max("same_slot_group_size").alias("max_same_slot_group"),
+        F.sum("is_bundled").alias("bundled_adjacent_count"))
+    return whole.join(three, "token_mint").join(twenty, "token_mint")
 
 
 def entity_link_kinds(nodes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -146,10 +150,10 @@ def score_members(buyers, holders, link_kinds, funding, creators, slot_offsets,
 
 def build_team(scored: DataFrame, holders: DataFrame, buyers: DataFrame, excluded: DataFrame) -> DataFrame:
     """Members above the score and through the gate; otherwise the first five clean holders."""
-    h = holders.join(excluded.select("wallet"), "wallet", "left_anti").select("token_mint", "wallet", "pct", "rank")
+    h = holders.join(excluded.select("wallet"), "wallet", "left_anti").select("token_mint", "wallet", "pct", "amount")
     eligible = h.select("token_mint").distinct()
     gated = scored.filter((F.col("score") >= MEMBER_SCORE) & (F.col("gated") == 1)).join(eligible, "token_mint", "left_semi")
-    w = Window.partitionBy("token_mint").orderBy("rank")
+    w = Window.partitionBy("token_mint").orderBy(F.desc("amount"), "wallet")
     first5 = (h.withColumn("rn", F.row_number().over(w)).filter("rn <= 5")
               .join(gated.select("token_mint").distinct(), "token_mint", "left_anti"))
     members = gated.select("token_mint", "wallet", F.lit(0).alias("fallback")).union(

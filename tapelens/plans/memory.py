@@ -129,15 +129,18 @@ def ask_f(t):
     return t.coin_funder.join(t.coins.select("token_mint", "graduated_at"), "token_mint")
 
 
+def ask_c(t):
+    return t.creators.select("token_mint", "creator").join(t.coins.select("token_mint", "graduated_at"), "token_mint")
+
+
 @query("funder_reputation_as_of", sql=asof_sql("t_ask_f", "t_graded", "funder"))
 def _(t):
-    return memory.reputation_as_of(ask_f(t), graded(t), "funder", RESOLVE_S)
+    return memory.reputation_as_of(ask_f(t), graded(t), "funder", RESOLVE_S).select("token_mint", "funder", "prior_n", "prior_rug_rate")
 
 
 @query("creator_reputation_as_of", sql=asof_sql("t_ask_c", "t_graded_c", "creator"))
 def _(t):
-    ask = t.creators.select("token_mint", "creator").join(t.coins.select("token_mint", "graduated_at"), "token_mint")
-    return memory.reputation_as_of(ask, graded_c(t), "creator", RESOLVE_S)
+    return memory.reputation_as_of(ask_c(t), graded_c(t), "creator", RESOLVE_S).select("token_mint", "creator", "prior_n", "prior_rug_rate")
 
 
 cte("t_velocity", f"""SELECT a.token_mint, a.funder, count(*) FILTER (b.graduated_at >= a.graduated_at - {VELOCITY_DAY}) AS launches_24h, count(*) AS launches_7d
@@ -260,35 +263,38 @@ def _(t):
 
 
 # ── co-occurrence graph ──────────────────────────────────────────────────────
-cte("t_cap", "SELECT token_mint, wallet FROM (SELECT *, row_number() OVER (PARTITION BY token_mint ORDER BY rank, wallet) AS rn FROM t_team) WHERE rn <= 20")
-cte("t_graph", """SELECT x.wallet AS a, y.wallet AS b, count(*) AS co_appearances, count(*) FILTER (classified = 'rug') AS rug_co_appearances, max(graduated_at) AS last_seen_together
-FROM t_cap x JOIN t_cap y ON x.token_mint = y.token_mint AND x.wallet < y.wallet LEFT JOIN t_out4 o ON o.token_mint = x.token_mint JOIN t_coins c ON c.token_mint = x.token_mint GROUP BY 1, 2""")
+cte("t_graph_m", """SELECT m.wallet, m.token_mint, c.graduated_at, o.classified FROM t_team m JOIN (SELECT token_mint FROM t_team GROUP BY 1 HAVING count(*) >= 2) k USING (token_mint)
+JOIN t_coins c ON c.token_mint = m.token_mint LEFT JOIN t_out4 o ON o.token_mint = m.token_mint""")
+cte("t_graph", "SELECT wallet, count(*) AS teams, count(*) FILTER (classified = 'rug') AS rug_teams, max(graduated_at) AS last_seen FROM t_graph_m GROUP BY 1")
+
+
+def memberships(t: Tables):
+    return t.store("team_memberships", lambda: memory.team_memberships(t.team, out4(t), t.coins))
 
 
 def graph(t: Tables):
-    return t.store("wallet_graph", lambda: memory.wallet_graph(t.team, out4(t), t.coins))
+    return memory.wallet_graph(memberships(t))
 
 
-@query("wallet_graph", "e", "SELECT * FROM t_graph")
-def _(t):
-    return graph(t)
+for _tape in ("t", "e"):
+    query("wallet_graph" if _tape == "e" else "wallet_graph_items", _tape, "SELECT * FROM t_graph")(graph)
 
+cte("t_hits", f"""SELECT token_mint, connected, CASE WHEN rugs >= 2 THEN 1 ELSE 0 END AS rug_hits, CASE WHEN rugs >= 2 THEN 0 ELSE 1 END AS soft_hits FROM (
+  SELECT a.token_mint, a.wallet AS connected, count(*) AS n, count(*) FILTER (g.classified = 'rug') AS rugs FROM t_graph_m a JOIN t_graph_m g
+    ON g.wallet = a.wallet AND g.classified IS NOT NULL AND g.graduated_at + {RESOLVE_S} <= a.graduated_at GROUP BY 1, 2) WHERE n >= 2""")
 
-cte("t_hits", """SELECT DISTINCT c.token_mint, e.connected, e.known, e.co_appearances, e.rug_co_appearances FROM t_cap c JOIN (
-  SELECT a AS connected, b AS known, co_appearances, rug_co_appearances FROM t_graph WHERE co_appearances >= 2 UNION ALL
-  SELECT b, a, co_appearances, rug_co_appearances FROM t_graph WHERE co_appearances >= 2) e ON e.connected = c.wallet
-WHERE NOT EXISTS (SELECT 1 FROM t_cap k WHERE k.token_mint = c.token_mint AND k.wallet = e.known)""")
 
+def hits(t: Tables):
+    return memory.graph_hit_counts(memberships(t), RESOLVE_S)
 
-@query("graph_hits", "e", "SELECT token_mint, connected, count(*) FILTER (rug_co_appearances >= 2) AS rug_hits, count(*) FILTER (rug_co_appearances < 2) AS soft_hits FROM t_hits GROUP BY 1, 2")
-def _(t):
-    return memory.graph_hit_counts(t.team, graph(t))
 
+for _tape in ("t", "e"):
+    query("graph_hits" if _tape == "e" else "graph_hits_items", _tape, "SELECT * FROM t_hits")(hits)
 
-@query("mirror_counts", "e", "SELECT count(*) FILTER (co_appearances >= 2) AS pairs_2, count(*) FILTER (rug_co_appearances >= 2) AS rug_pairs_2, count(*) AS pairs FROM t_graph")
+
+@query("mirror_counts", "e", "SELECT count(*) FILTER (teams >= 2) AS wallets_2, count(*) FILTER (rug_teams >= 2) AS rug_wallets_2, count(*) AS wallets FROM t_graph")
 def _(t):
-    return graph(t).agg(F.count_if(F.col("co_appearances") >= 2).alias("pairs_2"),
-                        F.count_if(F.col("rug_co_appearances") >= 2).alias("rug_pairs_2"), F.count("*").alias("pairs"))
+    return graph(t).agg(F.count_if(F.col("teams") >= 2).alias("wallets_2"), F.count_if(F.col("rug_teams") >= 2).alias("rug_wallets_2"), F.count("*").alias("wallets"))
 
 
 cte("t_fchoreo", f"""SELECT funder, round(s / n, 2) AS avg_exit_spread_s, leader_wallet, round(k / n, 4) AS leader_consistency, CAST(n AS BIGINT) AS sample_count FROM (
@@ -303,47 +309,78 @@ def _(t):
 
 
 # ── context, verdict, replay ─────────────────────────────────────────────────
-cte("t_ctx", """
+# Everything here is known at the coin's anchor: earlier coins count once they are resolved.
+EPOCH_S = RESOLVE_S
+for _name, _ask, _src, _key in (("t_frep_at", "t_ask_f", "t_graded", "funder"), ("t_crep_at", "t_ask_c", "t_graded_c", "creator")):
+    cte(_name, f"""SELECT a.token_mint, count(g.token_mint) AS n, CASE WHEN count(g.token_mint) > 0 THEN count(*) FILTER (g.classified = 'rug') / count(g.token_mint) END AS rug_rate,
+  CASE WHEN count(g.token_mint) > 0 THEN count(*) FILTER (g.classified = 'moon') / count(g.token_mint) END AS moon_rate
+FROM {_ask} a LEFT JOIN {_src} g ON g.{_key} = a.{_key} AND g.graduated_at + {RESOLVE_S} <= a.graduated_at GROUP BY 1""")
+cte("t_calls", "SELECT b.wallet, c.graduated_at, o.classified FROM t_buyers b JOIN t_out4 o USING (token_mint) JOIN t_coins c USING (token_mint)")
+cte("t_ask_w", "SELECT b.token_mint, b.wallet, c.graduated_at FROM t_buyers b JOIN t_coins c USING (token_mint)")
+cte("t_proven_at", f"""SELECT token_mint, count(*) AS n FROM (SELECT a.token_mint, a.wallet FROM t_ask_w a JOIN t_calls g ON g.wallet = a.wallet AND g.graduated_at + {RESOLVE_S} <= a.graduated_at GROUP BY 1, 2
+  HAVING count(*) >= 15 AND count(*) FILTER (classified = 'moon') / greatest(count(*) FILTER (classified IN ('moon', 'rug')), 1) >= 0.6) GROUP BY 1""")
+cte("t_smart_at", f"""SELECT token_mint, wallet, round(greatest(0, least(0.60::DOUBLE * good / n + 0.25::DOUBLE * least(coalesce(trades, 0) / 500.0::DOUBLE, 1)
+   + 0.15::DOUBLE * greatest(0, 1.0::DOUBLE - ((graduated_at - bought) / {DAY_S}) / 90.0::DOUBLE), 1)), 4) AS score FROM (
+ SELECT a.token_mint, a.wallet, a.graduated_at, count(*) AS n, count(*) FILTER (classified IN ('moon', 'ok')) AS good,
+   (SELECT count(*) FROM t_swaps s WHERE s.signer = a.wallet AND s.ts <= a.graduated_at) AS trades, (SELECT max(bought_at) FROM t_buyers x WHERE x.wallet = a.wallet AND x.bought_at <= a.graduated_at) AS bought
+ FROM t_ask_w a JOIN t_calls g ON g.wallet = a.wallet AND g.graduated_at + {RESOLVE_S} BETWEEN a.graduated_at - {90 * DAY_S} AND a.graduated_at GROUP BY 1, 2, 3)""")
+cte("t_choreo_at", f"""SELECT token_mint, round(max(k) / sum(k), 4) AS leader_consistency, CAST(sum(k) AS BIGINT) AS n FROM (SELECT a.token_mint, s.leader_wallet, count(*) AS k FROM t_ask_f a
+  JOIN t_ask_f p ON p.funder = a.funder AND p.graduated_at + {RESOLVE_S} <= a.graduated_at JOIN t_choreo_sum s ON s.token_mint = p.token_mint WHERE s.n_sellers >= 2 GROUP BY 1, 2) GROUP BY 1""")
+cte("t_epochs", f"SELECT DISTINCT graduated_at // {EPOCH_S} AS epoch FROM t_coins")
+cte("t_fp_at", f"""SELECT epoch, funder, round(CAST(sum(CAST(first_buy_offset_s AS DECIMAL(28,9))) AS DOUBLE) / count(*), 3) AS avg_first_buy_offset_s,
+  round(CAST(sum(is_bc_sniper) AS DOUBLE) / count(*), 3) AS avg_sniper_rate, round(CAST(sum(member_count) AS DOUBLE) / count(*), 3) AS avg_cluster_size,
+  round(CAST(sum(CAST(supply_pct AS DECIMAL(28,9))) AS DOUBLE) / count(*), 3) AS avg_bundle_pct, count(*) AS sample_count, count(*) FILTER (classified = 'rug') / greatest(count(classified), 1) AS rug_rate
+FROM t_epochs JOIN t_coins c ON c.graduated_at + {RESOLVE_S} <= epoch * {EPOCH_S} JOIN t_team_clusters tc ON tc.token_mint = c.token_mint JOIN t_coin_funder cf ON cf.token_mint = c.token_mint
+LEFT JOIN t_out4 o ON o.token_mint = c.token_mint GROUP BY 1, 2""")
+cte("t_match_at", f"""SELECT token_mint, min(distance) AS distance FROM (
+  SELECT c.token_mint, round(sqrt(pow(member_count / 20.0::DOUBLE - avg_cluster_size / 20.0::DOUBLE, 2) + pow(supply_pct / 100.0::DOUBLE - avg_bundle_pct / 100.0::DOUBLE, 2)
+    + pow(is_bc_sniper - avg_sniper_rate, 2) + pow(first_buy_offset_s / 300.0::DOUBLE - avg_first_buy_offset_s / 300.0::DOUBLE, 2)), 6) AS distance
+  FROM t_team_clusters c JOIN t_coins k ON k.token_mint = c.token_mint JOIN t_fp_at f ON f.epoch = k.graduated_at // {EPOCH_S} AND f.rug_rate >= {FP_RUG} AND f.sample_count >= 4) WHERE distance <= 0.25 GROUP BY 1""")
+cte("t_ctx", f"""
 SELECT c.token_mint, c.graduated_at, tc.supply_pct AS team_supply_pct, tc.is_bc_sniper AS team_is_bc_sniper, tc.member_count AS team_size, tc.first_buy_offset_s AS team_first_buy_offset_s,
   coalesce(fr.n, 0) AS funder_n, fr.rug_rate AS funder_rug_rate, fr.moon_rate AS funder_moon_rate, coalesce(cr.n, 0) AS creator_n, cr.rug_rate AS creator_rug_rate,
   coalesce(sm.n, 0) AS smart_money_count, coalesce(pv.n, 0) AS proven_wallet_count, top_holder_pct, top3_holder_pct,
   c.graduated_at - c.created_at AS bc_duration_seconds, coalesce(f.n_buyers, 0) AS unique_bc_buyers, coalesce(v.launches_24h, 0) AS launches_24h, coalesce(v.launches_7d, 0) AS launches_7d,
-  m.distance AS fingerprint_distance, coalesce(ss.n, 0) AS launch_slot_snipe_count, ch.leader_consistency, ch.sample_count AS choreography_n,
+  m.distance AS fingerprint_distance, coalesce(ss.n, 0) AS launch_slot_snipe_count, ch.leader_consistency, ch.n AS choreography_n,
   coalesce(gh.rug_hits, 0) AS graph_rug_hits, coalesce(gh.soft_hits, 0) AS graph_soft_hits
-FROM t_coins c LEFT JOIN t_team_clusters tc USING (token_mint) LEFT JOIN t_coin_funder cf USING (token_mint) LEFT JOIN t_frep fr ON fr.funder = cf.funder
-LEFT JOIN t_creators k ON k.token_mint = c.token_mint LEFT JOIN t_crep cr ON cr.creator = k.creator
-LEFT JOIN (SELECT token_mint, count(*) AS n FROM t_buyers JOIN t_smart_list USING (wallet) GROUP BY 1) sm ON sm.token_mint = c.token_mint
-LEFT JOIN (SELECT token_mint, count(*) AS n FROM t_buyers JOIN t_wstats USING (wallet) WHERE win_rate >= 0.6 GROUP BY 1) pv ON pv.token_mint = c.token_mint
+FROM t_coins c LEFT JOIN t_team_clusters tc USING (token_mint) LEFT JOIN t_frep_at fr ON fr.token_mint = c.token_mint LEFT JOIN t_crep_at cr ON cr.token_mint = c.token_mint
+LEFT JOIN (SELECT token_mint, count(*) AS n FROM t_smart_at WHERE score >= {SMART_SCORE} GROUP BY 1) sm ON sm.token_mint = c.token_mint LEFT JOIN t_proven_at pv ON pv.token_mint = c.token_mint
 LEFT JOIN (SELECT token_mint, max(pct) AS top_holder_pct, CAST(sum(CAST(CASE WHEN rank <= 3 THEN pct ELSE 0 END AS DECIMAL(28,9))) AS DOUBLE) AS top3_holder_pct FROM t_holders GROUP BY 1) h ON h.token_mint = c.token_mint
-LEFT JOIN t_flow f ON f.token_mint = c.token_mint LEFT JOIN t_velocity v ON v.token_mint = c.token_mint LEFT JOIN t_match m ON m.token_mint = c.token_mint
+LEFT JOIN t_flow f ON f.token_mint = c.token_mint LEFT JOIN t_velocity v ON v.token_mint = c.token_mint LEFT JOIN t_match_at m ON m.token_mint = c.token_mint
 LEFT JOIN (SELECT b.token_mint, count(*) AS n FROM t_bc b JOIN (SELECT token_mint, min(slot) AS s0 FROM t_bc WHERE side = 'buy' GROUP BY 1) z ON z.token_mint = b.token_mint AND b.slot = z.s0 WHERE side = 'buy' GROUP BY 1) ss ON ss.token_mint = c.token_mint
-LEFT JOIN t_fchoreo ch ON ch.funder = cf.funder
-LEFT JOIN (SELECT token_mint, count(*) FILTER (rug_co_appearances >= 2) AS rug_hits, count(*) FILTER (rug_co_appearances < 2) AS soft_hits FROM t_hits GROUP BY 1) gh ON gh.token_mint = c.token_mint""")
+LEFT JOIN t_choreo_at ch ON ch.token_mint = c.token_mint
+LEFT JOIN (SELECT token_mint, CAST(sum(rug_hits) AS BIGINT) AS rug_hits, CAST(sum(soft_hits) AS BIGINT) AS soft_hits FROM t_hits GROUP BY 1) gh ON gh.token_mint = c.token_mint""")
 
 
 def context(t: Tables):
-    """Everything the rules read about a coin at its anchor, one row per coin."""
+    """Everything the rules read about a coin at its anchor, one row per coin; nothing later enters."""
     def make():
         holders = t.holders.groupBy("token_mint").agg(
             F.max("pct").alias("top_holder_pct"), exact_sum(F.when(F.col("rank") <= 3, F.col("pct")).otherwise(0.0)).alias("top3_holder_pct"))
-        fr = memory.funder_reputation(graded(t)).select(
-            "funder", F.col("n").alias("funder_n"), F.col("rug_rate").alias("funder_rug_rate"), F.col("moon_rate").alias("funder_moon_rate"))
-        cr = memory.creator_reputation(graded_c(t)).select(
-            "creator", F.col("n").alias("creator_n"), F.col("rug_rate").alias("creator_rug_rate"))
-        sm = t.buyers.join(smart(t).filter(F.col("score") >= SMART_SCORE).select("wallet"), "wallet", "left_semi").groupBy("token_mint").agg(F.count("*").alias("smart_money_count"))
-        pv = t.buyers.join(wstats(t).filter("win_rate >= 0.6").select("wallet"), "wallet", "left_semi").groupBy("token_mint").agg(F.count("*").alias("proven_wallet_count"))
+        fr = memory.reputation_as_of(ask_f(t), graded(t), "funder", RESOLVE_S).select(
+            "token_mint", F.col("prior_n").alias("funder_n"), F.col("prior_rug_rate").alias("funder_rug_rate"), F.col("prior_moon_rate").alias("funder_moon_rate"))
+        cr = memory.reputation_as_of(ask_c(t), graded_c(t), "creator", RESOLVE_S).select(
+            "token_mint", F.col("prior_n").alias("creator_n"), F.col("prior_rug_rate").alias("creator_rug_rate"))
+        ask_w = t.buyers.select("token_mint", "wallet").join(t.coins.select("token_mint", "graduated_at"), "token_mint")
+        calls = ask_w.join(out4(t), "token_mint").select("wallet", "graduated_at", "classified")
+        trades = t.swaps.groupBy(F.col("signer").alias("wallet"), "ts").agg(F.count("*").alias("n"))
+        buys = t.buyers.select("wallet", F.col("bought_at").alias("ts"))
+        sm = memory.smart_scores_as_of(ask_w, calls, buys, trades, RESOLVE_S, DAY_S).filter(F.col("score") >= SMART_SCORE).groupBy("token_mint").agg(F.count("*").alias("smart_money_count"))
+        won = F.col("prior_moons") / F.greatest(F.col("prior_moons") + F.col("prior_rugs"), F.lit(1)) >= 0.6
+        pv = memory.reputation_as_of(ask_w, calls, "wallet", RESOLVE_S).filter((F.col("prior_n") >= memory.MIN_CALLS) & won).groupBy("token_mint").agg(
+            F.count("*").alias("proven_wallet_count"))
         slot_counts = t.bc.filter("side = 'buy'").groupBy("token_mint", "slot").agg(F.count("*").alias("n"))
         ss = slot_counts.groupBy("token_mint").agg(F.min_by("n", "slot").alias("launch_slot_snipe_count"))
-        ch = memory.funder_choreography(flow.choreography_summary(flow.exit_choreography(t.post, t.team)), t.coin_funder).select(
-            "funder", "leader_consistency", F.col("sample_count").alias("choreography_n"))
-        gh = memory.graph_hit_counts(t.team, graph(t)).groupBy("token_mint").agg(
-            F.sum("rug_hits").alias("graph_rug_hits"), F.sum("soft_hits").alias("graph_soft_hits"))
+        summary = flow.choreography_summary(flow.exit_choreography(t.post, t.team)).select("token_mint", "leader_wallet", "n_sellers").join(ask_f(t), "token_mint")
+        ch = memory.choreography_as_of(ask_f(t), summary, RESOLVE_S)
+        gh = hits(t).groupBy("token_mint").agg(F.sum("rug_hits").alias("graph_rug_hits"), F.sum("soft_hits").alias("graph_soft_hits"))
         vel = memory.launch_velocity(ask_f(t), "funder", VELOCITY_DAY).drop("funder")
-        fp = memory.structural_match(t.team_clusters, prints(t), min_rug=FP_RUG).select("token_mint", F.col("distance").alias("fingerprint_distance"))
-        j = t.coins.join(t.team_clusters, "token_mint", "left").join(t.coin_funder, "token_mint", "left").join(
-            t.creators.select("token_mint", "creator"), "token_mint", "left").join(fr, "funder", "left").join(cr, "creator", "left").join(ch, "funder", "left")
+        known = memory.fingerprints_by_epoch(t.team_clusters, t.coin_funder, out4(t), t.coins, RESOLVE_S, EPOCH_S)
+        new = t.team_clusters.join(t.coins.select("token_mint", F.floor(F.col("graduated_at") / EPOCH_S).alias("epoch")), "token_mint")
+        fp = memory.structural_match(new, known, min_rug=FP_RUG, within=("epoch",)).select("token_mint", F.col("distance").alias("fingerprint_distance"))
         n_buyers = t.buyers.groupBy("token_mint").agg(F.count("*").alias("unique_bc_buyers"))
-        for side in (holders, sm, pv, ss, gh, vel, fp, n_buyers):
+        j = t.coins.join(t.team_clusters, "token_mint", "left")
+        for side in (fr, cr, ch, holders, sm, pv, ss, gh, vel, fp, n_buyers):
             j = j.join(side, "token_mint", "left")
         z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
         return j.select(
@@ -431,7 +468,7 @@ def _(t):
     return verdict.structural_verdict(live_context(t)).select(*VCOLS)
 
 
-@query("replay_fidelity", sql="SELECT count(*) AS n, count(*) AS same FROM t_ctx")
+@query("replay_fidelity", sql="""SELECT count(*) AS n, count(*) FILTER (a.verdict = b.verdict AND a.confidence = b.confidence) AS same FROM t_verdict a JOIN t_verdict b USING (token_mint)""")
 def _(t):
     """Verdicts recomputed from a snapshot serialised to JSON and back equal the stored ones."""
     live = verdict.structural_verdict(context(t)).select("token_mint", F.col("verdict").alias("v0"), F.col("confidence").alias("c0"))
@@ -490,10 +527,30 @@ def legs(t: Tables):
                       "exit_px", forward=True, inclusive=False).filter("side = 'buy'")
 
 
-@query("journal_pnl", sql="SELECT token_mint, signer, ts, tx_signature, sol_amount, (exit_px / price_usd - 1) * 100 AS pnl_pct FROM t_legs WHERE side = 'buy' AND exit_px IS NOT NULL")
-def _(t):
-    return legs(t).filter("exit_px IS NOT NULL").select(
-        "token_mint", "signer", "ts", "tx_signature", "sol_amount", ((F.col("exit_px") / F.col("price_usd") - 1) * 100).alias("pnl_pct"))
+JOURNAL = ["token_mint", "signer", "ts", "tx_signature", "side", "sol_amount"]
+cte("t_secs", """SELECT token_mint, signer, ts, arg_min(sol_amount, tx_signature) FILTER (side = 'sell') AS first_sell, arg_max(sol_amount, tx_signature) FILTER (side = 'buy') AS last_buy FROM t_swaps GROUP BY 1, 2, 3""")
+cte("t_around", """SELECT token_mint, signer, ts, first_value(first_sell IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_sell,
+  last_value(last_buy IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_buy FROM t_secs WINDOW w AS (PARTITION BY token_mint, signer ORDER BY ts)""")
+
+
+def journal(t: Tables):
+    """Each own trade with the SOL gained: the first sell of a later second minus a buy, or a sell minus the last buy of an earlier second."""
+    from tapelens.functions.ordered import split_fill, time_cell
+
+    side = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    secs = t.swaps.groupBy("token_mint", "signer", "ts").agg(
+        F.min_by(side("sell", "sol_amount"), side("sell", "tx_signature")).alias("first_sell"), F.max_by(side("buy", "sol_amount"), side("buy", "tx_signature")).alias("last_buy"))
+    keys, order, cell = ["token_mint", "signer"], [F.col("ts")], time_cell("ts", 600)
+    secs = t.store("journal_seconds", lambda: secs)
+    after = split_fill(secs, keys, order, cell, F.col("first_sell"), "next_sell", forward=True, inclusive=False).select(*keys, "ts", "next_sell")
+    before = split_fill(secs, keys, order, cell, F.col("last_buy"), "prior_buy", inclusive=False).select(*keys, "ts", "prior_buy")
+    pnl = F.when(F.col("side") == "buy", F.col("next_sell") - F.col("sol_amount")).otherwise(F.col("sol_amount") - F.col("prior_buy"))
+    return t.swaps.select(*JOURNAL).join(after, [*keys, "ts"]).join(before, [*keys, "ts"]).select(*JOURNAL, pnl.alias("pnl_sol")).filter("pnl_sol IS NOT NULL")
+
+
+for _tape in ("t", "e"):
+    query("journal_pnl" if _tape == "t" else "journal_pnl_events", _tape, f"""SELECT * FROM (SELECT {', '.join('s.' + c for c in JOURNAL)}, CASE WHEN side = 'buy' THEN next_sell - sol_amount ELSE sol_amount - prior_buy END AS pnl_sol
+FROM t_swaps s JOIN t_around a ON a.token_mint = s.token_mint AND a.signer = s.signer AND a.ts = s.ts) WHERE pnl_sol IS NOT NULL""")(journal)
 
 
 @query("rule_backtest", sql="""SELECT rule_id, count(*) AS n, count(*) FILTER (pnl > 0) / count(*) AS win_rate, round(CAST(sum(CAST(pnl AS DECIMAL(28,6))) AS DOUBLE) / count(*), 4) AS mean_pct
@@ -693,7 +750,7 @@ def _(t):
 @query("wallet_tags", "e", """SELECT tag, count(*) AS n FROM (SELECT CASE WHEN m.wallet IS NOT NULL THEN 'team' WHEN fr.is_known_rugger = 1 AND x.signer = cf.funder THEN 'known_rugger'
    WHEN w.win_rate >= 0.3 THEN 'smart_money' WHEN hk.token_mint IS NOT NULL AND h.wallet IS NULL THEN 'new' ELSE 'unknown' END AS tag
   FROM t_post x LEFT JOIN t_team m ON m.token_mint = x.token_mint AND m.wallet = x.signer LEFT JOIN t_coin_funder cf ON cf.token_mint = x.token_mint LEFT JOIN t_frep fr ON fr.funder = cf.funder
-  LEFT JOIN t_wstats w ON w.wallet = x.signer LEFT JOIN t_holders h ON h.token_mint = x.token_mint AND h.wallet = x.signer LEFT JOIN (SELECT DISTINCT token_mint FROM t_holders) hk ON hk.token_mint = x.token_mint) GROUP BY 1""")
+  LEFT JOIN t_wstats w ON w.wallet = x.signer LEFT JOIN t_held h ON h.token_mint = x.token_mint AND h.wallet = x.signer LEFT JOIN (SELECT DISTINCT token_mint FROM t_holders) hk ON hk.token_mint = x.token_mint) GROUP BY 1""")
 def _(t):
     from tapelens.functions.columns import wallet_tag
 
@@ -703,7 +760,7 @@ def _(t):
     bad = t.coin_funder.join(rug, "funder", "left_semi").select("token_mint", F.col("funder").alias("signer"), F.lit(True).alias("rg"))
     sm = wstats(t).filter("win_rate >= 0.3").select(F.col("wallet").alias("signer"), F.lit(True).alias("sm"))
     per = t.post.groupBy(*key).agg(F.count("*").alias("n"))
-    j = (per.join(mark(t.team, "tm"), key, "left").join(bad, key, "left").join(sm, "signer", "left").join(mark(t.holders, "hd"), key, "left")
+    j = (per.join(mark(t.team, "tm"), key, "left").join(bad, key, "left").join(sm, "signer", "left").join(mark(t.held, "hd"), key, "left")
          .join(t.holders.select("token_mint", F.lit(True).alias("hk")).distinct(), "token_mint", "left"))
     b = lambda c: F.coalesce(F.col(c), F.lit(False))
     return j.withColumn("tag", wallet_tag(b("tm"), b("rg"), b("sm"), b("hk"), b("hd"))).groupBy("tag").agg(F.sum("n").alias("n"))

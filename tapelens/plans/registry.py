@@ -122,8 +122,10 @@ cte("t_buyers", f"""
 SELECT token_mint, signer AS wallet, min(ts) AS bought_at, {dsum('sol_amount')} AS sol_amount,
        {dsum('token_amount')} AS tokens_received
 FROM t_bc WHERE side = 'buy' GROUP BY 1, 2""")
+cte("t_held", """SELECT b.token_mint, b.wallet, b.amount, round(b.amount / s.total_supply * 100, 2) AS pct, h.rank
+FROM t_balances b JOIN t_supply s ON s.token_mint = b.token_mint LEFT JOIN t_holders h ON h.token_mint = b.token_mint AND h.wallet = b.wallet""")
 cte("t_team", """
-SELECT h.token_mint, h.wallet, h.pct, h.amount, h.rank FROM t_holders h
+SELECT h.token_mint, h.wallet, h.pct, h.amount FROM t_held h
 WHERE EXISTS (SELECT 1 FROM t_buyers b WHERE b.token_mint = h.token_mint AND b.wallet = h.wallet)""")
 cte("t_team_clusters", f"""
 SELECT m.token_mint, count(*) AS member_count, round({dsum('pct')}, 2) AS supply_pct,

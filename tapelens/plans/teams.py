@@ -83,7 +83,7 @@ SELECT token_mint, wallet, tx_signature, slot, block_index, slot - min(slot) OVE
   CASE WHEN count(*) OVER (PARTITION BY token_mint, slot ORDER BY block_index RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) > 0
          OR count(*) OVER (PARTITION BY token_mint, slot ORDER BY block_index RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) > 0 THEN 1 ELSE 0 END AS is_bundled
 FROM (SELECT token_mint, signer AS wallet, tx_signature, slot // 10 AS slot, ts, CAST(tx_signature AS BIGINT) // 20 AS block_index,
-        row_number() OVER (PARTITION BY token_mint ORDER BY ts, tx_signature) AS rn FROM t_bc WHERE side = 'buy') WHERE rn <= 50""")
+        row_number() OVER (PARTITION BY token_mint ORDER BY ts, tx_signature) AS rn FROM t_bc WHERE side = 'buy')""")
 cte("t_micro_f", """
 SELECT token_mint, count(*) FILTER (slot_offset = 0) AS launch_slot_snipe_count, count(*) FILTER (dr <= 3) AS buys_first_3_slots,
   count(DISTINCT CASE WHEN pos <= 20 THEN slot END) AS distinct_slots_first_20_buys, max(same_slot_group_size) AS max_same_slot_group,
@@ -107,7 +107,7 @@ def _(t):
 
 
 # ── evidence scoring ─────────────────────────────────────────────────────────
-_BC_TWINS = ["t_grp", "t_fund_mem", "t_e_slot", "t_e_fund", "t_amt", "t_e_size", "t_e_lock", "t_edges", "t_und", "t_reach", "t_comp", "t_win_buys", "t_win"]
+_BC_TWINS = ["t_grp", "t_fund_mem", "t_e_slot", "t_e_fund", "t_amt", "t_e_size", "t_sec", "t_hub", "t_e_lock", "t_edges", "t_und", "t_reach", "t_comp", "t_win_buys", "t_win"]
 for _n in _BC_TWINS[:-1]:
     _text = CTES[_n]
     for _m in _BC_TWINS:
@@ -150,19 +150,19 @@ FROM (SELECT j.*, (graduated_at - first_seen) * 1000 AS age,
   FROM (SELECT c.token_mint, c.wallet, h.pct AS holding_pct, h.rank, b.bought_at, k.edge_sources, m.slot_offset, f.funder, f.first_seen, f.sig_count,
       cr.creator, cr.creator_funder, l.launch_ts, co.graduated_at,
       count(CASE WHEN f.funder <> 'cex' THEN 1 END) OVER (PARTITION BY c.token_mint, f.funder) AS n_shared
-    FROM t_cand c LEFT JOIN t_holders h USING (token_mint, wallet) LEFT JOIN t_buyers b USING (token_mint, wallet) LEFT JOIN t_kinds k USING (token_mint, wallet)
+    FROM t_cand c LEFT JOIN t_held h USING (token_mint, wallet) LEFT JOIN t_buyers b USING (token_mint, wallet) LEFT JOIN t_kinds k USING (token_mint, wallet)
     LEFT JOIN (SELECT token_mint, wallet, min(slot_offset) AS slot_offset FROM t_micro GROUP BY 1, 2) m USING (token_mint, wallet)
     LEFT JOIN t_funding f USING (wallet) LEFT JOIN t_creators cr USING (token_mint)
     LEFT JOIN (SELECT token_mint, min(bought_at) AS launch_ts FROM t_buyers GROUP BY 1) l USING (token_mint) JOIN t_coins co USING (token_mint)) j)))
 WHERE score > 0""")
-cte("t_cand", """SELECT * FROM (SELECT token_mint, wallet FROM t_buyers UNION SELECT token_mint, wallet FROM t_holders UNION SELECT token_mint, wallet FROM t_kinds)
+cte("t_cand", """SELECT * FROM (SELECT token_mint, wallet FROM t_buyers UNION SELECT token_mint, wallet FROM t_held UNION SELECT token_mint, wallet FROM t_kinds)
 WHERE wallet NOT IN (SELECT wallet FROM t_cex)""")
 
 
 def scored(t: Tables):
     def make():
         offs = micro(t).groupBy("token_mint", "wallet").agg(F.min("slot_offset").alias("slot_offset"))
-        return team.score_members(t.buyers, t.holders, link_kinds(t), t.funding, t.creators, offs, t.coins, t.cex_wallets)
+        return team.score_members(t.buyers, t.held, link_kinds(t), t.funding, t.creators, offs, t.coins, t.cex_wallets)
     return t.store("scored_members", make)
 
 
@@ -171,9 +171,9 @@ def _(t):
     return scored(t)
 
 
-cte("t_hx", "SELECT * FROM t_holders WHERE wallet NOT IN (SELECT wallet FROM t_cex)")
+cte("t_hx", "SELECT * FROM t_held WHERE wallet NOT IN (SELECT wallet FROM t_cex)")
 cte("t_members", """SELECT token_mint, wallet, 0 AS fallback FROM t_scored WHERE score >= 0.35 AND gated = 1 AND token_mint IN (SELECT token_mint FROM t_hx)
-UNION ALL SELECT token_mint, wallet, 1 FROM (SELECT *, row_number() OVER (PARTITION BY token_mint ORDER BY rank) AS rn FROM t_hx
+UNION ALL SELECT token_mint, wallet, 1 FROM (SELECT *, row_number() OVER (PARTITION BY token_mint ORDER BY amount DESC, wallet) AS rn FROM t_hx
   WHERE token_mint NOT IN (SELECT token_mint FROM t_scored WHERE score >= 0.35 AND gated = 1)) WHERE rn <= 5""")
 
 
@@ -183,7 +183,7 @@ SELECT m.token_mint, count(*) AS members, round(coalesce({dsum('pct')}, 0), 2) A
 FROM t_members m LEFT JOIN t_hx h USING (token_mint, wallet) LEFT JOIN t_buyers b USING (token_mint, wallet)
 LEFT JOIN (SELECT token_mint, min(bought_at) AS launch_ts FROM t_buyers GROUP BY 1) l USING (token_mint) GROUP BY 1""")
 def _(t):
-    return team.build_team(scored(t), t.holders, t.buyers, t.cex_wallets)
+    return team.build_team(scored(t), t.held, t.buyers, t.cex_wallets)
 
 
 @query("majority_funder", sql="SELECT * FROM t_coin_funder")

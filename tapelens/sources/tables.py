@@ -171,6 +171,14 @@ class Tables:
             .withColumn("pct", F.round(F.col("amount") / F.col("total_supply") * 100, 2))
         )
 
+    @stored
+    def held(self) -> DataFrame:
+        """All holders with their share; the rank is known for the listed ones only."""
+        ranks = self.holders.select("token_mint", "wallet", "rank")
+        pct = F.round(F.col("amount") / F.col("total_supply") * 100, 2)
+        return self.balances.join(self.supply, "token_mint").join(ranks, ["token_mint", "wallet"], "left").select(
+            "token_mint", "wallet", "amount", pct.alias("pct"), "rank")
+
     @stored
     def buyers(self) -> DataFrame:
         return (
@@ -182,8 +190,8 @@ class Tables:
 
     @stored
     def team(self) -> DataFrame:
-        """Gate without optional evidence: top holders that also bought before the anchor."""
-        return self.holders.select("token_mint", "wallet", "pct", "amount", "rank").join(
+        """Gate without optional evidence: every holder that also bought before the anchor."""
+        return self.held.select("token_mint", "wallet", "pct", "amount").join(
             self.buyers.select("token_mint", "wallet", "bought_at"), ["token_mint", "wallet"], "left_semi")
 
     @stored
