@@ -40,9 +40,9 @@ def roc_auc(df: DataFrame, keys: list[str], score: str, label: str, weight: Colu
     """Tie-corrected area under the ROC curve per group; null when a class is missing."""
     h = _score_histogram(df, keys, score, label, weight)
     g = h.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (2 * (F.col("cneg") - F.col("neg")) + F.col("neg"))).alias("u2"),
+        F.sum(F.col("pos").cast("decimal(19,0)") * (2 * (F.col("cneg") - F.col("neg")) + F.col("neg")).cast("decimal(19,0)")).cast("double").alias("u2"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return g.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u2") / (2 * F.col("P") * F.col("N"))).alias("auc"),
+    return g.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u2") / (2.0 * F.col("P") * F.col("N"))).alias("auc"),
                     (F.col("P") + F.col("N")).alias("n"))
 
 

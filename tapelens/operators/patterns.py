@@ -96,3 +96,18 @@ def stamp_flags(tape: DataFrame, team: DataFrame, snipers: DataFrame, smart: Dat
          .join(mark(snipers, "is_sniper"), key, "left")
          .join(smart.select(F.col("wallet").alias("signer"), F.lit(1).alias("is_smart_money")), "signer", "left"))
     return j.fillna(0, ["is_team", "is_sniper", "is_smart_money"])
+
+
+def verified_account(verified, followers):
+    """A verified account with at least 5,000 followers."""
+    return F.coalesce(verified, F.lit(False)) & (F.coalesce(followers, F.lit(0)) >= 5000)
+
+
+def summary_metadata(coins: DataFrame, red: list, green: list) -> DataFrame:
+    """Confidence and suggested position of a coin from its red and green signs."""
+    total = lambda signs: sum((F.coalesce(s.cast("int"), F.lit(0)) for s in signs), F.lit(0))
+    r, g = F.col("red"), F.col("green")
+    # one red sign without a green one is medium: low needs none at all, or two against none
+    conf = F.when((r == 0) & (g >= 2), "high").when((g == 0) & (r != 1), "low").otherwise("med")
+    return coins.select("token_mint", total(red).alias("red"), total(green).alias("green")).select(
+        "token_mint", conf.alias("confidence"), F.round(F.greatest(F.lit(0.5), F.least(F.lit(5.0), 3.0 + g * 0.5 - r)), 1).alias("position_pct"))

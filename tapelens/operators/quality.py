@@ -38,9 +38,9 @@ def gap_alarm(events: DataFrame, ts: str, now: int, hour_s: int) -> DataFrame:
     return g.select("last", "day_n", ((F.lit(now) - F.col("last")) > limit).cast("int").alias("alarm"))
 
 
-def backlog_state(backlog: Column, total: Column, was_open: Column) -> Column:
-    """Opens above max(15, 20 %), closes below 60 % of that limit, otherwise keeps its state."""
-    limit = F.greatest(F.lit(15.0), total * 0.2)
+def backlog_state(backlog: Column, total: Column, was_open: Column, least: float = 15.0, share: float = 0.2) -> Column:
+    """Opens above max(least, share), closes below 60 % of that limit, otherwise keeps its state."""
+    limit = F.greatest(F.lit(least), total * share)
     return F.when(backlog > limit, 1).when(backlog < limit * 0.6, 0).otherwise(was_open)
 
 

@@ -109,10 +109,17 @@ def _(t):
     return quality.gap_alarm(t.coins, "graduated_at", 4000, 100)
 
 
-@query("ops_backlog_hysteresis", sql="""SELECT d, backlog, total, CASE WHEN backlog > greatest(15.0, total * 0.2) THEN 1 WHEN backlog < greatest(15.0, total * 0.2) * 0.6 THEN 0 ELSE 0 END AS open FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) FILTER (o_orderstatus = 'P') AS backlog, count(*) AS total FROM orders GROUP BY 1)""")
+@query("ops_backlog_hysteresis", sql="""SELECT d, backlog, total, coalesce(last_value(step IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS open FROM (
+SELECT *, CASE WHEN backlog > greatest(2.0, total * 0.04) THEN 1 WHEN backlog < greatest(2.0, total * 0.04) * 0.6 THEN 0 END AS step
+FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) FILTER (o_orderstatus = 'P') AS backlog, count(*) AS total FROM orders GROUP BY 1))""")
 def _(t):
+    """Opens above the limit, closes below 60 % of it, and keeps the state of the last decisive day between."""
+    from tapelens.functions.ordered import split_fill
+
     o = t.raw("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("backlog"), F.count("*").alias("total"))
-    return o.withColumn("open", quality.backlog_state(F.col("backlog"), F.col("total"), F.lit(0)))
+    o = cut(o.withColumn("step", quality.backlog_state(F.col("backlog"), F.col("total"), F.lit(None), 2.0, 0.04)).withColumn("g", F.lit(1)))
+    filled = split_fill(o, ["g"], [F.col("d")], F.year("d"), F.col("step"), "open")
+    return filled.select("d", "backlog", "total", F.coalesce("open", F.lit(0)).alias("open"))
 
 
 @query("ops_budget_pace", sql="SELECT CAST(count(*) AS BIGINT) AS used, round(count(*) / 10 * 30, 4) AS projected, CASE WHEN count(*) / 10 * 30 > 5000 THEN 1 ELSE 0 END AS over FROM events WHERE ts < TIMESTAMP '2024-01-11 00:00:00'")
@@ -161,10 +168,6 @@ def _(t):
     return memory.funder_reputation(graded(t)).select("funder", "n", "rug_count").join(prints(t).select("funder", "avg_cluster_size", "sample_count"), "funder")
 
 
-@query("reset_learning_tables", sql="SELECT count(*) AS n FROM t_frep WHERE 1 = 0")
-def _(t):
-    return memory.funder_reputation(graded(t)).filter(F.lit(False)).agg(F.count("*").alias("n"))
-
 
 # ── models (no SQL twin: iterative fits) ─────────────────────────────────────
 def model_frame(t: Tables):

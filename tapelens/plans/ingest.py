@@ -284,14 +284,14 @@ def _(t):
 
 def matches(t):
     """(mint, label): keyword inside a field, field inside a keyword, or edit distance of at most two."""
-    fields = F.array(F.lower("name"), F.lower("symbol"), *[F.lower(F.split("name", " ")[i]) for i in (0, 1)])
+    fields = F.concat(F.array(F.lower("name"), F.lower("symbol")), F.split(F.lower("name"), " "))
     near = lambda k: F.exists(fields, lambda f: f.contains(k) | F.lit(k).contains(f) | ((F.length(f) >= 4) & F.lit(len(k) >= 4) & (F.levenshtein(f, F.lit(k)) <= 2)))
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(near(k), n) for k, n in KEYWORDS])))
     return t.tokens.select("token_mint", "created_at", F.explode(hits).alias("label"))
 
 
 _kw = ", ".join(f"('{k}', '{n}')" for k, n in KEYWORDS)
-cte("t_match_n", f"""SELECT DISTINCT token_mint, created_at, label FROM (SELECT token_mint, created_at, unnest([lower(name), lower(symbol), lower(string_split(name, ' ')[1]), lower(string_split(name, ' ')[2])]) AS f FROM t_tokens)
+cte("t_match_n", f"""SELECT DISTINCT token_mint, created_at, label FROM (SELECT token_mint, created_at, unnest(list_concat([lower(name), lower(symbol)], string_split(lower(name), ' '))) AS f FROM t_tokens)
 CROSS JOIN (VALUES {_kw}) k(kw, label) WHERE contains(f, kw) OR contains(kw, f) OR (length(f) >= 4 AND length(kw) >= 4 AND levenshtein(f, kw) <= 2)""")
 
 
@@ -330,39 +330,41 @@ def _(t):
     return t.raw("documents").select(C.project_class(F.col("text"), F.col("text"), url).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("page_domains", sql="""SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS domain, count(*) AS n FROM pages GROUP BY 1""")
+@query("page_domains", sql="""SELECT regexp_replace(lower(regexp_extract(trim(url), '^(?:[A-Za-z]+://)?([^/:?#\\s]+\\.[^/:?#\\s]+)', 1)), '^www\\.', '') AS domain, count(*) AS n FROM pages GROUP BY 1""")
 def _(t):
     return t.raw("pages").groupBy(bronze.domain_of(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query("page_social_capture", sql="""SELECT page_id, concat('user', page_id, 'x') AS channel, page_id * 1000 AS members, CAST(greatest(date_diff('day', DATE '2020-01-01' + CAST(page_id % 300 AS INTEGER), DATE '2024-01-01'), 0) AS INTEGER) AS age_days, concat('h', page_id) AS handle FROM pages""")
+@query("page_social_capture", sql="""SELECT page_id, regexp_replace(lower(regexp_extract(trim(url), '^(?:[A-Za-z]+://)?([^/:?#\\s]+\\.[^/:?#\\s]+)', 1)), '^www\\.', '') AS domain,
+  regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="')) AS n_links,
+  CAST(nullif(regexp_replace(regexp_extract(html, '(?i)([0-9, ]+)[ ]+(?:subscriber|member)', 1), '[^0-9]', '', 'g'), '') AS BIGINT) AS members,
+  regexp_matches(html, '(?i)https?://(?:x|twitter)[.]com/') AS has_account, regexp_matches(html, '(?i)(?:t|telegram)[.]me/') AS has_channel FROM pages""")
 def _(t):
-    k = F.col("page_id")
-    d = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd")
-    num = F.when(k > 0, F.concat(k.cast("string"), F.lit(" 000"))).otherwise(F.lit("0"))
-    p = t.raw("pages").select(
-        "page_id", F.concat(F.lit("https://t.me/s/user"), k, F.lit("x")).alias("tg"), F.concat("html", F.lit("<b>"), num, F.lit(" Members</b>")).alias("body"),
-        F.concat(F.lit("Creation Date: "), d).alias("whois"), F.concat(F.lit("https://x.com/h"), k, F.lit("?s=1")).alias("tw"))
-    return p.select("page_id", bronze.channel_name(F.col("tg")).alias("channel"), bronze.member_count(F.regexp_extract("body", "<b>([^<]*)</b>$", 1)).alias("members"),
-                    bronze.domain_age_days(F.col("whois"), F.lit("2024-01-01").cast("date")).alias("age_days"), C.handle_of(F.col("tw")).alias("handle"))
+    """What a landed page tells about a project: host, title, links, member count and presence flags."""
+    h = F.col("html")
+    return t.raw("pages").select(
+        "page_id", bronze.domain_of(F.col("url")).alias("domain"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_count(h, F.lit('href="')).cast("long").alias("n_links"), bronze.member_count(h).alias("members"),
+        h.rlike("(?i)https?://(?:x|twitter)[.]com/").alias("has_account"), h.rlike("(?i)(?:t|telegram)[.]me/").alias("has_channel"))
 
 
-@query("summary_metadata", sql="""SELECT token_mint, confidence, round(greatest(0.5, least(5.0, 3.0 + green * 0.5 - red)), 1)::DOUBLE AS position_pct FROM (SELECT *, CASE WHEN red = 0 AND green >= 2 THEN 'high' WHEN green = 0 THEN 'low' ELSE 'med' END AS confidence FROM (
-SELECT c.token_mint, (CASE WHEN member_count >= 3 THEN 1 ELSE 0 END) + (CASE WHEN bundle_pct > 15 THEN 1 ELSE 0 END) AS red, (CASE WHEN smart_money_count >= 2 THEN 1 ELSE 0 END) + (CASE WHEN m.token_mint IS NOT NULL THEN 1 ELSE 0 END) AS green
+@query("summary_metadata", sql="""SELECT token_mint, confidence, round(greatest(0.5, least(5.0, 3.0 + green * 0.5 - red)), 1)::DOUBLE AS position_pct FROM (
+SELECT *, CASE WHEN red = 0 AND green >= 2 THEN 'high' WHEN green = 0 AND red <> 1 THEN 'low' ELSE 'med' END AS confidence FROM (
+SELECT c.token_mint, (CASE WHEN member_count >= 3 THEN 1 ELSE 0 END) + (CASE WHEN bundle_pct > 15 THEN 1 ELSE 0 END) + (CASE WHEN creator_n > 0 THEN 1 ELSE 0 END) AS red,
+  (CASE WHEN smart_money_count >= 2 THEN 1 ELSE 0 END) + (CASE WHEN m.token_mint IS NOT NULL THEN 1 ELSE 0 END) AS green
 FROM t_ctx c LEFT JOIN t_team_clusters t USING (token_mint) LEFT JOIN t_bundle_pct b USING (token_mint) LEFT JOIN (SELECT DISTINCT token_mint FROM t_match_n) m USING (token_mint)))""")
 def _(t):
-    from tapelens.operators import team
+    """The landed tables hold no social accounts, so the verified-account sign is never set here."""
+    from tapelens.operators import patterns, team
     from tapelens.plans.memory import context
     from tapelens.plans.teams import fc
 
     bp = team.bundle_pct(team.cluster_summary(fc(t)), t.buyers)
     m = matches(t).select("token_mint", F.lit(1).alias("nm")).distinct()
-    j = context(t).select("token_mint", "team_size", "smart_money_count").join(bp, "token_mint", "left").join(m, "token_mint", "left")
-    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-    j = j.select("token_mint", (flag(F.col("team_size") >= 3) + flag(F.col("bundle_pct") > 15)).alias("red"), (flag(F.col("smart_money_count") >= 2) + flag(F.col("nm") == 1)).alias("green"))
-    r, g = F.col("red"), F.col("green")
-    conf = F.when((r == 0) & (g >= 2), "high").when(g == 0, "low").otherwise("med")
-    return j.select("token_mint", conf.alias("confidence"), F.round(C.clip(3.0 + g * 0.5 - r, 0.5, 5.0), 1).alias("position_pct"))
+    j = context(t).select("token_mint", "team_size", "smart_money_count", "creator_n").join(bp, "token_mint", "left").join(m, "token_mint", "left")
+    return patterns.summary_metadata(
+        j, red=[F.col("team_size") >= 3, F.col("bundle_pct") > 15, F.col("creator_n") > 0],
+        green=[F.col("smart_money_count") >= 2, F.col("nm") == 1, patterns.verified_account(F.lit(False), F.lit(0))])
 
 
 @query("fact_sheet_text", sql="SELECT token_mint, concat('buyers=', n_buyers, ' sellers=', n_sellers, ' trades=', n_trades) AS facts FROM t_flow")

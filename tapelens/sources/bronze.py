@@ -15,7 +15,7 @@ ENRICHED_TX = (
 INDEXED_TRADE = "wallet string, type string, amount double, volumeSol double, priceUsd double, time bigint, tx string, program string"
 LISTING = ("mint string, name string, symbol string, description string, creator string, traderPublicKey string, created_timestamp bigint,"
            " timestamp bigint, twitter string, telegram string, website string, usd_market_cap double, marketCapSol double,"
-           " metadata struct<name:string,symbol:string,description:string,twitter:string>")
+           " image string, image_uri string, metadata struct<name:string,symbol:string,description:string,twitter:string,telegram:string,website:string,image:string>")
 LAUNCH_TRADE = "mint string, user string, traderPublicKey string, sol_amount double, solAmount double, token_amount double, tokenAmount double, is_buy boolean, txType string, timestamp bigint"
 MIGRATE = "mint string, token string, signature string, timestamp bigint, blockTime bigint, pool string, txType string"
 WALLET_PROFILE = "code int, data struct<buy:bigint,sell:bigint,winrate:double,last_active_timestamp:bigint,tags:array<string>>"
@@ -80,11 +80,14 @@ def listings(raw: DataFrame) -> DataFrame:
     """New listings with alternate field names and the dollar cap derived from the SOL cap."""
     j = parsed(raw, LISTING)
     nz = lambda c: F.nullif(F.trim(c), F.lit(""))
+    text = lambda *names: F.coalesce(*[nz(F.col(n)) for n in names])  # blanks and zeros count as missing
+    some = lambda name: F.nullif(F.col(name), F.lit(0))
     return j.filter("mint IS NOT NULL").select(
         "mint", F.coalesce(nz(F.col("name")), nz(F.col("metadata.name"))).alias("name"), F.coalesce(nz(F.col("symbol")), nz(F.col("metadata.symbol"))).alias("symbol"),
-        F.coalesce("description", "metadata.description").alias("description"), F.coalesce("traderPublicKey", "creator").alias("creator"),
-        to_seconds(F.coalesce("timestamp", "created_timestamp")).alias("created_at"),
-        F.coalesce(F.col("usd_market_cap"), F.col("marketCapSol") * SOL_USD).alias("market_cap_usd"), F.coalesce("twitter", "metadata.twitter").alias("twitter"), "telegram", "website")
+        text("description", "metadata.description").alias("description"), text("traderPublicKey", "creator").alias("creator"),
+        to_seconds(F.coalesce(some("timestamp"), some("created_timestamp"))).alias("created_at"),
+        F.coalesce(some("usd_market_cap"), F.col("marketCapSol") * SOL_USD).alias("market_cap_usd"),
+        *[text(c, f"metadata.{c}").alias(c) for c in ("twitter", "telegram", "website")], text("image_uri", "image", "metadata.image").alias("image"))
 
 
 def launch_trades(raw: DataFrame) -> DataFrame:
@@ -94,7 +97,8 @@ def launch_trades(raw: DataFrame) -> DataFrame:
     side = F.coalesce(F.when(F.col("is_buy"), "buy").when(~F.col("is_buy"), "sell"), F.lower("txType"))
     return j.filter("mint IS NOT NULL").select(
         "mint", F.coalesce("traderPublicKey", "user").alias("signer"), side.alias("side"), sol.alias("sol_amount"),
-        F.coalesce("token_amount", "tokenAmount").alias("token_amount"), to_seconds(F.col("timestamp")).alias("ts")).filter("side IN ('buy', 'sell')")
+        F.coalesce("tokenAmount", "token_amount").alias("token_amount"), to_seconds(F.col("timestamp")).alias("ts")).filter(
+        "side IN ('buy', 'sell') AND signer IS NOT NULL AND signer <> ''")
 
 
 def graduations(raw: DataFrame, received_at: Column) -> DataFrame:
@@ -242,14 +246,21 @@ def dedup_key(sig: Column, wallet: Column, mint: Column, ts: Column, side: Colum
 
 # ── page text ────────────────────────────────────────────────────────────────
 def domain_of(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)), r"^www\.", "")
+    """Host in lower case without www; a host may come without a scheme."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^(?:[A-Za-z]+://)?([^/:?#\s]+\.[^/:?#\s]+)", 1)), r"^www\.", "")
+
+
+#: Hosts of channel links, and what a channel name is made of.
+CHANNEL_HOSTS = ["t.me", "telegram.me"]
+CHANNEL_NAME = "[A-Za-z0-9_]{3,}"
 
 
 def channel_name(url: Column) -> Column:
-    """User name of a channel link, or a bare handle."""
-    u = F.regexp_replace(F.trim(url), r"^@+", "")
-    link, bare = F.regexp_extract(u, r"(?:t\.me|telegram\.me)/(?:s/)?([A-Za-z0-9_]{3,})", 1), F.regexp_extract(u, r"^([A-Za-z0-9_]{3,})$", 1)
-    return F.coalesce(F.nullif(link, F.lit("")), F.nullif(bare, F.lit("")))
+    """User name: the last path part of a channel link, or what follows the at signs of a bare handle."""
+    parts = F.split(F.regexp_replace(F.trim(url), r"[?#].*$", ""), "/")
+    host = F.exists(parts, lambda p: p.isin(CHANNEL_HOSTS))
+    name = F.when(host, F.element_at(F.filter(parts, lambda p: p != ""), -1)).when(F.size(parts) == 1, F.ltrim(parts[0], F.lit("@")))
+    return F.when(name.rlike(f"^{CHANNEL_NAME}$") & ~name.isin(CHANNEL_HOSTS), name)
 
 
 def member_count(text: Column) -> Column:
@@ -258,10 +269,15 @@ def member_count(text: Column) -> Column:
     return F.when(d != "", d.cast("long"))
 
 
+#: The labels in front of a registration date, and the layouts of the date.
+REGISTRY_LABELS = ["creation date", "created", "registered on", "registration time"]
+REGISTRY_LAYOUTS = ["yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy"]
+
+
 def registered_on(text: Column) -> Column:
-    """Creation date in a registry answer, in one of four layouts."""
-    d = F.regexp_extract(text, r"(?i)(?:creation date|created|registered on|registration time)\s*:?\s*(\d{4}-\d{2}-\d{2}|\d{2}[./-]\d{2}[./-]\d{4})", 1)
-    return F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy")]).cast("date")
+    """Date behind the first registry label; the text after it is read in each layout."""
+    after = F.regexp_extract(text, "(?i)(?:" + "|".join(REGISTRY_LABELS) + r")[:\s]*([0-9][0-9./-]{8}[0-9])", 1)
+    return F.coalesce(*[F.try_to_timestamp(after, F.lit(layout)) for layout in REGISTRY_LAYOUTS]).cast("date")
 
 
 def domain_age_days(text: Column, as_of: Column) -> Column:

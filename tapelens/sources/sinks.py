@@ -18,7 +18,8 @@ def merge_rows(target: DataFrame, incoming: DataFrame, keys: list[str], policy:
     seq = F.col(order).cast("double") if order else F.lit(0.0)
     both = target.withColumn("__new", F.lit(0)).withColumn("__o", seq).unionByName(
         incoming.select(*target.columns).withColumn("__new", F.lit(1)).withColumn("__o", seq))
-    latest, first = F.struct("__new", "__o"), F.struct(-F.col("__new"), -F.col("__o"))
+    # a total order over whole rows: tied rows are never mixed column by column
+    latest, first = F.struct("__new", "__o", *cols), F.struct(-F.col("__new"), -F.col("__o"), *cols)
     aggs = []
     for c in cols:
         how = policy.get(c, default)

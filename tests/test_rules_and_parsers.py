@@ -70,14 +70,75 @@ def test_prior_median(spark):
     assert got[2] == (1, True) and got[3] == (2, False) and got[4] == (3, True) and got[5] == (4, True)
 
 
-def test_graph_counts_match_listing(spark):
-    teams = {"a": "xyz", "b": "xyw", "c": "xyz", "d": "zw", "e": "zw", "f": "xq"}
-    team = spark.createDataFrame([(m, w, i) for m, ws in teams.items() for i, w in enumerate(ws)], "token_mint string, wallet string, rank int")
-    out = spark.createDataFrame([(m, "rug" if m in "acde" else "ok") for m in teams], "token_mint string, classified string")
-    g = memory.wallet_graph(team, out, spark.createDataFrame([(m, 1) for m in teams], "token_mint string, graduated_at long"))
-    want = {(r.token_mint, r.connected): (r.r, r.s) for r in memory.graph_hits(team, g).groupBy("token_mint", "connected").agg(
-        F.count_if(F.col("rug_co_appearances") >= 2).alias("r"), F.count_if(F.col("rug_co_appearances") < 2).alias("s")).collect()}
-    assert {(r.token_mint, r.connected): (r.rug_hits, r.soft_hits) for r in memory.graph_hit_counts(team, g).collect()} == want != {}
+def team_tables(spark, coins):
+    """coins: mint -> (anchor, wallets, class)."""
+    team = spark.createDataFrame([(m, w) for m, (_, ws, _) in coins.items() for w in ws], "token_mint string, wallet string")
+    out = spark.createDataFrame([(m, c) for m, (_, _, c) in coins.items() if c], "token_mint string, classified string")
+    return memory.team_memberships(team, out, spark.createDataFrame([(m, at) for m, (at, *_) in coins.items()], "token_mint string, graduated_at long"))
+
+
+def test_graph_hits_count_resolved_teams_only(spark):
+    coins = {"a": (0, "xy", "rug"), "b": (10, "xz", "rug"), "c": (100, "xy", "ok"), "d": (104, "xy", None), "e": (300, "xyz", "rug"), "f": (5, "x", "rug")}
+    got = {(r.token_mint, r.connected): (r.rug_hits, r.soft_hits) for r in memory.graph_hit_counts(team_tables(spark, coins), 50).collect()}
+    # f has one wallet and is no team; c and d see a and b; e sees a, b and c
+    assert got == {("c", "x"): (1, 0), ("d", "x"): (1, 0), ("e", "x"): (1, 0), ("e", "y"): (0, 1)}
+
+
+def test_later_coins_change_no_earlier_row(spark):
+    """Every point-in-time table is the same for old coins whether or not later ones exist."""
+    coins = {f"c{i}": (i * 40, "xyz"[: 1 + i % 3] + "w", ["rug", "moon", "ok"][i % 3]) for i in range(12)}
+    early = {m: v for m, v in coins.items() if v[0] <= 240}
+    resolve = 50
+
+    def frames(chosen):
+        at = spark.createDataFrame([(m, v[0]) for m, v in chosen.items()], "token_mint string, graduated_at long")
+        own = at.withColumn("funder", F.when(F.col("graduated_at") % 80 == 0, "F1").otherwise("F2"))
+        graded = own.join(spark.createDataFrame([(m, v[2]) for m, v in chosen.items()], "token_mint string, classified string"), "token_mint")
+        teams = team_tables(spark, chosen)
+        wallets = teams.select("token_mint", "wallet", "graduated_at")
+        calls = teams.select("wallet", "graduated_at", "classified")
+        buys = wallets.select("wallet", (F.col("graduated_at") - 5).alias("ts"))
+        clusters = graded.select("token_mint", F.lit(3).alias("member_count"), (F.col("graduated_at") % 7).cast("double").alias("supply_pct"),
+                                 F.lit(1).alias("is_bc_sniper"), F.lit(2.0).alias("first_buy_offset_s"))
+        summary = own.select("token_mint", "funder", "graduated_at", F.lit(3).alias("n_sellers"), F.concat(F.lit("L"), F.col("graduated_at") % 3).alias("leader_wallet"))
+        prints = memory.fingerprints_by_epoch(clusters, own.select("token_mint", "funder"), graded, at, resolve, 60)
+        return [memory.reputation_as_of(own, graded, "funder", resolve), memory.graph_hit_counts(teams, resolve),
+                memory.smart_scores_as_of(wallets, calls, buys, buys.withColumn("n", F.lit(2)), resolve, 30),
+                memory.choreography_as_of(own, summary, resolve), prints.filter("epoch <= 4").withColumnRenamed("funder", "token_mint")]
+
+    for before, after in zip(frames(early), frames(coins)):
+        keep = [r for r in map(tuple, after.collect()) if r[0] in early or r[0] in ("F1", "F2")]
+        assert sorted(map(str, keep)) == sorted(map(str, map(tuple, before.collect()))) and keep
+
+
+@pytest.mark.parametrize("red,green,want", [(0, 2, "high"), (0, 1, "med"), (0, 0, "low"), (1, 0, "med"), (2, 0, "low"), (2, 1, "med"), (3, 0, "low")])
+def test_summary_confidence(spark, red, green, want):
+    from tapelens.operators.patterns import summary_metadata
+
+    signs = lambda n: [F.lit(i < n) for i in range(3)]
+    assert summary_metadata(spark.createDataFrame([("m",)], "token_mint string"), signs(red), signs(green)).first().confidence == want
+
+
+def test_parsers_treat_blanks_as_missing(spark):
+    df = spark.createDataFrame([(json.dumps(x),) for x in (
+        {"mint": "m", "name": "", "creator": "", "traderPublicKey": "c", "usd_market_cap": 0, "marketCapSol": 2, "created_timestamp": 0, "timestamp": 7, "metadata": {"name": "n", "telegram": "tg"}},)], "raw string")
+    r = bronze.listings(df).first()
+    assert (r.name, r.creator, r.created_at, r.telegram, r.market_cap_usd > 0) == ("n", "c", 7, "tg", True)
+    trades = spark.createDataFrame([(json.dumps(x),) for x in (
+        {"mint": "m", "user": "u", "is_buy": True, "sol_amount": 1e9, "tokenAmount": 5, "token_amount": 9, "timestamp": 1}, {"mint": "m", "is_buy": True, "timestamp": 1})], "raw string")
+    assert [(r.signer, r.token_amount) for r in bronze.launch_trades(trades).collect()] == [("u", 5.0)]
+    hosts = spark.createDataFrame([("https://www.A.com/x",), ("b.org/y",), ("plain",)], "u string").select(bronze.domain_of(F.col("u")).alias("d"))
+    assert [r.d for r in hosts.collect()] == ["a.com", "b.org", ""]
+    names = spark.createDataFrame([("https://t.me/s/abc_d?x=1",), ("@@abcd",), ("https://x.com/abcd",), ("t.me/",)], "u string").select(bronze.channel_name(F.col("u")).alias("d"))
+    assert [r.d for r in names.collect()] == ["abc_d", "abcd", None, None]
+    dates = spark.createDataFrame([("Creation Date: 2020-01-31T00",), ("registered on 31.01.2020",), ("none",)], "u string").select(bronze.registered_on(F.col("u")).alias("d"))
+    assert [str(r.d) for r in dates.collect()] == ["2020-01-31", "2020-01-31", "None"]
+
+
+def test_upsert_never_mixes_tied_rows(spark):
+    old = spark.createDataFrame([("z", 0, "o")], "k string, n int, s string")
+    new = spark.createDataFrame([("a", 1, "y"), ("a", 2, "x")], "k string, n int, s string")
+    assert [tuple(r) for r in sinks.merge_rows(old, new, ["k"], {}).filter("k = 'a'").collect()] == [("a", 2, "x")]
 
 
 def test_transaction_parser(spark):
