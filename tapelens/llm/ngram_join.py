@@ -10,11 +10,11 @@ sets reaches a percentage. The join is exact up to 64-bit shingle hashes and los
    common such shingle form a cell.
 3. A star pass compares every member of a cell with its smallest one and contracts what links, so
    a crowd of near copies becomes one component with as many comparisons as members.
-4. The cells that still hold several components are searched by signature trees: leaves are
-   documents, nodes hold the OR of their members' token bitmaps and the range of their set sizes,
+4. The cells that still hold several components are cut by size bands and searched by signature
+   trees: leaves are documents, nodes hold the OR of their members' token bitmaps and the range of their set sizes,
    and a dual traversal drops pairs of nodes by size range, by common component, and by the most
    overlap that their bitmaps allow. The upper nodes of a large cell are rows of a table, joined
-   within neighbouring size bands; the lower levels are numpy inside a task.
+   with each other; the lower levels are numpy inside a task.
 5. Pairs that remain are verified on the sets themselves.
 
 Empty and null texts have no shingles and link with nothing; a text of fewer than n words is one
@@ -177,27 +177,30 @@ class Tree:
             yield np.minimum(p, q), np.maximum(p, q)
 
 
+def size_band(size, percent: int):
+    """Sets that link lie in the same band of sizes or in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
+
+
 def node_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of cells: upper nodes joined by size band, lower levels inside the tasks.
+    """Candidate pairs (a, b) of cells: upper nodes joined inside a cell, lower levels inside the tasks.
 
-    `members`: token, n (members of the cell), doc_id, size, comp, bitmap.
+    `members`: token, band (together the cell), n (its members), doc_id, size, comp, bitmap.
     """
-    band = F.when(F.col("n") <= NODE, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent)))).cast("int")
+    cell = ["token", "band"]
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / NODE)).cast("int")
-    nodes = members.groupBy("token", band.alias("band"), block.alias("block")).agg(
+    nodes = members.groupBy(*cell, block.alias("block")).agg(
         F.collect_list(F.struct("doc_id", "size", "comp", "bitmap")).alias("members"),  # about NODE of them
         F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.first("n").alias("n"))
     small = nodes.filter(F.col("n") <= NODE).select(F.col("members").alias("left"), F.lit(None).cast(nodes.schema["members"].dataType).alias("right"))
     large = stored(nodes.filter(F.col("n") > NODE), "signature-nodes")
-    left = large.select("token", "band", "block", "low", "high", "first", "last", F.col("members").alias("left"))
-    # sizes of linked sets differ by one band at most
-    right = large.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("block").alias("block2"),
-                         F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("members").alias("right"))
-    crossed = left.join(right, ["token", "band"]).filter((F.col("band2") > F.col("band")) | (F.col("block2") >= F.col("block")))
+    left = large.select(*cell, "block", "low", "high", "first", "last", F.col("members").alias("left"))
+    right = large.select(*cell, F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"),
+                         F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("members").alias("right"))
+    crossed = left.join(right, cell).filter("block2 >= block")
     crossed = crossed.filter((100 * F.col("high2") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("low2"))
                              & ~((F.col("first") == F.col("last")) & (F.col("first2") == F.col("last2")) & (F.col("first") == F.col("first2"))))
-    same = (F.col("band") == F.col("band2")) & (F.col("block") == F.col("block2"))
-    crossed = crossed.select("left", F.when(~same, F.col("right")).alias("right"))
+    crossed = crossed.select("left", F.when(F.col("block") != F.col("block2"), F.col("right")).alias("right"))
 
     def tree(members: list[dict]) -> Tree:
         return Tree(np.array([m["doc_id"] for m in members]), np.array([m["size"] for m in members]), np.array([m["comp"] for m in members]),
@@ -292,20 +295,23 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2"])
     sig = stored(reps.select("doc_id", "size", "prefix", "bitmap"), "jaccard-reps")
 
-    tokens = sig.select(F.explode("prefix").alias("token"), "doc_id", "size")
-    crowds = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
-    cells = stored(tokens.join(crowds, "token").select("token", "doc_id", "leader"), "jaccard-cells")
-    stars = cells.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tokens = sig.select(F.explode("prefix").alias("token"), "doc_id", size_band(F.col("size"), percent).alias("own"))
+    crowds = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "own")).alias("leader")).filter("n > 1").drop("n")
+    cells = stored(tokens.join(crowds, "token"), "jaccard-cells")
+    near = (F.col("doc_id") != F.col("leader.doc_id")) & (F.abs(F.col("own") - F.col("leader.own")) <= 1)
+    stars = cells.filter(near).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     star_links = verified(bounded_pairs(stars, sig, percent), docs, n, percent)
 
     comps = stored(connected_components(star_links, []).select("node", "comp"), "jaccard-stars")
-    comp = F.coalesce("comp", "doc_id")
-    members = cells.select("token", "doc_id").join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", comp.alias("comp"))
-    # cells of several components; those with the same members are searched once
-    mixed = members.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"),
-                                         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("set")).filter("first < last")
-    once = mixed.groupBy("n", "set").agg(F.min("token").alias("token")).select("token", "n")
-    searched = members.join(once, "token").join(sig.select("doc_id", "size", "bitmap"), "doc_id")
+    members = cells.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "own", F.coalesce("comp", "doc_id").alias("comp"))
+    several_comps = members.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("token")
+    # a cell is a token and a band with the next one; cells of the same members are searched once
+    placed = stored(members.join(several_comps, "token", "left_semi").withColumn("band", F.explode(F.array("own", F.col("own") - 1))), "jaccard-placed")
+    groups = placed.groupBy("token", "band").agg(
+        F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(F.col("own") == F.col("band")).alias("home"),
+        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("set")).filter("n > 1 AND first < last AND home")
+    once = groups.groupBy("n", "set").agg(F.min(F.struct("token", "band")).alias("k")).select("k.token", "k.band", "n")
+    searched = placed.drop("own").join(once, ["token", "band"]).join(sig.select("doc_id", "size", "bitmap"), "doc_id")
     links = star_links.unionByName(verified(node_pairs(searched, percent), docs, n, percent))
 
     # a doc_id with several texts joins the classes of all of them
