@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelens.session import cut
+
 CELL = "__cell"
 
 
@@ -102,30 +104,30 @@ def split_fill(
 def anchored_groups(df: DataFrame, keys: list[str], ts: str, width: int, out: str) -> DataFrame:
     """Greedy anchored windows over the distinct `ts` of each key: (keys, ts, out=anchor).
 
-    A group takes every time within `width` of its first one; the next group starts at
-    the first time beyond. A gap wider than `width` always starts a group, so each gap
-    session folds on its own. Only distinct times enter the fold, which the length of a
-    tape bounds whatever the number of trades in one second.
+    A group takes every time within `width` of its first one; the next group starts at the first
+    time beyond. Anchors are found by doubling jumps: every time knows the first time beyond its
+    own window, a time after a gap is an anchor for certain, and each round joins the jump of
+    twice the length, so a chain of n anchors takes log2(n) rounds of equi joins. No key is
+    gathered into one row or one task.
     """
-    times = df.select(*keys, ts).distinct()
-    w = Window.partitionBy(*keys).orderBy(ts)
-    sessions = (
-        times.withColumn("__gap", F.col(ts) - F.lag(ts).over(w))
-        .withColumn("__sid", F.sum(F.when(F.col("__gap") > width, 1).otherwise(0)).over(w))
-        .groupBy(*keys, "__sid")
-        .agg(F.sort_array(F.collect_list(ts)).alias("__ts"))
-    )
-    anchors = F.aggregate(
-        "__ts",
-        F.slice("__ts", 1, 1),
-        lambda acc, t: F.when(t - F.element_at(acc, -1) > width, F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return (
-        sessions.withColumn("__a", anchors)
-        .select(*keys, F.explode("__ts").alias(ts), "__a")
-        .withColumn(out, F.array_max(F.filter("__a", lambda a: a <= F.col(ts))))
-        .drop("__a")
-    )
+    cell = lambda c: time_cell(c, 64 * (width + 1))
+    times = cut(df.select(*keys, F.col(ts).alias("__t")).distinct())
+    before = split_fill(times, keys, [F.col("__t")], cell("__t"), F.col("__t"), "__prev", inclusive=False)
+    starts = before.filter(F.col("__prev").isNull() | (F.col("__t") - F.col("__prev") > width)).select(*keys, "__t")
+    none = F.lit(None).cast("long")
+    line = times.select(*keys, F.col("__t").alias("__at"), F.lit(0).alias("__kind"), F.col("__t").alias("__v"), none.alias("__from")).unionByName(
+        times.select(*keys, (F.col("__t") + width).alias("__at"), F.lit(1).alias("__kind"), none.alias("__v"), F.col("__t").alias("__from")))
+    jumps = split_fill(line, keys, [F.col("__at"), F.col("__kind")], cell("__at"), F.col("__v"), "__to", forward=True, inclusive=False)
+    jumps = cut(jumps.filter("__from IS NOT NULL AND __to IS NOT NULL").select(*keys, F.col("__from").alias("__t"), "__to"))
+    anchors, known = cut(starts), None
+    while known != (known := anchors.count()):
+        reached = anchors.join(jumps, [*keys, "__t"]).select(*keys, F.col("__to").alias("__t"))
+        anchors = cut(anchors.union(reached).distinct())
+        twice = jumps.select(*keys, F.col("__t").alias("__first"), F.col("__to").alias("__t")).join(jumps, [*keys, "__t"])
+        jumps = cut(twice.select(*keys, F.col("__first").alias("__t"), "__to"))
+    marked = cut(times.join(anchors.withColumn("__a", F.col("__t")), [*keys, "__t"], "left"))
+    filled = split_fill(marked, keys, [F.col("__t")], cell("__t"), F.col("__a"), out)
+    return filled.select(*keys, F.col("__t").alias(ts), out)
 
 
 def exact_quantile_ranks(df: DataFrame, keys: list[str], value: str, cell: Column | None = None) -> DataFrame:
