@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_quality_rules, op2_ngram_jaccard, op3_quality_classifier, op4_byte_bpe, op5_line_dedup,
     op6_pii, op7_source_mixing, op8_warc, op9_syncmers, op10_secret_scan)}
 
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL, "op8_warc": warc.SQL}

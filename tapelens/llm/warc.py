@@ -224,3 +224,14 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"name": batch.column(0), "bytes": pa.array(sizes, pa.int64())})
 
     return pick(archives, name="name", content="content").mapInArrow(run, "name string, bytes long")
+
+
+#: The query over the pages themselves: 5 hexadecimal digits of a SHA-1 are 4 base-32 characters.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+top AS (SELECT h, max(page_id) AS response FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(p.h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)
+                   for i in range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM p JOIN top ON p.h = top.h"""
