@@ -18,50 +18,67 @@ from tapelens.sources.tables import Tables
 q = quality.check
 
 
+# Recorded rows with a fixed share of damage, so that every check has something to find.
+cte("t_rec_post", "SELECT * REPLACE (CASE WHEN CAST(split_part(tx_signature, '-', 1) AS BIGINT) % 97 = 0 THEN graduated_at - 61 ELSE ts END AS ts) FROM t_post")
+cte("t_rec_coins", "SELECT * REPLACE (CASE WHEN CAST(token_mint AS BIGINT) % 50 = 0 THEN graduated_at + 1 ELSE created_at END AS created_at) FROM t_coins")
+cte("t_rec_held", "SELECT * REPLACE (CASE WHEN CAST(token_mint AS BIGINT) % 40 = 0 THEN pct * 1.5::DOUBLE ELSE pct END AS pct) FROM t_held")
+
+
+def recorded(t: Tables):
+    """(post rows, coins, holders) with rows before the anchor, late creation times and shares over 100 %."""
+    order, mint = F.split("tx_signature", "-")[0].cast("long"), F.col("token_mint").cast("long")
+    post = t.post.withColumn("ts", F.when(order % 97 == 0, F.col("graduated_at") - 61).otherwise(F.col("ts")))
+    coins = t.coins.withColumn("created_at", F.when(mint % 50 == 0, F.col("graduated_at") + 1).otherwise(F.col("created_at")))
+    held = t.held.withColumn("pct", F.when(mint % 40 == 0, F.col("pct") * 1.5).otherwise(F.col("pct")))
+    return post, coins, held
+
+
 def audit_rows(t: Tables):
+    post, coins, held = recorded(t)
     day = t.coins.join(context(t).select("token_mint", F.lit(1).alias("snap")), "token_mint", "left")
-    sums = t.holders.groupBy("token_mint").agg(F.sum(F.col("pct").cast("decimal(28,9)")).cast("double").alias("s"), F.count("*").alias("k"))
-    traj, gated = t.trajectory, labels.anchor_gated(t.trajectory)
+    sums = held.groupBy("token_mint").agg(F.sum(F.col("pct").cast("decimal(28,9)")).cast("double").alias("s"))
+    traj = t.trajectory
     choreo = flow.exit_choreography(t.post, t.team).filter("exit_order IS NOT NULL")
-    stray = choreo.join(t.holders.select("token_mint", "wallet", F.lit(1).alias("h")), ["token_mint", "wallet"], "left")
+    stray = choreo.join(held.filter("pct >= 1").select("token_mint", "wallet", F.lit(1).alias("h")), ["token_mint", "wallet"], "left")
     traced = t.coin_funder.join(t.team.join(t.funding.select("wallet", "funder"), "wallet").select("token_mint", "funder").distinct().withColumn("x", F.lit(1)),
                                 ["token_mint", "funder"], "left")
     att = attribution(t)
     return quality.run([
         q(day, "data", "snapshot_coverage", F.col("snap").isNotNull(), 0.90, at_most=False),
-        q(t.post, "data", "rows_before_anchor", F.col("ts") < F.col("graduated_at") - 60, 0.001),
-        q(t.coins, "data", "future_created_at", F.col("created_at") > F.col("graduated_at"), 0.0),
-        q(sums, "structure", "supply_over_102", F.col("s") > 102, 0.0), q(sums, "structure", "team_size_over_40", F.col("k") > 40, 0.0),
+        q(post, "data", "rows_before_anchor", F.col("ts") < F.col("graduated_at") - 60, 0.001),
+        q(coins, "data", "future_created_at", F.col("created_at") > F.col("graduated_at"), 0.0),
+        q(sums, "structure", "supply_over_102", F.col("s") > 102, 0.0), q(t.team_clusters, "structure", "team_size_over_40", F.col("member_count") > 40, 0.0),
         q(stray, "structure", "behavior_row_not_member", F.col("h").isNull(), 0.05),
         q(traced, "structure", "funder_traces_to_member", F.col("x").isNotNull(), 0.80, at_most=False),
         q(att, "labels", "attribution_uncertain", F.col("state") == "uncertain", 0.15),
         q(traj.join(att, "token_mint", "left"), "labels", "attribution_coverage", F.col("state").isNotNull(), 0.95, at_most=False),
         q(traj, "labels", "sustain_rule", (F.col("reached_10x") == 1) & (F.col("n_price_points") < 3), 0.0),
-        q(gated, "labels", "thin_tape_excluded", F.col("n_price_points") < 30, 0.0),
+        q(traj, "labels", "thin_tape", F.col("n_price_points") < 30, 0.0),
     ])
 
 
 @query("audit_checks", sql=f"""SELECT stage, name, n, bad, CASE WHEN (CASE WHEN least_mode = 1 THEN (CASE WHEN n > 0 THEN bad / n ELSE 0 END) <= lim ELSE (CASE WHEN n > 0 THEN bad / n ELSE 0 END) >= lim END) THEN 1 ELSE 0 END AS ok FROM (
 SELECT 'data' AS stage, 'snapshot_coverage' AS name, (SELECT count(*) FROM t_coins) AS n, (SELECT count(*) FROM t_ctx) AS bad, 0.9 AS lim, 0 AS least_mode
-UNION ALL SELECT 'data', 'rows_before_anchor', (SELECT count(*) FROM t_post), (SELECT count(*) FROM t_post WHERE ts < graduated_at - 60), 0.001, 1
-UNION ALL SELECT 'data', 'future_created_at', (SELECT count(*) FROM t_coins), 0, 0, 1
-UNION ALL SELECT 'structure', 'supply_over_102', (SELECT count(DISTINCT token_mint) FROM t_holders), (SELECT count(*) FROM (SELECT token_mint FROM t_holders GROUP BY 1 HAVING {dsum('pct')} > 102)), 0, 1
-UNION ALL SELECT 'structure', 'team_size_over_40', (SELECT count(DISTINCT token_mint) FROM t_holders), 0, 0, 1
-UNION ALL SELECT 'structure', 'behavior_row_not_member', (SELECT count(*) FROM t_choreo WHERE exit_order IS NOT NULL), 0, 0.05, 1
+UNION ALL SELECT 'data', 'rows_before_anchor', (SELECT count(*) FROM t_rec_post), (SELECT count(*) FROM t_rec_post WHERE ts < graduated_at - 60), 0.001, 1
+UNION ALL SELECT 'data', 'future_created_at', (SELECT count(*) FROM t_rec_coins), (SELECT count(*) FROM t_rec_coins WHERE created_at > graduated_at), 0, 1
+UNION ALL SELECT 'structure', 'supply_over_102', (SELECT count(DISTINCT token_mint) FROM t_rec_held), (SELECT count(*) FROM (SELECT token_mint FROM t_rec_held GROUP BY 1 HAVING {dsum('pct')} > 102)), 0, 1
+UNION ALL SELECT 'structure', 'team_size_over_40', (SELECT count(*) FROM t_team_clusters), (SELECT count(*) FROM t_team_clusters WHERE member_count > 40), 0, 1
+UNION ALL SELECT 'structure', 'behavior_row_not_member', (SELECT count(*) FROM t_choreo WHERE exit_order IS NOT NULL), (SELECT count(*) FROM t_choreo c WHERE exit_order IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_rec_held h WHERE h.token_mint = c.token_mint AND h.wallet = c.wallet AND h.pct >= 1)), 0.05, 1
 UNION ALL SELECT 'structure', 'funder_traces_to_member', (SELECT count(*) FROM t_coin_funder), (SELECT count(*) FROM t_coin_funder c WHERE EXISTS (SELECT 1 FROM t_team m JOIN t_funding f USING (wallet) WHERE m.token_mint = c.token_mint AND f.funder = c.funder)), 0.8, 0
 UNION ALL SELECT 'labels', 'attribution_uncertain', (SELECT count(*) FROM t_attribution), (SELECT count(*) FROM t_attribution WHERE state = 'uncertain'), 0.15, 1
 UNION ALL SELECT 'labels', 'attribution_coverage', (SELECT count(*) FROM t_traj), (SELECT count(*) FROM t_traj JOIN t_attribution USING (token_mint)), 0.95, 0
 UNION ALL SELECT 'labels', 'sustain_rule', (SELECT count(*) FROM t_traj), (SELECT count(*) FROM t_traj WHERE reached_10x = 1 AND n_price_points < 3), 0, 1
-UNION ALL SELECT 'labels', 'thin_tape_excluded', (SELECT count(*) FROM t_gated), 0, 0, 1)""")
+UNION ALL SELECT 'labels', 'thin_tape', (SELECT count(*) FROM t_traj), (SELECT count(*) FROM t_traj WHERE n_price_points < 30), 0, 1)""")
 def _(t):
     return audit_rows(t)
 
 
-@query("audit_member_gate", "e", """SELECT 'structure' AS stage, 'member_gate' AS name, count(*) AS n, 0 AS bad, 1 AS ok FROM t_scored WHERE score >= 0.35 AND gated = 1""")
+@query("audit_member_gate", "e", """SELECT 'structure' AS stage, 'member_gate' AS name, count(*) AS n, count(*) FILTER (gated = 0) AS bad, CASE WHEN count(*) FILTER (gated = 0) / count(*) <= 0.02 THEN 1 ELSE 0 END AS ok
+FROM t_scored WHERE score >= 0.35""")
 def _(t):
     from tapelens.functions.columns import member_gate
 
-    members = scored(t).filter("score >= 0.35 AND gated = 1")
+    members = scored(t).filter("score >= 0.35")  # whoever the score alone would admit
     gate = member_gate("overlap", F.col("edge_sources").isNotNull().cast("int"), "funding", "slot_offset")
     return q(members, "structure", "member_gate", ~gate, 0.02)
 

@@ -19,17 +19,17 @@ def _(t):
     m = jobs.file_stream(t.spark, t.folder, "events").select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("event_time"))
     folder = jobs.run_folder(t.spark, "narratives")
     jobs.run_available(jobs.rolling_narratives(m), folder)
-    out = t.spark.read.schema("label string, start timestamp, velocity long, status string").parquet(f"{folder}/out")
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = t.spark.read.schema("label string, start timestamp, velocity long").parquet(f"{folder}/out")
+    return jobs.narrative_states(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_first_anchor", "e", "SELECT token_mint, min(ts) + 500 AS graduated_at, count(*) AS reports FROM t_swaps GROUP BY 1")
 def _(t):
     s = swaps_stream(t).select("token_mint", (F.col("ts") + 500).alias("graduated_at"), "event_time")
     folder = jobs.run_folder(t.spark, "anchors")
-    table = jobs.KeyedTable(t.spark, f"{folder}/table", ["token_mint"], {"graduated_at": "min", "reports": "max"})
-    jobs.run_available(jobs.first_anchor(s), folder, table, "update")
-    return table.read()
+    table = jobs.BatchTable(t.spark, f"{folder}/table", jobs.ANCHORS, jobs.anchor_partials)
+    jobs.run_available(s, folder, table)
+    return jobs.first_anchors(table.read())
 
 
 _ck = ", ".join(f"({c})" for c in jobs.CHECKPOINTS)
@@ -40,27 +40,26 @@ _ck = ", ".join(f"({c})" for c in jobs.CHECKPOINTS)
 FROM t_post CROSS JOIN (VALUES {_ck}) c(checkpoint_s) WHERE ts - graduated_at < checkpoint_s GROUP BY 1, 2""")
 def _(t):
     folder = jobs.run_folder(t.spark, "checkpoints")
-    agg = jobs.checkpoint_features(swaps_stream(t), t.coins.select("token_mint", "graduated_at")).withColumn("window_start", F.col("window.start")).drop("window")
-    table = jobs.KeyedTable(t.spark, f"{folder}/table", ["token_mint", "checkpoint_s", "window_start"])
-    jobs.run_available(agg, folder, table, "update")
-    return table.read().groupBy("token_mint", "checkpoint_s").agg(
-        F.sum("n_trades").alias("n_trades"), F.sum("n_buys").alias("n_buys"), F.round(F.sum("net_sol"), 6).alias("net_sol"), F.max("max_sol").alias("max_sol"))
+    table = jobs.BatchTable(t.spark, f"{folder}/table", jobs.FEATURES, jobs.checkpoint_partials)
+    jobs.run_available(swaps_stream(t).join(t.coins.select("token_mint", "graduated_at"), "token_mint"), folder, table)
+    return jobs.checkpoint_features(table.read()).withColumn("net_sol", F.round("net_sol", 6))
 
 
 @query("stream_tagged_flow", "e", """SELECT tag, count(*) AS n FROM (SELECT CASE WHEN m.wallet IS NOT NULL THEN 'team' ELSE 'unknown' END AS tag FROM t_swaps s LEFT JOIN t_team m ON m.token_mint = s.token_mint AND m.wallet = s.signer) GROUP BY 1""")
 def _(t):
     folder = jobs.run_folder(t.spark, "flow")
-    table = jobs.KeyedTable(t.spark, f"{folder}/table", ["tx_signature"], default="keep")
+    table = jobs.BatchTable(t.spark, f"{folder}/table", "tx_signature string, tag string")
     jobs.run_available(jobs.tagged_flow(swaps_stream(t), t.team).select("tx_signature", "tag"), folder, table)
-    return table.read().groupBy("tag").agg(F.count("*").alias("n"))
+    return table.read().dropDuplicates(["tx_signature"]).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("stream_first_exit_alert", "e", "SELECT token_mint, min(ts) AS alert_ts FROM t_team_sells GROUP BY 1")
 def _(t):
     folder = jobs.run_folder(t.spark, "exits")
-    table = jobs.KeyedTable(t.spark, f"{folder}/table", ["token_mint"], {"alert_ts": "min"})
+    earliest = lambda rows: rows.groupBy("token_mint").agg(F.min("alert_ts").alias("alert_ts"))
+    table = jobs.BatchTable(t.spark, f"{folder}/table", "token_mint string, alert_ts long", earliest)
     jobs.run_available(jobs.first_exit_alerts(swaps_stream(t), t.team, t.coins.select("token_mint", "graduated_at")), folder, table)
-    return table.read()
+    return earliest(table.read())
 
 
 @query("stream_watched_buys", "e", "SELECT s.signer, count(*) AS n FROM t_swaps s JOIN t_smart_list w ON w.wallet = s.signer WHERE side = 'buy' GROUP BY 1")
@@ -86,7 +85,11 @@ def _(t):
     return jobs.launch_windows(landed).select("token_mint", "n_buyers")
 
 
-@query("stream_feed_watchdog", "e")
+@query("stream_feed_watchdog", "e", """SELECT feed, count(*) AS episodes, CAST(sum(events) AS BIGINT) AS events FROM (
+SELECT feed, sid, count(*) AS events, max(ts) + INTERVAL '30 minutes' AS stalled_at FROM (
+  SELECT feed, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '30 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
+  FROM (SELECT event_type AS feed, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS prev FROM events)) GROUP BY 1, 2)
+WHERE stalled_at <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1""")
 def _(t):
     folder = jobs.run_folder(t.spark, "watchdog")
     hb = jobs.file_stream(t.spark, t.folder, "events").select(F.col("event_type").alias("feed"), F.col("ts").cast("timestamp").alias("event_time"))

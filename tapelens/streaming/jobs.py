@@ -1,8 +1,9 @@
 """Structured Streaming jobs: launch windows, anchors, checkpoints, alerts, rolling narratives.
 
-Stateful work uses built-in operators (partial aggregation, watermarks), so no coin's tape
-is held in one task. Sinks are idempotent: every micro-batch is merged by key, so a replayed
-batch changes nothing.
+Windows, joins and deduplication use built-in operators with watermarks. Running results per key
+need no stream state: every micro-batch lands its partial aggregates as one partition named by the
+batch, and reading the table adds the partials up. A replayed batch overwrites its own partition,
+and a restarted job finds all earlier ones, so results are exact after any failure.
 """
 
 from __future__ import annotations
@@ -10,12 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapelens.functions.columns import narrative_status
 from tapelens.session import ensure_checkpoint_dir
-from tapelens.sources.sinks import merge_rows
 
 # Seconds after the anchor at which a coin is looked at again.
 CHECKPOINTS = [30, 60, 90, 120, 210, 300, 390, 480, 600, 720, 900, 1200, 2400]
@@ -25,10 +25,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/streams/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
     """A landed table as a stream of files (production swaps this for a message topic)."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:  # a folder of files that arrive one after another
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{table}.parquet")
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def event_swaps(events: DataFrame) -> DataFrame:
@@ -41,22 +44,21 @@ def event_swaps(events: DataFrame) -> DataFrame:
         F.col("event_id").cast("string").alias("tx_signature"), F.col("ts").cast("timestamp").alias("event_time"))
 
 
-class KeyedTable:
-    """Versioned Parquet table merged by key from micro-batches; a replayed batch is skipped."""
+class BatchTable:
+    """Partial results of micro-batches, one Parquet partition each; `reduce` shrinks a batch before it lands."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], policy: dict[str, str] | None = None, default: str = "replace"):
-        self.spark, self.path, self.keys, self.policy, self.default, self.version = spark, path, keys, policy or {}, default, -1
+    def __init__(self, spark: SparkSession, path: str, schema: str, reduce: Callable[[DataFrame], DataFrame] = lambda batch: batch):
+        self.spark, self.path, self.schema, self.reduce = spark, path, schema, reduce
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.version:
-            return
-        # the batch is merged with itself first so repeats inside it follow the same policy
-        merged = merge_rows(self.read() if self.version >= 0 else batch.limit(0), batch, self.keys, self.policy, self.default)
-        merged.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self.version = batch_id
+        self.reduce(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.version}")
+        """All landed partials; empty before the first batch."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 def run_available(df: DataFrame, folder: str, sink: Callable | None = None, mode: str = "append") -> None:
@@ -83,36 +85,54 @@ def launch_windows(buys: DataFrame, min_buyers: int = 3) -> DataFrame:
     return buys.distinct().groupBy("token_mint", "created_time").agg(F.count("*").alias("n_buyers")).filter(F.col("n_buyers") >= min_buyers)
 
 
-def first_anchor(feeds: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """At most one anchor per coin and window from several feeds, carrying the earliest time.
+ANCHORS = "token_mint string, graduated_at long, reports long"
+
+
+def anchor_partials(feeds: DataFrame) -> DataFrame:
+    """Earliest time and number of reports per coin of one micro-batch."""
+    return feeds.groupBy("token_mint").agg(F.min("graduated_at").alias("graduated_at"), F.count("*").alias("reports"))
+
+
+def first_anchors(partials: DataFrame) -> DataFrame:
+    """One anchor per coin over all batches, the earliest whichever feed or batch brought it."""
+    return partials.groupBy("token_mint").agg(F.min("graduated_at").alias("graduated_at"), F.sum("reports").alias("reports"))
 
-    The deduplication keeps whichever row came first, so the earliest time is aggregated.
-    """
-    w = feeds.withWatermark("event_time", delay)
-    return w.groupBy("token_mint").agg(F.min("graduated_at").alias("graduated_at"), F.count("*").alias("reports"))
 
+FEATURES = "token_mint string, checkpoint_s int, n_trades long, n_buys long, net_sol decimal(28,6), max_sol double"
 
-def checkpoint_features(swaps: DataFrame, anchors: DataFrame, delay: str = "10 minutes", span: str = "30 days") -> DataFrame:
-    """Running features per (coin, checkpoint) from trades strictly before the checkpoint.
 
-    Every trade feeds the checkpoints after it, so a feature can never see later rows, and
-    the aggregation pre-combines on the map side. State expires with the span and watermark.
+def checkpoint_partials(swaps: DataFrame) -> DataFrame:
+    """Features per (coin, checkpoint) of one micro-batch of trades with `graduated_at`.
+
+    A trade feeds the checkpoints after it, so a feature can never see later rows. Trades after
+    the last checkpoint are dropped before the others are spread over checkpoints.
     """
-    s = swaps.withWatermark("event_time", delay).join(anchors, "token_mint").filter("ts >= graduated_at")
     off = F.col("ts") - F.col("graduated_at")
+    s = swaps.filter((off >= 0) & (off < CHECKPOINTS[-1]))
     s = s.withColumn("checkpoint_s", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).filter(off < F.col("checkpoint_s"))
-    dec = lambda c: F.sum(c.cast("decimal(18,6)")).cast("double")
     buy = F.col("side") == "buy"
-    return s.groupBy("token_mint", "checkpoint_s", F.window("event_time", span)).agg(
-        F.count("*").alias("n_trades"), F.count_if(buy).alias("n_buys"),
-        dec(F.when(buy, F.col("sol_amount")).otherwise(-F.col("sol_amount"))).alias("net_sol"), F.max("sol_amount").alias("max_sol"))
+    net = F.when(buy, F.col("sol_amount")).otherwise(-F.col("sol_amount")).cast("decimal(18,6)")
+    return s.groupBy("token_mint", "checkpoint_s").agg(
+        F.count("*").alias("n_trades"), F.count_if(buy).alias("n_buys"), F.sum(net).cast("decimal(28,6)").alias("net_sol"), F.max("sol_amount").alias("max_sol"))
+
+
+def checkpoint_features(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("token_mint", "checkpoint_s").agg(
+        F.sum("n_trades").alias("n_trades"), F.sum("n_buys").alias("n_buys"), F.sum("net_sol").cast("double").alias("net_sol"), F.max("max_sol").alias("max_sol"))
 
 
 def rolling_narratives(mentions: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Mentions per narrative in a one-hour window every five minutes, with its status."""
+    """Mentions per narrative in a one-hour window every five minutes."""
     w = F.window("event_time", "1 hour", "5 minutes")
     g = mentions.withWatermark("event_time", delay).groupBy(w, "label").agg(F.count("*").alias("velocity"))
-    return g.select("label", F.col("window.start").alias("start"), "velocity", narrative_status("velocity", "velocity").alias("status"))
+    return g.select("label", F.col("window.start").alias("start"), "velocity")
+
+
+def narrative_states(landed: DataFrame) -> DataFrame:
+    """Status of every landed window from its velocity and the highest one so far."""
+    w = Window.partitionBy("label").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    peak = landed.withColumn("peak", F.max("velocity").over(w))
+    return peak.select("label", "start", "velocity", narrative_status("velocity", "peak").alias("status"))
 
 
 def watched_buys(swaps: DataFrame, watched: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -128,7 +148,7 @@ def tagged_flow(swaps: DataFrame, team: DataFrame) -> DataFrame:
 
 
 def first_exit_alerts(swaps: DataFrame, team: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Team sells after the anchor; merged with a min policy the table holds one alert per coin."""
+    """Team sells after the anchor; the earliest of a coin is its alert."""
     return (swaps.filter("side = 'sell'").join(team.select("token_mint", F.col("wallet").alias("signer")), ["token_mint", "signer"], "left_semi")
             .join(anchors, "token_mint").filter("ts >= graduated_at").select("token_mint", F.col("ts").alias("alert_ts")))
 
