@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelens.functions.ordered import anchored_groups, split_row_number, split_running_sum, time_cell
+from tapelens.session import cut
 from tapelens.sources.tables import exact_sum
 
 # The interval grid in seconds and the collapse rule.
@@ -40,41 +42,26 @@ def robust_anchor(post: DataFrame, k: int = ANCHOR_K, before: int | None = None)
 def collapse_events(post: DataFrame, anchors: DataFrame, window_s: int = CONFIRM_W) -> DataFrame:
     """(mint, collapse_s): first candidate below half the anchor that three prints confirm in time.
 
-    Three recoveries in a row void a candidate; an expired window restarts at the first
-    print beyond it. Prints past the grid cannot matter, and inside a second only the first
-    three of a run of equal flags can, so long runs are cut before the fold over a coin.
+    Three recoveries in a row end an episode. Inside one the candidates are greedy anchored
+    windows over the low prints, and the first window with three of them is the event. Runs of
+    recoveries are islands of equal rank difference, so nothing gathers a coin's prints.
     """
     off = F.col("ts") - F.col("graduated_at")
-    p = post.filter((F.col("price_usd") > 0) & (off <= T_ADMIN + window_s)).select(
-        "token_mint", "ts", "tx_signature", "price_usd", off.alias("off")).join(anchors, "token_mint")
-    p = p.withColumn("low", (F.col("price_usd") < COLLAPSE_FRAC * F.col("anchor")).cast("int"))
-    sec = Window.partitionBy("token_mint", "ts").orderBy("tx_signature")
-    p = p.withColumn("sw", F.coalesce((F.col("low") != F.lag("low").over(sec)).cast("int"), F.lit(0)))
-    p = p.withColumn("run", F.sum("sw").over(sec))
-    in_run = Window.partitionBy("token_mint", "ts", "run").orderBy("tx_signature")
-    p = p.withColumn("pos", F.row_number().over(in_run)).filter(F.col("pos") <= max(CONFIRM_N, RECOVER_N))
-    has_low = p.filter("low = 1").select("token_mint").distinct()
-    tape = p.join(has_low, "token_mint", "left_semi").groupBy("token_mint").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("off", "tx_signature", "low"))),
-                    lambda x: F.struct(x["off"].alias("t"), x["low"].alias("low"))).alias("line"))
-    state = lambda open_, cand, conf, rec, res: F.struct(
-        open_.alias("open"), cand.alias("cand"), conf.alias("conf"), rec.alias("rec"), res.alias("res"))
-    null = F.lit(None).cast("long")
-
-    def step(s, x):
-        live = s["open"] & (x["t"] <= s["cand"] + window_s)
-        low = x["low"] == 1
-        conf = F.when(~live, 1).otherwise(s["conf"] + 1)
-        rec = s["rec"] + 1
-        fresh_idle = state(F.lit(False), F.lit(0).cast("long"), F.lit(0), F.lit(0), null)
-        on_low = state(F.lit(True), F.when(live, s["cand"]).otherwise(x["t"]), conf, F.lit(0),
-                       F.when(live & (conf >= CONFIRM_N), s["cand"]))
-        on_high = F.when(live & (rec < RECOVER_N), state(F.lit(True), s["cand"], s["conf"], rec, null)).otherwise(fresh_idle)
-        return F.when(s["res"].isNotNull(), s).when(low, on_low).otherwise(on_high)
-
-    start = state(F.lit(False), F.lit(0).cast("long"), F.lit(0), F.lit(0), null)
-    folded = tape.select("token_mint", F.aggregate("line", start, step).alias("s"))
-    return folded.filter("s.res IS NOT NULL").select("token_mint", F.col("s.res").alias("collapse_s"))
+    p = post.filter((F.col("price_usd") > 0) & (off <= T_ADMIN + window_s)).join(anchors, "token_mint").select(
+        "token_mint", "tx_signature", off.alias("off"), (F.col("price_usd") < COLLAPSE_FRAC * F.col("anchor")).alias("low"))
+    p = cut(p)
+    p = p.join(p.filter("low").select("token_mint").distinct(), "token_mint", "left_semi")
+    keys, order, cell = ["token_mint"], [F.col("off"), F.col("tx_signature")], time_cell("off", 60)
+    ranked = cut(split_row_number(p, keys, order, cell, "rn"))
+    highs = split_row_number(ranked.filter("NOT low"), keys, order, cell, "hn")
+    islands = highs.groupBy("token_mint", (F.col("rn") - F.col("hn")).alias("island")).agg(F.min("rn").alias("first"), F.count("*").alias("n"))
+    ends = islands.filter(F.col("n") >= RECOVER_N).select("token_mint", (F.col("first") + RECOVER_N - 1).alias("rn"), F.lit(1).alias("end"))
+    line = cut(ranked.join(ends, ["token_mint", "rn"], "left"))
+    episodes = split_running_sum(line, keys, [F.col("rn")], F.floor(F.col("rn") / 4096), F.coalesce("end", F.lit(0)), "episode")
+    lows = cut(episodes.filter("low").groupBy("token_mint", "episode", "off").agg(F.count("*").alias("n")))
+    windows = anchored_groups(lows, ["token_mint", "episode"], "off", window_s, "candidate")
+    confirmed = lows.join(windows, ["token_mint", "episode", "off"]).groupBy("token_mint", "episode", "candidate").agg(F.sum("n").alias("n"))
+    return confirmed.filter(F.col("n") >= CONFIRM_N).groupBy("token_mint").agg(F.min("candidate").alias("collapse_s"))
 
 
 def edge_covariates(post: DataFrame, team: DataFrame, anchors: DataFrame) -> DataFrame:
