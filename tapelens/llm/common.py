@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def arrow_map(df: DataFrame, schema: pa.Schema, step: Callable[[dict[str, list]]
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is executed inside: for frames of wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before or BATCH_ROWS)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about BATCH_BYTES each; one very long row is a part of its own."""
     rows = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))

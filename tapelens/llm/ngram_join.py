@@ -15,6 +15,7 @@ sets reaches a percentage. The join is exact up to 64-bit shingle hashes and los
    and a dual traversal drops pairs of nodes by size range, by common component, and by the most
    overlap that their bitmaps allow. The upper nodes of a large cell are rows of a table, joined
    with each other; the lower levels are numpy inside a task.
+   A first search follows only candidates that span the components of a pair of nodes.
 5. Pairs that remain are verified on the sets themselves.
 
 Empty and null texts have no shingles and link with nothing; a text of fewer than n words is one
@@ -36,14 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tapelens.llm.common import arrow_map, mix, pick, shingle_hashes, slices
+from tapelens.llm.common import arrow_map, arrow_rows, mix, pick, shingle_hashes, slices
 from tapelens.operators.components import connected_components
 from tapelens.session import stored
 
 #: Buckets of the shingle frequency table; 64-bit words of a token bitmap.
 BUCKETS, BITMAP_WORDS = 1 << 21, 32
-#: Members of an upper node, and of a lower one.
+#: Members of an upper node, and of a lower one; rows of nodes, and of texts, in one Arrow batch.
 NODE, LEAF = 256, 16
+NODE_ROWS, TEXT_ROWS = 32, 200
 #: Bits of the filter that picks the texts to fetch; false hits only fetch more.
 BLOOM_BITS = 1 << 23
 
@@ -182,10 +184,11 @@ def size_band(size, percent: int):
     return F.floor(F.log(size.cast("double")) / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
 
 
-def node_pairs(members: DataFrame, percent: int) -> DataFrame:
+def node_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) of cells: upper nodes joined inside a cell, lower levels inside the tasks.
 
-    `members`: token, band (together the cell), n (its members), doc_id, size, comp, bitmap.
+    `members`: token, band (together the cell), n (its members), doc_id, size, comp, bitmap. With
+    `forest` a pair of nodes gives only candidates that join components its earlier ones did not.
     """
     cell = ["token", "band"]
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / NODE)).cast("int")
@@ -210,11 +213,35 @@ def node_pairs(members: DataFrame, percent: int) -> DataFrame:
         out = [(np.empty(0, np.int64),) * 2]
         for left, right in zip(cols["left"], cols["right"]):
             a = tree(left)
-            out += a.pairs(a if right is None else tree(right), percent)
+            b = a if right is None else tree(right)
+            found = a.pairs(b, percent)
+            out += spanning(found, a, b) if forest else found
         a, b = (np.concatenate(x) for x in zip(*out))
         return {"a": a, "b": b}
 
-    return arrow_map(small.unionByName(crossed), PAIRS, step).filter("a <> b").distinct()
+    found = arrow_map(small.unionByName(crossed), PAIRS, step).filter("a <> b").distinct()
+    with arrow_rows(found.sparkSession, NODE_ROWS):
+        return stored(found, "jaccard-candidates")
+
+
+def spanning(found: Iterator[tuple[np.ndarray, np.ndarray]], a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidates that join two components which earlier ones had left apart."""
+    comp = dict(zip(a.ids.tolist() + b.ids.tolist(), a.comps.tolist() + b.comps.tolist()))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for p, q in found:
+        keep = []
+        for x, y in zip(p.tolist(), q.tolist()):
+            x, y = root(comp[x]), root(comp[y])
+            keep.append(x != y)
+            parent[y] = x
+        yield p[keep], q[keep]
 
 
 def bounded_pairs(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +310,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             ok.append(len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q), percent))
         return {"a": np.array(cols["a"], np.int64)[ok], "b": np.array(cols["b"], np.int64)[ok]}
 
-    return stored(arrow_map(both.select("a", "b", "body_a", "body_b"), PAIRS, step).distinct(), "jaccard-links")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return stored(arrow_map(both.select("a", "b", "body_a", "body_b"), PAIRS, step).distinct(), "jaccard-links")
 
 
 def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,17 +330,21 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     stars = cells.filter(near).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     star_links = verified(bounded_pairs(stars, sig, percent), docs, n, percent)
 
-    comps = stored(connected_components(star_links, []).select("node", "comp"), "jaccard-stars")
-    members = cells.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "own", F.coalesce("comp", "doc_id").alias("comp"))
-    several_comps = members.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("token")
-    # a cell is a token and a band with the next one; cells of the same members are searched once
-    placed = stored(members.join(several_comps, "token", "left_semi").withColumn("band", F.explode(F.array("own", F.col("own") - 1))), "jaccard-placed")
-    groups = placed.groupBy("token", "band").agg(
-        F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(F.col("own") == F.col("band")).alias("home"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("set")).filter("n > 1 AND first < last AND home")
-    once = groups.groupBy("n", "set").agg(F.min(F.struct("token", "band")).alias("k")).select("k.token", "k.band", "n")
-    searched = placed.drop("own").join(once, ["token", "band"]).join(sig.select("doc_id", "size", "bitmap"), "doc_id")
-    links = star_links.unionByName(verified(node_pairs(searched, percent), docs, n, percent))
+    # first the candidates that span each pair of nodes: near copies without a common centre are
+    # contracted by a linear number of checks; then all candidates between what is still apart
+    links = star_links
+    for forest in (True, False):
+        comps = stored(connected_components(links, []).select("node", "comp"), "jaccard-comps")
+        members = cells.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "own", F.coalesce("comp", "doc_id").alias("comp"))
+        apart = members.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("token")
+        # a cell is a token and a band with the next one; cells of the same members are searched once
+        placed = stored(members.join(apart, "token", "left_semi").withColumn("band", F.explode(F.array("own", F.col("own") - 1))), "jaccard-placed")
+        groups = placed.groupBy("token", "band").agg(
+            F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(F.col("own") == F.col("band")).alias("home"),
+            F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("set")).filter("n > 1 AND first < last AND home")
+        once = groups.groupBy("n", "set").agg(F.min(F.struct("token", "band")).alias("k")).select("k.token", "k.band", "n")
+        searched = placed.drop("own").join(once, ["token", "band"]).join(sig.select("doc_id", "size", "bitmap"), "doc_id")
+        links = stored(links.unionByName(verified(node_pairs(searched, percent, forest), docs, n, percent)), "jaccard-all-links")
 
     # a doc_id with several texts joins the classes of all of them
     own = real.join(classes, ["h1", "h2"]).select("doc_id", "rep")
