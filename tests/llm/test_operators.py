@@ -82,6 +82,33 @@ def test_tree_finds_every_pair():
     assert want and want <= got and len(got) < 3 * len(want)
 
 
+def test_spanning_candidates_join_the_same_components():
+    """A crowd of near copies: as few candidates as members, with the components of all of them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**62, 150).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(150) < 0.03, rng.integers(1, 2**62, 150).astype(np.uint64), base)) for _ in range(120)]
+    ids = np.arange(len(sets))
+    tree = ngram_join.Tree(ids, np.array([len(s) for s in sets]), ids.copy(), np.array([ngram_join.bitmap_of(s) for s in sets]))
+    pairs = lambda found: {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
+    every, few = pairs(tree.pairs(tree, 85)), pairs(ngram_join.spanning(tree.pairs(tree, 85), tree, tree))
+    assert few <= every and len(few) < len(ids) < len(every)
+    parent = list(ids)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def components(links):
+        parent[:] = ids
+        for a, b in links:
+            parent[root(b)] = root(a)
+        return [{i for i in ids if root(i) == r} for r in {root(i) for i in ids}]
+
+    key = lambda groups: sorted(map(min, groups))
+    assert key(components(every)) == key(components(few))
+
+
 def test_large_cells_use_upper_nodes(spark, monkeypatch):
     """One cell of many nodes: near copies whose star centre links with none of them."""
     monkeypatch.setattr(ngram_join, "NODE", 8)
