@@ -7,8 +7,10 @@ appends them, and joins the findings back to all paths (documents, versions) of
 rule gets a new version and is run alone over the known blobs.
 
 Null texts count as empty. Equal texts are one blob however many rows hold them, also a hot one:
-copies are combined before the shuffle. An interrupted scan leaves no part of a batch (a written
-table appears whole), so repeating it is safe. Spans are code points, end exclusive.
+copies are combined before the shuffle. The ledger outlives its object: all state is one Parquet
+table with a partition for each scan, so a new object on the same folder knows all former scans.
+A row holds all that its rule versions found in its blob, so whatever an interrupted scan leaves is
+valid, and repeating the scan reads only the rest. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -67,17 +69,19 @@ def blob_of(text: str = "text") -> Column:
 
 
 class BlobLedger:
-    """Scanned (blob, rule version) pairs and their findings, in batches below one folder."""
+    """Scanned (blob, rule version) pairs and their findings: one table in a folder, a partition for each scan.
+
+    A given folder may hold the scans of earlier objects; without one the ledger starts empty.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, rules: dict | None = None):
         self.spark, self.rules = spark, rules or RULES
         self.folder = folder or shared_path(spark, "secret-ledger")
-        self.batches: list[str] = []
+        # an empty first partition, so that the table can be read before the first scan
+        spark.createDataFrame([], LEDGER_DDL).write.mode("ignore").parquet(f"{self.folder}/batch=start")
 
     def entries(self) -> DataFrame:
-        if not self.batches:
-            return self.spark.createDataFrame([], LEDGER_DDL)
-        return self.spark.read.schema(LEDGER_DDL).parquet(*self.batches)
+        return self.spark.read.schema(LEDGER_DDL).parquet(self.folder).select("blob", "rules", "findings")
 
     def scan(self, versions: DataFrame, text: str = "text") -> DataFrame:
         """Scan what is unseen, append it to the ledger, and return the entries appended."""
@@ -85,13 +89,9 @@ class BlobLedger:
         # one row per content: equal texts are combined within each task before they are shuffled
         contents = blobs.groupBy("blob").agg(F.first("text").alias("text"))
         wanted = F.array(*[F.lit(n) for n in rule_names(self.rules)])
-        if self.batches:
-            known = self.entries().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("known"))
-            contents = contents.join(known, "blob", "left")
-            todo = F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>")))
-        else:
-            todo = wanted
-        unseen = contents.select("blob", "text", todo.alias("rules")).filter(F.size("rules") > 0)
+        known = self.entries().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("known"))
+        todo = F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>")))
+        unseen = contents.join(known, "blob", "left").select("blob", "text", todo.alias("rules")).filter(F.size("rules") > 0)
         rules = self.rules
         rank = {name: i for i, name in enumerate(rules)}
 
@@ -103,17 +103,22 @@ class BlobLedger:
                               for k in (n.split("@")[0] for n in names) for a, b in rules[k][1](text, low)])
             return {"blob": cols["blob"], "rules": cols["rules"], "findings": found}
 
-        path = f"{self.folder}/batch-{len(self.batches):05d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.folder}/batch=scan-{uuid.uuid4().hex}"
         arrow_map(unseen, LEDGER, step).write.parquet(path)
-        self.batches.append(path)
         return self.spark.read.schema(LEDGER_DDL).parquet(path)
 
     def findings(self) -> DataFrame:
         """(blob, findings) of all blobs with any, under the current rule versions, in order."""
         current = F.array(*[F.lit(n) for n in rule_names(self.rules)])
         live = F.transform(F.array_intersect("rules", current), lambda r: F.substring_index(r, "@", 1))
-        kept = self.entries().filter(F.size("findings") > 0).select("blob", F.filter("findings", lambda f: F.array_contains(live, f["kind"])).alias("found"))
-        return kept.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("findings")).filter(F.size("findings") > 0)
+        # rank by the rules of now: an earlier object may have had them in another order
+        names = F.array(*[F.lit(n) for n in self.rules])
+        ranked = F.transform(F.filter("findings", lambda f: F.array_contains(live, f["kind"])),
+                             lambda f: F.struct(f["start"].alias("start"), (F.array_position(names, f["kind"]) - 1).cast("int").alias("rank"), f["kind"].alias("kind"), f["end"].alias("end")))
+        kept = self.entries().filter(F.size("findings") > 0).select("blob", ranked.alias("found"))
+        # distinct: two scans at the same time may both have read a blob
+        found = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
+        return kept.groupBy("blob").agg(found.alias("findings")).filter(F.size("findings") > 0)
 
     def by_path(self, versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
         """(path, findings) of every row, findings empty where there are none."""

@@ -378,6 +378,39 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert found == {"p0": [("assign", 2, 16)], "p1": [("hex", 0, 1)], "p2": [("hex", 0, 1)], "p3": []}
 
 
+def test_ledger_outlives_its_object(spark, docs, rows, tmp_path):
+    """Objects on one folder, as after a restart: nothing is scanned twice, no finding is lost."""
+    folder = str(tmp_path / "ledger")
+    first = secret_scan.BlobLedger(spark, folder)
+    half = docs.filter(f"doc_id < {rows[len(rows) // 2][0]}")
+    n = first.scan(half).count()
+    second = secret_scan.BlobLedger(spark, folder)
+    assert second.scan(half).count() == 0
+    assert n + second.scan(docs).count() == len({t or "" for _, t, *_ in rows})
+    third = secret_scan.BlobLedger(spark, folder, dict(reversed(secret_scan.RULES.items())))
+    assert third.scan(docs).count() == 0
+    whole = secret_scan.BlobLedger(spark)
+    whole.scan(docs)
+    want = by_id(secret_scan.report(whole.by_path(docs)), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    for ledger in (second, secret_scan.BlobLedger(spark, folder)):
+        assert by_id(secret_scan.report(ledger.by_path(docs)), "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want
+    kinds = lambda ledger: {r.doc_id: sorted((f.kind, f.start, f.end) for f in r.findings) for r in ledger.by_path(docs).collect()}
+    assert kinds(third) == kinds(whole) and any(kinds(whole).values())
+
+
+def test_secret_query_scans_in_steps(spark, docs, tmp_path, monkeypatch):
+    """op10 scans in two steps or more, and the later ones leave out what the earlier ones read."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen, scan = [], secret_scan.BlobLedger.scan
+    monkeypatch.setattr(secret_scan.BlobLedger, "scan", lambda self, *a: seen.append(scan(self, *a)) or seen[-1])
+    got = queries.op10_secret_scan(spark, str(tmp_path))
+    blobs = [r.blob for frame in seen for r in frame.collect()]
+    assert len(seen) >= 2 and all(frame.count() for frame in seen) and len(blobs) == len(set(blobs))
+    whole = secret_scan.BlobLedger(spark)
+    whole.scan(docs)
+    assert by_id(got, "spans") == by_id(secret_scan.report(whole.by_path(docs)), "spans")
+
+
 # odd and empty tables --------------------------------------------------------------------------
 
 def test_odd_rows(spark, odd, labels):
