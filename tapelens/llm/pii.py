@@ -3,9 +3,14 @@
 Patterns find the base spans. Words with a digit or an at sign become nodes with the labels
 of ``KINDS`` or none; every other word is fixed to none. A node's potential comes from the shape
 of its word, neighbouring nodes share a chain potential, and words of one document that repeat
-each other (equal letters and digits, whatever the separators) share a skip potential. Loopy
-belief propagation over all documents of a batch lets a word that the patterns recognised pull
-its distant repetitions to the same label; words that end up with a label become further spans.
+each other share a skip potential. Words repeat each other if their letters and digits are equal,
+whatever the separators, or if their last seven digits are, where neighbouring groups of digits
+are read as one number. Each repeated key of a document is a hub: all pairs with a recognised
+occurrence come down to a count for each label (the recognised end is fixed), and the others
+share a hub variable, so links are linear in the occurrences and no occurrence is far from another.
+Loopy belief propagation runs until the messages of a document settle, for each document on its
+own, so that its result does not hang on the batch. It pulls the repetitions of a recognised word
+to the same label; words that end up with a label become further spans.
 
 Shape weights and chain potentials are fitted on counts of (shape, previous label, label) over
 all documents. Null and empty texts have no spans. Without any candidate in the table the field
@@ -27,10 +32,12 @@ from pyspark.sql import functions as F
 from tapelens.llm.common import arrow_map, pick
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Strength of the skip potential, belief needed for a further span, rounds of message passing.
-SKIP, BELIEF, ROUNDS, DAMPING = 4.0, 0.8, 12, 0.5
-#: Repetitions link only words with so many letters and digits.
-MIN_KEY = 6
+#: Strength of the skip potential, belief needed for a further span, share of the old message kept in a round.
+SKIP, BELIEF, DAMPING = 4.0, 0.8, 0.5
+#: Messages have settled when none changes by so much; a document that oscillates ends after so many rounds.
+SETTLED, LIMIT = 1e-3, 1000
+#: Repetitions link only words with so many letters and digits, or numbers that share so many last digits.
+MIN_KEY, SUFFIX = 6, 7
 
 Span = tuple[int, int, str]
 
@@ -117,15 +124,16 @@ class Nodes:
     shape: np.ndarray
     label: np.ndarray  # of the base spans: 0 none, else 1 + index of the kind
     chain: np.ndarray  # pairs of nodes whose words follow each other
-    skip: np.ndarray  # pairs of nodes whose words repeat each other
+    skip: np.ndarray  # pairs of a node without base label and the hub of its repeated key
+    pull: np.ndarray  # (hubs, labels): occurrences of the key that have a base label
 
 
 def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
-    rows, chain, skip = [], [], []
+    rows, chain, skip, pull = [], [], [], []
     for d, (text, found) in enumerate(zip(texts, spans)):
         if not ANY.search(text):
             continue
-        last, seen, k = -2, {}, 0
+        last, seen, k, tail = -2, {}, 0, []
         for m in WORD.finditer(text):
             me, at = len(rows), m.start()
             while k < len(found) and found[k][1] <= at:
@@ -134,16 +142,28 @@ def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
             core = m.group().strip(EDGE)
             begin = at + m.group().find(core)
             rows.append((d, begin, begin + len(core), shape(m.group()), 1 + KINDS.index(over[2]) if over else 0))
-            if me and rows[me - 1][0] == d and at - last <= 1:
+            beside = me and rows[me - 1][0] == d and at - last <= 1
+            if beside:
                 chain.append((me - 1, me))
             last = m.end()
             key = NOT_KEY.sub("", core).lower()
-            if len(key) >= MIN_KEY:
-                if key in seen:
-                    skip.append((seen[key], me))  # each repetition to the one before: a line, not all pairs
-                seen[key] = me
+            # the neighbouring groups of digits that the last SUFFIX digits up to here reach into
+            tail = [*(tail if beside else []), (me, key)] if key.isdigit() else []
+            while sum(len(g) for _, g in tail[1:]) >= SUFFIX:
+                del tail[0]
+            digits = "".join(g for _, g in tail)
+            if len(digits) >= SUFFIX:
+                seen.setdefault((True, digits[-SUFFIX:]), []).append([i for i, _ in tail])
+            if len(key) >= MIN_KEY and not (key.isdigit() and len(key) >= SUFFIX):
+                seen.setdefault((False, key), []).append([me])
+        for held in seen.values():
+            free = sorted({i for each in held for i in each if not rows[i][4]})
+            if len(held) > 1 and free:
+                labels = Counter(rows[each[-1]][4] for each in held)
+                skip += [(i, len(pull)) for i in free]
+                pull.append([0, *(labels[1 + j] for j in range(len(KINDS)))])
     cols = np.array(rows, np.int64).reshape(-1, 5).T
-    return Nodes(*cols, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+    return Nodes(*cols, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), np.array(pull, float).reshape(-1, 1 + len(KINDS)))
 
 
 def counts_of(docs: DataFrame) -> DataFrame:
@@ -196,29 +216,35 @@ def fit_field(docs: DataFrame) -> Field:
 
 def beliefs(g: Nodes, field: Field) -> np.ndarray:
     """Label probabilities of all nodes after loopy message passing; base labels are observed."""
-    size = len(KINDS) + 1
+    size, n = len(KINDS) + 1, len(g.doc)
     unary = field.unary[g.shape].copy()
+    np.add.at(unary, g.skip[:, 0], SKIP * g.pull[g.skip[:, 1]])
     known = g.label > 0
     unary[known] = -20.0
     unary[known, g.label[known]] = 0.0
-    edges = np.vstack([g.chain, g.skip])
-    pot = np.concatenate([np.broadcast_to(field.chain, (len(g.chain), size, size)),
-                          np.broadcast_to(SKIP * np.eye(size), (len(g.skip), size, size))])
-    if len(edges):
-        src, dst = np.concatenate([edges, edges[:, ::-1]]).T
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        msg = np.zeros((len(src), size))
-        for _ in range(ROUNDS):
-            total = unary.copy()
-            np.add.at(total, dst, msg)
-            z = (total[src] - msg[back])[:, :, None] + pot
-            top = z.max(axis=1)
-            new = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
-            new -= new.max(axis=1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
-        np.add.at(unary, dst, msg)
-    p = np.exp(unary - unary.max(axis=1, keepdims=True))
+    unary = np.vstack([unary, np.zeros((len(g.pull), size))])  # hubs follow the nodes
+    ends = np.vstack([g.chain, g.skip + [0, n]]).T
+    doc, kind = g.doc[ends[0]], (np.arange(ends.shape[1]) >= len(g.chain)).astype(int)
+    same = SKIP * np.eye(size)
+    pot = np.array([[field.chain, same], [field.chain.T, same]])
+    msg = np.zeros((2, ends.shape[1], size))  # along each edge and back
+    live = np.arange(ends.shape[1])  # edges of documents whose messages have not settled
+    for _ in range(LIMIT):
+        if not len(live):
+            break
+        src, old = ends[:, live], msg[:, live]
+        total = unary.copy()
+        np.add.at(total, src[::-1], old)
+        z = (total[src] - old[::-1])[..., None] + pot[:, kind[live]]
+        top = z.max(axis=2)
+        new = top + np.log(np.exp(z - top[:, :, None, :]).sum(axis=2))
+        new -= new.max(axis=2, keepdims=True)
+        msg[:, live] = DAMPING * old + (1 - DAMPING) * new
+        moved = np.zeros(g.doc[-1] + 1)
+        np.maximum.at(moved, doc[live], np.abs(new - old).max(axis=(0, 2)))
+        live = live[moved[doc[live]] > SETTLED]
+    np.add.at(unary, ends[::-1], msg)
+    p = np.exp(unary[:n] - unary[:n].max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 

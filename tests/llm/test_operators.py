@@ -230,6 +230,32 @@ def test_field_labels_distant_repetition(spark):
     assert pii.find_spans([texts[6]], field)[0][1] == []
 
 
+def plain_field(ratio):
+    """Every shape speaks for none by this log ratio; neighbours do not matter."""
+    size = len(pii.KINDS) + 1
+    unary = np.full((1 << pii.BITS, size), float(ratio))
+    unary[:, 0] = 0.0
+    return pii.Field(unary, np.zeros((size, size)))
+
+
+@pytest.mark.parametrize("ratio", [-1, -3])
+def test_field_labels_all_repetitions(ratio):
+    """One full phone number, then bare 40 times: every repetition gets the label, an unrelated number none."""
+    text = "call +1 (437) 555-0689 or " + " ".join(f"word word 555-0689 and {7_000_000 + 13 * i} then" for i in range(40))
+    other = "no 1234567 or 1234567"
+    (base, every), (_, none) = pii.find_spans([text, other], plain_field(ratio))
+    extra = [s for s in every if s not in base]
+    assert [(text[a:b], k) for a, b, k in extra] == [("555-0689", "phone")] * 40 and none == []
+    assert pii.find_spans([text], plain_field(ratio)) == [(base, every)]  # whatever the batch
+    assert pii.find_spans([text.replace("+1 (437) 555-0689", "me")], plain_field(ratio)) == [([], [])]
+
+
+def test_field_links_similar_numbers():
+    text = "call +1 (437) 555-0689 or else 555 0689 or else 4375550689 or else 555 0688 or else 0689 end"
+    (base, every), = pii.find_spans([text], plain_field(-1))
+    assert [text[a:b] for a, b, _ in every if (a, b) not in [s[:2] for s in base]] == ["555", "0689", "4375550689"]
+
+
 def test_pii_is_linear_on_long_runs():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "@" * 100_000):
         pii.base_spans(text)
