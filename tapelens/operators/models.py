@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tapelens.operators import evaluation as ev
 
 
+#: Boosted trees of a full model, as the reference fits it.
+TREES = 300
+
+
 def with_missing_indicators(df: DataFrame, features: list[str]) -> DataFrame:
     """Double-typed features plus one indicator per feature; nulls stay for the imputer."""
     typed = [F.col(f).cast("double").alias(f) for f in features]
@@ -29,14 +33,14 @@ def matrix_stages(features: list[str]) -> list:
             StandardScaler(inputCol="raw_x", outputCol="x", withMean=True)]
 
 
-def classifier(kind: str, label: str, trees: int = 20):
+def classifier(kind: str, label: str, trees: int = TREES):
     """Logistic with L2, or shallow boosted trees with row subsampling."""
     if kind == "gbm":
         return GBTClassifier(featuresCol="x", labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=30, seed=0)
     return LogisticRegression(featuresCol="x", labelCol=label, regParam=0.01, maxIter=50)
 
 
-def fit(df: DataFrame, features: list[str], label: str, kind: str = "logistic", trees: int = 20):
+def fit(df: DataFrame, features: list[str], label: str, kind: str = "logistic", trees: int = TREES):
     return Pipeline(stages=[*matrix_stages(features), classifier(kind, label, trees)]).fit(df)
 
 
@@ -62,7 +66,7 @@ def isotonic(train: DataFrame, df: DataFrame, p: str, label: str, out: str = "p_
     return m.transform(df).withColumnRenamed("prediction", out)
 
 
-def walk_forward(df: DataFrame, features: list[str], label: str, kind: str, folds: int, calibration: str | None = "platt", trees: int = 20) -> DataFrame:
+def walk_forward(df: DataFrame, features: list[str], label: str, kind: str, folds: int, calibration: str | None = "platt", trees: int = TREES) -> DataFrame:
     """Pooled out-of-time predictions: fold k is scored by a model of everything before it.
 
     The last fifth of each training block calibrates. Expects a `fold` column with -1 for

@@ -187,28 +187,31 @@ def _(t):
 
 
 # ── models (no SQL twin: iterative fits) ─────────────────────────────────────
+FOLDS = 5
+
+
 def model_frame(t: Tables):
     def make():
-        s = ev.walk_forward_folds(pe.samples(t), "grad", "sample_id", 30, folds=3)
+        s = ev.walk_forward_folds(pe.samples(t), "grad", "sample_id", 30, folds=FOLDS)
         return models.with_missing_indicators(s.select("sample_id", "grad", "fold", "y", "outcome", *pe.FEATURES), pe.FEATURES)
     return t.store("model_frame", make)
 
 
 @query("model_logistic_walk_forward")
 def _(t):
-    pred = cut(models.walk_forward(model_frame(t), pe.FEATURES, "y", "logistic", 3))
+    pred = cut(models.walk_forward(model_frame(t), pe.FEATURES, "y", "logistic", FOLDS))
     return models.head_report(pred, "y", ["fold"])
 
 
 @query("model_gbm_isotonic_walk_forward")
 def _(t):
-    pred = cut(models.walk_forward(model_frame(t), pe.FEATURES, "y", "gbm", 2, "isotonic", trees=5))
+    pred = cut(models.walk_forward(model_frame(t), pe.FEATURES, "y", "gbm", FOLDS, "isotonic"))
     return models.head_report(pred, "y", ["fold"])
 
 
 @query("model_coefficients")
 def _(t):
-    return models.coefficients(models.fit(model_frame(t).filter("fold < 2"), pe.FEATURES, "y"), pe.FEATURES, t.spark).orderBy(F.desc("size"))
+    return models.coefficients(models.fit(model_frame(t), pe.FEATURES, "y"), pe.FEATURES, t.spark).orderBy(F.desc("size"))
 
 
 @query("model_hazard_landmark", "e")
