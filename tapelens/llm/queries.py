@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import bpe, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, syncmers, warc
+from tapelens.llm import bpe, fim, lexical_search, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, syncmers, warc, winnowing
 from tapelens.llm.common import table
 from tapelens.session import shared_path
 
@@ -67,8 +67,22 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(secret_scan.BlobLedger(spark, shelf).by_path(docs))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.report(winnowing.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.searched(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.fill_in_middle(fim.framed(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_ngram_jaccard, op3_quality_classifier, op4_byte_bpe, op5_line_dedup,
-    op6_pii, op7_source_mixing, op8_warc, op9_syncmers, op10_secret_scan)}
+    op6_pii, op7_source_mixing, op8_warc, op9_syncmers, op10_secret_scan,
+    op11_decontamination, op12_lexical_search, op13_fill_in_middle)}
 
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL, "op8_warc": warc.SQL}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op7_source_mixing": mixing.SQL, "op8_warc": warc.SQL,
+                       "op11_decontamination": winnowing.SQL, "op12_lexical_search": lexical_search.SQL, "op13_fill_in_middle": fim.SQL}
