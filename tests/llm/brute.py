@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -129,3 +130,67 @@ def edited(docs):
         n = len(t) // 4
         out[d] = (len(t), sha(t[: len(t) - n] + following[:n]))
     return out
+
+
+def contaminated(docs, items, guarantee=10):
+    """Rows of (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: pattern.findall((t or "").translate(LOWER))
+    holders = defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        m = min(len(w), guarantee)
+        for i in range(len(w) - m + 1 if m else 0):
+            holders[tuple(w[i : i + m])].add(item)
+    lengths = {len(g) for g in holders}
+    out = []
+    for d, text in docs:
+        w, hit, found = words(text), set(), set()
+        for m in lengths:
+            for i in range(len(w) - m + 1):
+                if (g := tuple(w[i : i + m])) in holders:
+                    hit |= set(range(i, i + m))
+                    found |= holders[g]
+        found -= {None}
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
+    return out
+
+
+def ranked(docs, items, top=20):
+    """item_id -> [(doc_id, score)] by falling score, then doc_id (None last)."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    terms = lambda t: pattern.findall((t or "").translate(LOWER))
+    held = [(d, Counter(terms(t))) for d, t in docs]
+    df = Counter(w for _, c in held for w in c)
+    n_docs, total = sum(bool(c) for _, c in held), sum(c.total() for _, c in held)
+    query = defaultdict(Counter)
+    for item, text in items:
+        query[item].update(terms(text))
+    out = {}
+    for item, q in query.items():
+        scores = []
+        for d, c in held:
+            m = 75 + 25 * c.total() * n_docs // max(total, 1)
+            s = sum(n * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1000000000 * c[w] // (1000 * c[w] + 12 * m)) for w, n in q.items() if w in c)
+            if s > 0:
+                scores.append((d, s))
+        scores.sort(key=lambda x: (-x[1], x[0] is None, x[0] or 0))
+        if scores:
+            out[item] = scores[:top]
+    return out
+
+
+def fill_in_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output, restored)."""
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    n = len(units)
+    hexes = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(hexes[i : i + 8], 16) for i in range(0, 32, 8)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", text
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", text
