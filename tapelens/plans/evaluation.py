@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tapelens.operators import evaluation as ev
 from tapelens.operators import flow, hazard, labels, verdict
 from tapelens.plans.graph import shape_frame
-from tapelens.plans.memory import ask_f, verdict_sql
-from tapelens.plans.registry import cte, dsum, query
+from tapelens.operators import samples as samples_op
+from tapelens.plans.memory import ask_f, behavior, context, verdict_sql
+from tapelens.plans.registry import QUERIES, cte, dsum, query
 from tapelens.sources.tables import HOUR_S, Tables, exact_sum
 
 # ── hazard ───────────────────────────────────────────────────────────────────
@@ -141,38 +142,82 @@ def _(t):
 
 
 # ── samples ──────────────────────────────────────────────────────────────────
-FEATURES = ["team_supply_pct", "funder_rug_rate", "top_holder_pct", "top3_holder_pct", "bc_duration_seconds", "unique_bc_buyers"]
-_FIELDS = {
-    "team_supply_pct": "(cents % 9000) / 100.0", "team_is_bc_sniper": "IF(k % 3 = 0, 1, 0)", "funder_n": "c % 12", "funder_rug_rate": "(c % 10) / 10.0",
-    "funder_moon_rate": "(c % 7) / 10.0", "creator_n": "k % 11", "creator_rug_rate": "(cents % 10) / 10.0", "smart_money_count": "cents % 4",
-    "proven_wallet_count": "cents % 3", "top_holder_pct": "(cents % 61) * 1.0", "top3_holder_pct": "(cents % 61 + cents % 23) * 1.0",
-    "bc_duration_seconds": "NULLIF(cents % 1500, 7)", "unique_bc_buyers": "cents % 40", "graph_rug_hits": "IF(cents % 17 = 0, 1, 0)",
-    "graph_soft_hits": "IF(cents % 5 = 0, 1, 0)", "launches_24h": "cents % 5", "launches_7d": "cents % 9",
-    "fingerprint_distance": "IF(cents % 6 = 0, 0.1, NULL)", "launch_slot_snipe_count": "cents % 6", "leader_consistency": "(k % 10) / 10.0", "choreography_n": "k % 12",
-}
-_RATES = {"team_supply_pct", "funder_rug_rate", "funder_moon_rate", "creator_rug_rate", "top_holder_pct", "top3_holder_pct", "fingerprint_distance", "leader_consistency"}
+#: What the snapshot holds; the Spark side finds these from its schema, the twins name them.
+FEATURES = sorted("""team_supply_pct team_is_bc_sniper team_size team_first_buy_offset_s funder_n funder_rug_rate funder_moon_rate creator_n creator_rug_rate
+smart_money_count proven_wallet_count top_holder_pct top3_holder_pct bc_duration_seconds unique_bc_buyers launches_24h launches_7d fingerprint_distance
+launch_slot_snipe_count leader_consistency choreography_n graph_rug_hits graph_soft_hits""".split())
+HORIZON, DRIFT_DAYS = 4, 30
+#: Flags from which a launch counts as manufactured. At the landed scale every curve is short and has
+#: few, concentrated buyers, so four of the five flags hold everywhere.
+MANUFACTURED_AT = 5
+
+cte("t_platform", "SELECT CAST(p_partkey AS VARCHAR) AS token_mint, CASE p_size % 3 WHEN 0 THEN 'mayhem' WHEN 1 THEN 'pump.fun' END AS platform FROM part", "t")
+cte("t_platform", "SELECT token_mint, CASE CAST(token_mint AS BIGINT) % 3 WHEN 0 THEN 'mayhem' WHEN 1 THEN 'pump.fun' END AS platform FROM t_coins", "e")
+cte("t_manufactured", QUERIES["manufactured_flags"].sql)
+cte("t_labelled", f"""SELECT c.token_mint AS sample_id, c.graduated_at AS grad, p.platform, {', '.join('x.' + f for f in FEATURES)}, {', '.join(f'd.dist_{h}, o.out_{h}, o.multiple_{h}' for h in samples_op.HORIZONS)}
+FROM t_coins c JOIN t_platform p ON p.token_mint = c.token_mint AND p.platform IN ('pump.fun', 'mayhem') JOIN t_ctx x ON x.token_mint = c.token_mint
+JOIN t_first_prices f ON f.token_mint = c.token_mint AND f.first_ts - c.graduated_at BETWEEN 0 AND {samples_op.MAX_ANCHOR_LAG_S}
+JOIN t_manufactured m ON m.token_mint = c.token_mint AND len(string_split(m.flags, ',')) < {MANUFACTURED_AT}
+LEFT JOIN (SELECT token_mint, {', '.join(f"max(CASE WHEN signal IN ('DISTRIBUTING', 'DUMPED') THEN 1 ELSE 0 END) FILTER (check_offset_h = {h}) AS dist_{h}" for h in samples_op.HORIZONS)} FROM t_behavior GROUP BY 1) d ON d.token_mint = c.token_mint
+LEFT JOIN (SELECT token_mint, {', '.join(f"max(classified) FILTER (check_offset_h = {h}) AS out_{h}, max(price / launch_price) FILTER (check_offset_h = {h}) AS multiple_{h}" for h in samples_op.HORIZONS)} FROM t_outcomes GROUP BY 1) o ON o.token_mint = c.token_mint""")
+_sample_cols = f"sample_id, grad, platform, CAST(floor(grad / {DRIFT_DAYS}) AS BIGINT) AS fold_day, coalesce(top3_holder_pct, 0) / 100 AS score, {', '.join(FEATURES)}"
+cte("t_both", f"SELECT {_sample_cols}, dist_{HORIZON} AS y, out_{HORIZON} AS outcome, multiple_{HORIZON} AS multiple FROM t_labelled WHERE dist_{HORIZON} IS NOT NULL AND out_{HORIZON} IS NOT NULL")
+cte("t_samples", "SELECT * FROM t_both WHERE platform = 'pump.fun'")
+
+
+def platforms(t: Tables):
+    """Verified platform of each coin; null where the program keys name none."""
+    if t.tape == "e":
+        s, coin = F.col("token_mint").cast("long"), t.coins.select("token_mint")
+    else:
+        s, coin = F.col("p_size"), t.raw("part").select(F.col("p_partkey").cast("string").alias("token_mint"), "p_size")
+    return coin.select("token_mint", F.when(s % 3 == 0, "mayhem").when(s % 3 == 1, "pump.fun").alias("platform"))
+
+
+def labelled(t: Tables):
+    """Snapshot of every eligible coin of both populations with its labels by horizon."""
+    def make():
+        flags = QUERIES["manufactured_flags"].build(t).select("token_mint", (F.size(F.split("flags", ",")) >= MANUFACTURED_AT).cast("int").alias("is_manufactured"))
+        coins = samples_op.eligible(t.coins, platforms(t), flags, t.first_prices)
+        rows = samples_op.labelled(context(t), coins, samples_op.labels_by_horizon(behavior(t), t.outcomes))
+        # the share of the three largest holders is the plain score that learned and rule scores are held against
+        return rows.withColumnRenamed("token_mint", "sample_id").withColumns({
+            "fold_day": F.floor(F.col("grad") / DRIFT_DAYS).cast("long"), "score": F.coalesce("top3_holder_pct", F.lit(0.0)) / 100})
+    return t.store("labelled_samples", make)
+
+
+def samples(t: Tables, population: tuple[str, ...] = samples_op.CLASSIC, horizon: int = HORIZON):
+    """Evaluation set: coins of one population whose checks at the horizon have run."""
+    return samples_op.at_horizon(labelled(t).filter(F.col("platform").isin(*population)), horizon)
 
 
-def _sql_field(name, e):
-    return f"CAST({e} AS DOUBLE) AS {name}" if name in _RATES else f"{e} AS {name}"
+def features(t: Tables) -> list[str]:
+    return samples_op.feature_names(context(t))
+
+
+@query("labelled_samples", sql="SELECT * FROM (SELECT *, CAST(floor(grad / 30) AS BIGINT) AS fold_day, coalesce(top3_holder_pct, 0) / 100 AS score FROM t_labelled)")
+def _(t):
+    return labelled(t)
 
 
-cte("t_samples", "SELECT sample_id, grad, fold_day, y, outcome, raw / 500000 AS score, " + ", ".join(_sql_field(n, e) for n, e in _FIELDS.items()) + """ FROM (
-SELECT o_orderkey AS sample_id, o_orderkey AS k, o_custkey AS c, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_totalprice AS raw,
-  CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS grad, CAST(o_orderdate AS DATE) AS fold_day, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
-  CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'rug' WHEN o_orderpriority LIKE '5%' THEN 'moon' ELSE 'ok' END AS outcome FROM orders)""")
+@query("labelled_samples_events", "e", "SELECT * FROM (SELECT *, CAST(floor(grad / 30) AS BIGINT) AS fold_day, coalesce(top3_holder_pct, 0) / 100 AS score FROM t_labelled)")
+def _(t):
+    return labelled(t)
 
 
-def samples(t: Tables):
-    """Frozen rule inputs, a score and labels per order: the evaluation set of the landed tables."""
-    o = t.raw("orders").select(
-        F.col("o_orderkey").alias("sample_id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
-        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.col("o_totalprice").alias("raw"),
-        F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("long").alias("grad"), F.to_date("o_orderdate").alias("fold_day"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("y"),
-        F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "rug").when(F.substring("o_orderpriority", 1, 1) == "5", "moon").otherwise("ok").alias("outcome"))
-    typed = lambda n, e: F.expr(e).cast("double").alias(n) if n in _RATES else F.expr(e).alias(n)
-    return o.select("sample_id", "grad", "fold_day", "y", "outcome", (F.col("raw") / 500000).alias("score"), *[typed(n, e) for n, e in _FIELDS.items()])
+@query("sample_gates", sql="""SELECT c.platform, CASE WHEN f.token_mint IS NULL THEN 'no tape' WHEN f.first_ts - k.graduated_at NOT BETWEEN 0 AND 120 THEN 'tape opens late' WHEN len(string_split(m.flags, ',')) >= 5 THEN 'manufactured'
+  WHEN l.dist_4 IS NULL OR l.out_4 IS NULL THEN 'unlabelled' ELSE 'sample' END AS gate, count(*) AS n
+FROM t_coins k JOIN t_platform c USING (token_mint) LEFT JOIN t_first_prices f USING (token_mint) LEFT JOIN t_manufactured m USING (token_mint) LEFT JOIN t_labelled l ON l.sample_id = k.token_mint GROUP BY 1, 2""")
+def _(t):
+    """Where each coin stops on its way into the evaluation set."""
+    flags = QUERIES["manufactured_flags"].build(t).select("token_mint", F.size(F.split("flags", ",")).alias("n_flags"))
+    l = labelled(t).select(F.col("sample_id").alias("token_mint"), "dist_4", "out_4")
+    j = (t.coins.select("token_mint", "graduated_at").join(platforms(t), "token_mint").join(t.first_prices.select("token_mint", "first_ts"), "token_mint", "left")
+         .join(flags, "token_mint", "left").join(l, "token_mint", "left"))
+    lag = F.col("first_ts") - F.col("graduated_at")
+    gate = (F.when(F.col("first_ts").isNull(), "no tape").when(~lag.between(0, samples_op.MAX_ANCHOR_LAG_S), "tape opens late")
+            .when(F.col("n_flags") >= MANUFACTURED_AT, "manufactured").when(F.col("dist_4").isNull() | F.col("out_4").isNull(), "unlabelled").otherwise("sample"))
+    return j.groupBy("platform", gate.alias("gate")).agg(F.count("*").alias("n"))
 
 
 cte("t_sv", verdict_sql("SELECT * EXCLUDE (score), CAST(NULL AS VARCHAR) AS signal FROM t_samples"))
@@ -228,11 +273,20 @@ def _(t):
     return ev.average_precision(samples(t), ["outcome"], "score", "y").withColumn("ap", F.round("ap", 9))
 
 
-@query("rule_report_by_horizon", sql=f"""SELECT h, count(*) AS n, round(sum(y) / count(*), 9) AS base_rate, round(count(*) FILTER (pred = 1 AND y = 1) / count(*) FILTER (pred = 1), 9) AS precision,
-  round(count(*) FILTER (pred = 1 AND y = 1) / sum(y), 9) AS recall, round(CAST(sum(CAST((ds - y) * (ds - y) AS DECIMAL(38,12))) AS DOUBLE) / count(*), 9) AS brier FROM (
-  SELECT *, CASE WHEN sample_id % 3 = 0 THEN 1 WHEN sample_id % 3 = 1 THEN 4 ELSE 24 END AS h FROM t_sd) GROUP BY 1""")
+cte("t_horizons", "SELECT sample_id, h, y FROM (" + " UNION ALL ".join(f"SELECT sample_id, {h} AS h, dist_{h} AS y FROM t_labelled WHERE platform = 'pump.fun'" for h in samples_op.HORIZONS) + ") WHERE y IS NOT NULL")
+cte("t_sd_h", "SELECT h.h, h.y, s.ds, s.pred FROM t_horizons h JOIN t_sd_all s USING (sample_id)")
+cte("t_sd_all", f"SELECT sample_id, round({_ds}, 6) AS ds, CASE WHEN verdict = 'SKIP' THEN 1 ELSE 0 END AS pred FROM (" + verdict_sql("SELECT *, CAST(NULL AS VARCHAR) AS signal FROM t_labelled WHERE platform = 'pump.fun'") + ")")
+
+
+@query("rule_report_by_horizon", sql="""SELECT h, count(*) AS n, round(sum(y) / count(*), 9) AS base_rate, round(count(*) FILTER (pred = 1 AND y = 1) / nullif(count(*) FILTER (pred = 1), 0), 9) AS precision,
+  round(count(*) FILTER (pred = 1 AND y = 1) / nullif(sum(y), 0), 9) AS recall, round(CAST(sum(CAST((ds - y) * (ds - y) AS DECIMAL(38,12))) AS DOUBLE) / count(*), 9) AS brier FROM t_sd_h GROUP BY 1""")
 def _(t):
-    j = judged(t).withColumn("h", F.when(F.col("sample_id") % 3 == 0, 1).when(F.col("sample_id") % 3 == 1, 4).otherwise(24))
+    from tapelens.functions.columns import distribute_score
+
+    own = labelled(t).filter(F.col("platform").isin(*samples_op.CLASSIC))
+    v = verdict.structural_verdict(own.drop("score")).withColumn("ds", F.round(distribute_score("verdict", "confidence"), 6)).withColumn("pred", (F.col("verdict") == "SKIP").cast("int"))
+    by_h = F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"dist_{h}").alias("y")) for h in samples_op.HORIZONS]))
+    j = v.select("ds", "pred", by_h).filter("y IS NOT NULL")
     p = ev.prf(j, ["h"], "pred", "y")
     b = ev.brier(j, ["h"], "ds", "y")
     base = j.groupBy("h").agg((F.sum("y") / F.count("*")).alias("base_rate"))
@@ -271,7 +325,7 @@ def _patched_sql() -> str:
     def value(col):
         arms = " ".join(f"WHEN '{p}' THEN {'NULL' if v[col] is None else v[col]}" for p, v in PATCHES.items() if col in v)
         return f"CASE patch {arms} ELSE {col} END AS {col}" if arms else None
-    cols = [c for c in _FIELDS if any(c in v for v in PATCHES.values())]
+    cols = [c for c in FEATURES if any(c in v for v in PATCHES.values())]
     names = ", ".join(f"('{p}')" for p in ["baseline", *PATCHES])
     return f"SELECT s.* REPLACE ({', '.join(value(c) for c in cols)}), CAST(NULL AS VARCHAR) AS signal, patch FROM (SELECT * EXCLUDE (score) FROM t_samples) s CROSS JOIN (VALUES {names}) q(patch)"
 
@@ -302,13 +356,13 @@ def _(t):
     return ap.join(ev.prf(j, ["patch"], "pred", "y"), "patch").select("patch", F.round("ap", 9).alias("ap"), F.round("precision", 9).alias("precision"))
 
 
-@query("economic_portfolios", sql="""SELECT portfolio, count(*) AS n, round(count(*) FILTER (outcome = 'rug') / count(*), 6) AS rug_rate, median(score) AS median_multiple FROM (
-SELECT 'all' AS portfolio, outcome, score FROM t_sd UNION ALL SELECT 'rule', outcome, score FROM t_sv_s WHERE verdict = 'STRUCTURALLY_SOUND'
-UNION ALL SELECT 'random', outcome, score FROM t_samples WHERE CAST(concat('0x', substr(md5(CAST(sample_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.25) GROUP BY 1""".replace("FROM t_sd UNION", "FROM t_samples UNION"))
+@query("economic_portfolios", sql="""SELECT portfolio, count(*) AS n, round(count(*) FILTER (outcome = 'rug') / count(*), 6) AS rug_rate, median(multiple) AS median_multiple FROM (
+SELECT 'all' AS portfolio, outcome, multiple FROM t_sd UNION ALL SELECT 'rule', outcome, multiple FROM t_sv_s WHERE verdict = 'STRUCTURALLY_SOUND'
+UNION ALL SELECT 'random', outcome, multiple FROM t_samples WHERE CAST(concat('0x', substr(md5(CAST(sample_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.25) GROUP BY 1""".replace("FROM t_sd UNION", "FROM t_samples UNION"))
 def _(t):
     from tapelens.functions.ordered import grouped_median
 
-    v = judged(t).select("sample_id", "outcome", "verdict").join(samples(t).select("sample_id", F.col("score").alias("m")), "sample_id")
+    v = judged(t).select("sample_id", "outcome", "verdict").join(samples(t).select("sample_id", F.col("multiple").alias("m")), "sample_id")
     inside = F.array_compact(F.array(F.lit("all"), F.when(F.col("verdict") == "STRUCTURALLY_SOUND", "rule"),
                                      F.when(ev.hash_uniform(F.col("sample_id")) < 0.25, "random")))
     p = v.select("outcome", "m", F.explode(inside).alias("portfolio"))
@@ -316,7 +370,7 @@ def _(t):
     return p.groupBy("portfolio").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("outcome") == "rug") / F.count("*"), 6).alias("rug_rate")).join(med, "portfolio")
 
 
-cte("t_sv_s", "SELECT v.outcome, v.verdict, s.score FROM t_sv v JOIN t_samples s USING (sample_id)")
+cte("t_sv_s", "SELECT v.outcome, v.verdict, s.multiple FROM t_sv v JOIN t_samples s USING (sample_id)")
 
 
 @query("selector_table", sql="""SELECT share, count(*) AS n, count(*) FILTER (outcome = 'rug') AS rugs FROM (SELECT outcome, row_number() OVER (ORDER BY score, sample_id) / count(*) OVER () AS pr FROM t_samples) JOIN (VALUES (0.05), (0.10), (0.20), (1.0)) s(share) ON pr <= share GROUP BY 1""")
@@ -337,17 +391,18 @@ def _(t):
         F.count("*").alias("n"), F.min("grad").alias("lo"), F.max("grad").alias("hi"))
 
 
-@query("label_drift_windows", sql="SELECT CAST(floor((grad - (SELECT min(grad) FROM t_samples)) / 90) AS INTEGER) AS w, count(*) AS n, round(sum(y) / count(*), 9) AS base_rate FROM t_samples GROUP BY 1")
+@query("label_drift_windows", sql="SELECT CAST(floor((grad - (SELECT min(grad) FROM t_samples)) / 30) AS INTEGER) AS w, count(*) AS n, round(sum(y) / count(*), 9) AS base_rate FROM t_samples GROUP BY 1")
 def _(t):
-    w = ev.day_windows(samples(t).select("grad", "y"), "grad", 90, 1)
+    w = ev.day_windows(samples(t).select("grad", "y"), "grad", DRIFT_DAYS, 1)
     return w.groupBy(F.col("window").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("y") / F.count("*"), 9).alias("base_rate"))
 
 
-cte("t_feat", " UNION ALL ".join(f"SELECT sample_id, grad, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM t_samples WHERE {f} IS NOT NULL" for f in FEATURES))
-cte("t_ref", "SELECT feature, value FROM t_feat WHERE grad < 1000")
-cte("t_cur", "SELECT feature, value * 1.1 AS value FROM t_feat WHERE grad >= 1000")
-cte("t_qe", "SELECT feature, list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e0 FROM t_ref GROUP BY 1")
-cte("t_q", "SELECT feature, list_sort(e0) AS e FROM t_qe")
+cte("t_feat", f"SELECT sample_id, grad, feature, value FROM (SELECT sample_id, grad, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)} FROM t_samples) UNPIVOT (value FOR feature IN ({', '.join(FEATURES)}))")
+cte("t_half", "SELECT quantile_cont(grad, 0.5) AS half FROM t_samples")
+cte("t_ref", "SELECT feature, value FROM t_feat, t_half WHERE grad < half")
+cte("t_cur", "SELECT feature, value FROM t_feat, t_half WHERE grad >= half AND feature IN (SELECT feature FROM t_feat, t_half WHERE grad >= half GROUP BY 1 HAVING count(*) >= 20)")
+cte("t_qe", "SELECT feature, list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e0 FROM t_ref GROUP BY 1 HAVING count(*) >= 20")
+cte("t_q", "SELECT feature, list_sort(e0) AS e FROM t_qe WHERE len(e0) >= 3 AND feature IN (SELECT feature FROM t_cur)")
 
 
 def _hist(src: str, name: str) -> str:
@@ -356,7 +411,7 @@ def _hist(src: str, name: str) -> str:
 
 def long_features(t):
     s = samples(t)
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features(t)])
     return s.select("sample_id", "grad", F.inline(cells)).filter("value IS NOT NULL")
 
 
@@ -364,8 +419,10 @@ def long_features(t):
 SELECT g.feature, greatest(coalesce(h.r, 0) / greatest(sum(coalesce(h.r, 0)) OVER (PARTITION BY g.feature), 1), 1e-4::DOUBLE) AS r, greatest(coalesce(k.c, 0) / greatest(sum(coalesce(k.c, 0)) OVER (PARTITION BY g.feature), 1), 1e-4::DOUBLE) AS c
 FROM (SELECT feature, unnest(range(1, len(e))) AS b FROM t_q) g LEFT JOIN ({_hist('t_ref', 'r')}) h USING (feature, b) LEFT JOIN ({_hist('t_cur', 'c')}) k USING (feature, b)) GROUP BY 1""")
 def _(t):
-    f = long_features(t)
-    return ev.psi(f.filter("grad < 1000"), f.filter("grad >= 1000").withColumn("value", F.col("value") * 1.1), "feature", "value")
+    f = t.store("sample_features_long", lambda: long_features(t))
+    half = ev.exact_quantiles(samples(t), [], "grad", [0.5]).select(F.col("q")[0].alias("half"))
+    f = f.join(F.broadcast(half))  # one row
+    return ev.psi(f.filter("grad < half").drop("half"), f.filter("grad >= half").drop("half"), "feature", "value")
 
 
 @query("feature_auc_canary", sql=auc_sql("(SELECT f.feature, f.value, s.y FROM t_feat f JOIN t_samples s USING (sample_id))", "feature", "value", "y"))
@@ -427,7 +484,7 @@ SELECT max(n) FILTER (arm = 0) AS na, max(n) FILTER (arm = 1) AS nb, max(lift) F
 (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM (SELECT draw, max(lift) FILTER (arm = 1) - max(lift) FILTER (arm = 0) AS d FROM (
  SELECT arm, draw, sum(y) FILTER (score >= thr) / count(*) FILTER (score >= thr) - sum(y) / count(*) AS lift FROM t_warm JOIN (SELECT arm, draw, quantile_cont(score, 0.8) AS thr FROM t_warm GROUP BY 1, 2) USING (arm, draw) GROUP BY 1, 2) GROUP BY 1))""")
 def _(t):
-    s = samples(t).withColumn("arm", (F.col("sample_id") % 2).cast("int"))
+    s = samples(t, samples_op.BOTH).withColumn("arm", (F.col("platform") == "mayhem").cast("int"))
     d = s.select("arm", "sample_id", "score", "y", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
     w = d.withColumn("w", ev.poisson_weight(ev.hash_uniform(F.col("draw"), F.col("sample_id")))).filter("w > 0")
     w = w.select("arm", "draw", "score", "y", F.explode(F.sequence(F.lit(1), F.col("w")))).drop("col")
@@ -441,8 +498,8 @@ def _(t):
     return j.select("na", "nb", ev.equivalence_verdict(F.col("lo"), F.col("hi"), F.col("la"), F.col("lb"), F.col("na"), F.col("nb")).alias("decision"))
 
 
-cte("t_arm", "SELECT sample_id % 2 AS arm, * FROM t_samples")
-cte("t_warm", f"SELECT s.arm, w.draw, s.score, s.y, unnest(range(0, w.w)) AS rep FROM t_arm s JOIN ({weights_sql('t_samples', 'sample_id')}) w USING (sample_id) WHERE w.w > 0")
+cte("t_arm", "SELECT CASE WHEN platform = 'mayhem' THEN 1 ELSE 0 END AS arm, * FROM t_both")
+cte("t_warm", f"SELECT s.arm, w.draw, s.score, s.y, unnest(range(0, w.w)) AS rep FROM t_arm s JOIN ({weights_sql('t_both', 'sample_id')}) w USING (sample_id) WHERE w.w > 0")
 
 # ── funder-conditioned returns, parity, row loss, graph signal ───────────────
 cte("t_fe", """SELECT c.token_mint, c.funder, c.graduated_at, t.time_to_team_exit_s AS tx FROM t_ask_f c JOIN t_traj t USING (token_mint) WHERE t.n_price_points >= 30 AND t.time_to_team_exit_s IS NOT NULL""")

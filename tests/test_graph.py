@@ -60,7 +60,7 @@ def test_links_are_linear_and_keep_components(tape):
 
 def test_band_counts_equal_pairs(spark):
     rng = random.Random(9)
-    values = {f"w{i:03d}": rng.choice([1, 1.004, 1.005, 2, 2.009, rng.random() * 5 + 0.01]) for i in range(150)}
+    values = {f"w{i:03d}": rng.choice([1.0, 1.004, 1.005, 2.0, 2.009, rng.random() * 5 + 0.01]) for i in range(150)}
     df = spark.createDataFrame([("m", w, v) for w, v in values.items()], "token_mint string, wallet string, v double")
     got = {r.wallet: (r.ahead, r.behind) for r in links.band_counts(df, "v", 0.005).collect()}
     order = sorted(values, key=lambda w: (values[w], w))
