@@ -119,14 +119,19 @@ def psi(ref: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 10
 
 
 def walk_forward_folds(df: DataFrame, ts: str, tie: str, cell_s: int, first_share: float = 0.4, folds: int = 5) -> DataFrame:
-    """Adds fold: -1 for the opening train block, then 0..folds-1 in time order (equal counts)."""
+    """Adds rank in time (from 1) and fold: -1 for the opening train block, then 0..folds-1 in time order (equal counts)."""
     n = df.agg(F.count("*").alias("__total"))
     ranked = _global_rank(df, ts, tie, cell_s)
     j = ranked.join(F.broadcast(n))
     start = F.floor(F.col("__total") * first_share)
     size = (F.col("__total") - start) / folds
     fold = F.when(F.col("__rank") <= start, -1).otherwise(F.least(F.floor((F.col("__rank") - 1 - start) / size), F.lit(folds - 1)))
-    return j.withColumn("fold", fold.cast("int")).drop("__rank", "__total")
+    return j.withColumn("fold", fold.cast("int")).withColumnRenamed("__rank", "rank").drop("__total")
+
+
+def time_ranked(df: DataFrame, ts: str, tie: str, cell_s: int) -> DataFrame:
+    """Adds rank: the place in time from 1, over all rows."""
+    return _global_rank(df, ts, tie, cell_s).withColumnRenamed("__rank", "rank")
 
 
 def _global_rank(df: DataFrame, ts: str, tie: str, cell_s: int) -> DataFrame:

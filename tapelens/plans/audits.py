@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapelens.operators import evaluation as ev
@@ -12,7 +15,8 @@ from tapelens.plans.ingest import matches  # noqa: F401
 from tapelens.plans.memory import context, graded
 from tapelens.plans.registry import cte, dsum, query
 from tapelens.plans.teams import scored
-from tapelens.session import cut
+from tapelens.session import cut, shared_path, stored
+from tapelens.sources.model_store import ModelStore, artifact_checks
 from tapelens.sources.tables import Tables
 
 q = quality.check
@@ -193,25 +197,83 @@ FOLDS = 5
 def model_frame(t: Tables):
     def make():
         s = ev.walk_forward_folds(pe.samples(t), "grad", "sample_id", 30, folds=FOLDS)
-        return models.with_missing_indicators(s.select("sample_id", "grad", "fold", "y", "outcome", *pe.FEATURES), pe.FEATURES)
+        return s.select("sample_id", "grad", "fold", "rank", "y", "outcome", *pe.features(t))
     return t.store("model_frame", make)
 
 
 @query("model_logistic_walk_forward")
 def _(t):
-    pred = cut(models.walk_forward(model_frame(t), pe.FEATURES, "y", "logistic", FOLDS))
+    pred = models.walk_forward(model_frame(t), pe.features(t), "y", "logistic", FOLDS)
     return models.head_report(pred, "y", ["fold"])
 
 
 @query("model_gbm_isotonic_walk_forward")
 def _(t):
-    pred = cut(models.walk_forward(model_frame(t), pe.FEATURES, "y", "gbm", FOLDS, "isotonic"))
+    pred = models.walk_forward(model_frame(t), pe.features(t), "y", "gbm", FOLDS, "isotonic")
     return models.head_report(pred, "y", ["fold"])
 
 
 @query("model_coefficients")
 def _(t):
-    return models.coefficients(models.fit(model_frame(t), pe.FEATURES, "y"), pe.FEATURES, t.spark).orderBy(F.desc("size"))
+    return models.coefficients(models.fit(model_frame(t), pe.features(t), "y"), t.spark).orderBy(F.desc("size"))
+
+
+#: Heads of the verdict model as predicates on trajectory and outcome labels; the early model has only the first.
+HEADS = {"survive60": "CASE WHEN time_to_collapse_s IS NULL OR time_to_collapse_s > 3600 THEN 1 ELSE 0 END", "moon10x": "CAST(reached_10x AS INT)",
+         "fastrug": "CASE WHEN time_to_collapse_s <= 900 THEN 1 ELSE 0 END", "distribute": "dist_4", "rug": "CASE WHEN out_4 IS NOT NULL THEN CAST(out_4 = 'rug' AS INT) END"}
+MIN_HEAD = 200
+
+
+def head_frame(t: Tables):
+    """Classic samples with one label column per head."""
+    def make():
+        rows = pe.labelled(t).filter("platform = 'pump.fun'").join(
+            t.trajectory.select(F.col("token_mint").alias("sample_id"), "time_to_collapse_s", "reached_10x"), "sample_id", "left")
+        seen = F.col("reached_10x").isNotNull()
+        ys = [(F.expr(e) if name in ("distribute", "rug") else F.when(seen, F.expr(e))).alias(f"y_{name}") for name, e in HEADS.items()]
+        return rows.select("sample_id", "grad", *pe.features(t), *ys)
+    return t.store("head_frame", make)
+
+
+def train(t: Tables, store: ModelStore, version: int, rows, heads=tuple(HEADS), **options) -> dict:
+    """Fit the heads that meet the data gate and save them as a candidate with their population."""
+    fitted = {n: h for n in heads if (h := models.train_head(rows, pe.features(t), f"y_{n}", min_rows=MIN_HEAD, **options)) is not None}
+    store.save(version, fitted, population=list(pe.samples_op.CLASSIC), horizon_h=pe.HORIZON)
+    return store.meta(version)
+
+
+def opening(t: Tables):
+    """The first three fifths of the samples in time train, the others are scored."""
+    ranked = t.store("head_ranked", lambda: ev.time_ranked(head_frame(t), "grad", "sample_id", 30))
+    n = ranked.count()
+    return ranked.filter(F.col("rank") <= int(n * 0.6)).drop("rank"), ranked.filter(F.col("rank") > int(n * 0.6)).drop("rank")
+
+
+@query("model_stored_scores")
+def _(t):
+    """Heads trained on the opening block, put in force by an audit of the artifact, then read back to score what came later."""
+    store = ModelStore(t.spark, shared_path(t.spark, "verdict-model"))
+    past, later = opening(t)
+    meta = train(t, store, 1, past, ("distribute", "rug"), kind="logistic")
+    store.promote(1, artifact_checks(meta, None, t.spark))
+    out = store.scored(later)
+    parts = [out.filter(f"y_{n} IS NOT NULL").select(F.lit(n).alias("head"), "model_version", F.col(f"p_{n}").alias("p"), F.col(f"y_{n}").alias("y"), F.col(f"alert_{n}").alias("alert")) for n in meta["heads"]]
+    if not parts:
+        return t.spark.createDataFrame([], "head string, model_version long, n long, alerts long, auc double")
+    long = stored(reduce(DataFrame.unionByName, parts), "stored-scores")
+    g = long.groupBy("head", "model_version").agg(F.count("*").alias("n"), F.sum("alert").alias("alerts"))
+    return g.join(ev.roc_auc(long, ["head"], "p", "y").select("head", "auc"), "head")
+
+
+@query("audit_model_artifact")
+def _(t):
+    """Forbidden heads and features, read from the metadata of stored models (one early model is planted with a forbidden head)."""
+    store, early = (ModelStore(t.spark, shared_path(t.spark, n)) for n in ("verdict-model", "early-model"))
+    past, _ = opening(t)
+    meta = train(t, store, 1, past, ("distribute",), kind="logistic")
+    good, bad = ({"heads": {n: {"features": []} for n in names}} for names in (("survive60",), ("survive60", "moon10x")))
+    clean = artifact_checks(meta, good, t.spark).withColumn("artifact", F.lit("clean"))
+    return clean.unionByName(artifact_checks(meta, bad, t.spark).withColumn("artifact", F.lit("damaged")))
 
 
 @query("model_hazard_landmark", "e")
@@ -225,5 +287,14 @@ def _(t):
 
 @query("model_promotion_gate")
 def _(t):
-    rows = audit_rows(t)
-    return rows.agg((F.count_if(F.col("ok") == 0) == 0).cast("int").alias("promoted"), F.count_if(F.col("ok") == 0).alias("failed"))
+    """Retrain twice: a candidate behind a clean audit comes into force, one behind a damaged audit leaves the old version."""
+    store = ModelStore(t.spark, shared_path(t.spark, "retrained-model"))
+    past, later = opening(t)
+    rows = []
+    damaged = t.store("audit_rows", lambda: audit_rows(t)).select("name", "ok")
+    clean = damaged.withColumn("ok", F.lit(1))
+    for version, data, audit in ((1, past, clean), (2, past.unionByName(later), damaged), (3, past.unionByName(later), clean)):
+        train(t, store, version, data, ("distribute",), kind="logistic")
+        ok = store.promote(version, audit)
+        rows.append((version, int(ok), store.current(), store.heads()["distribute"].meta["n"] if store.heads() else None))
+    return t.spark.createDataFrame(rows, "candidate long, promoted int, in_force long, trained_rows long")
