@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -41,16 +40,20 @@ from tapelens.llm.common import arrow_map, arrow_rows, mix, pick, shingle_hashes
 from tapelens.operators.components import connected_components
 from tapelens.session import stored
 
-#: Buckets of the shingle frequency table; 64-bit words of a token bitmap.
-BUCKETS, BITMAP_WORDS = 1 << 21, 32
+#: 64-bit words of a token bitmap; shingles for one bucket of the frequency table; its least and greatest size in bits.
+BITMAP_WORDS, BUCKET_LOAD, BUCKET_BITS = 32, 4, (16, 25)
+#: Characters of a word with its blank, roughly: only to choose the size of that table.
+WORD_CHARS = 6
+#: Tasks whose tables one task adds up.
+FAN_IN = 8
 #: Members of an upper node, and of a lower one; rows of nodes, and of texts, in one Arrow batch.
 NODE, LEAF = 256, 16
 NODE_ROWS, TEXT_ROWS = 32, 200
-#: Bits of the filter that picks the texts to fetch; false hits only fetch more.
-BLOOM_BITS = 1 << 23
+#: Bits a candidate of the filter that picks the texts to fetch, and its greatest size; false hits only fetch more.
+BLOOM_SHARE, BLOOM_BITS = 16, (16, 27)
 
 SIGNATURES = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int64()),
-                        ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+                        ("prefix", pa.list_(pa.int64())), ("short", pa.int32()), ("bitmap", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -65,39 +68,76 @@ def needed(size_a, size_b, percent: int):
 
 
 def prefix_length(size: int, percent: int) -> int:
+    """Shingles of which one must be shared, whatever the size of the other set."""
     return size - -(-percent * size // 100) + 1
 
 
-def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many distinct shingles of documents fall in each bucket, over all texts."""
+def short_length(size: int, percent: int) -> int:
+    """The same when the other set is no smaller: it must then share more of them."""
+    return size - needed(size, size, percent) + 1
+
+
+def sized(n: float, bits: tuple[int, int]) -> int:
+    """Power of two for n entries, between two bounds."""
+    return 1 << min(max(math.ceil(math.log2(max(n, 1))), bits[0]), bits[1])
+
+
+def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
+    """Frequency rank of each bucket of shingles, one byte each, counted over all texts.
+
+    Documents of a bucket are counted up to 65,535 and ranked in steps of an eighth; the table grows
+    with the texts to its bound, beyond which the order is coarser and links are the same.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = sized(chars / WORD_CHARS / BUCKET_LOAD, BUCKET_BITS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(buckets, np.uint16)
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t, n) for t in part.column(0).to_pylist() if t]
                 if sets:
-                    total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                    at, more = np.unique((np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.uint32), return_counts=True)
+                    total[at] = np.minimum(total[at].astype(np.int64) + more, 65_535)
         yield packed(total)
 
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+    counts = summed_parts(pick(docs, text="text").mapInArrow(count, "part binary"), added, np.zeros(buckets, np.uint16))
+    return np.minimum(np.log2(np.arange(65_536) + 1) * 6, 255).astype(np.uint8)[counts]
+
+
+#: The rank of a bucket that holds one shingle of one document: no other set can share it.
+LONE = 6
+
 
-    return summed_parts(pick(docs, text="text").mapInArrow(count, "part binary"), packed, lambda a, b: a + b, np.zeros(BUCKETS, np.int64))
+def packed(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def summed_parts(parts: DataFrame, packed, add, zero: np.ndarray) -> np.ndarray:
-    """Combine arrays of one fixed size: a square-root fan-in of tasks, then one array to the driver."""
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum in place, up to the greatest value that fits; never below either of the two."""
+    a += b
+    a[a < b] = 65_535
+    return a
+
+
+def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
+    """Combine arrays of one fixed size: no task adds up more than FAN_IN of them, then one array goes to the driver."""
+    kind, size = zero.dtype, len(zero)
+
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = zero
+        total = np.zeros(size, kind)
         for batch in batches:
             for row in batch.column(0):
-                total = add(total, np.frombuffer(zstandard.decompress(row.as_py()), zero.dtype))
+                total = add(total, np.frombuffer(zstandard.decompress(row.as_py()), kind))
         yield packed(total)
 
-    middle = max(1, round(parts.rdd.getNumPartitions() ** 0.5))
-    rows = parts.repartition(middle).mapInArrow(combine, "part binary").coalesce(1).mapInArrow(combine, "part binary").collect()
-    for r in rows:
-        zero = add(zero, np.frombuffer(zstandard.decompress(r.part), zero.dtype))
+    n = parts.rdd.getNumPartitions()
+    with arrow_rows(parts.sparkSession, 1):
+        while n > 1:
+            n = -(-n // FAN_IN)
+            parts = parts.repartition(n).mapInArrow(combine, "part binary")
+        for r in parts.collect():
+            zero = add(zero, np.frombuffer(zstandard.decompress(r.part), kind))
     return zero
 
 
@@ -110,18 +150,20 @@ def bitmap_of(tokens: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """SIGNATURES of every row, written once."""
-    counts = bucket_counts(docs, n)
-    ranks = np.minimum(np.log2(counts + 1) * 6, 255).astype(np.uint8)  # order of buckets in steps of an eighth, one byte each
+    table = docs.sparkSession.sparkContext.broadcast(bucket_ranks(docs, n))  # at most 2^25 bytes
 
     def step(cols):
+        ranks = table.value
         out = {f.name: [] for f in SIGNATURES}
         for text in cols["text"]:
             s = shingles(text, n)
             d = xxhash.xxh3_128_digest(s.tobytes())
-            rank = ranks[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-            first = s[np.lexsort((s, rank))[: prefix_length(len(s), percent)]] if len(s) else s
-            for k, v in zip(("h1", "h2", "size", "prefix", "bitmap"), (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
-                                                                         len(s), first.view(np.int64), bitmap_of(s).tobytes())):
+            rank = ranks[(s & np.uint64(len(ranks) - 1)).astype(np.int64)]
+            order = np.lexsort((s, rank))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
+            shared = rank[order] > LONE  # nothing can share a lone one
+            short = int(shared[: short_length(len(s), percent)].sum())
+            for k, v in zip(("h1", "h2", "size", "prefix", "short", "bitmap"), (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
+                                                                         len(s), s[order[shared]].view(np.int64), short, bitmap_of(s).tobytes())):
                 out[k].append(v)
         return out | {"doc_id": cols["doc_id"]}
 
@@ -258,40 +300,40 @@ def bounded_pairs(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.filter(sizes).select("a", "b", "sa", "ma", "sb", "mb"), PAIRS, step).distinct()
 
 
-def hits(ids: DataFrame):
-    """A filter UDF over doc_id from a fixed-size Bloom bitmap of the given ids (two hashes)."""
-    def places(values: np.ndarray) -> np.ndarray:
-        h = mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-        return np.concatenate([h % np.uint64(BLOOM_BITS), (h >> np.uint64(32)) % np.uint64(BLOOM_BITS)]).astype(np.int64)
+def places(values: np.ndarray, size: int) -> np.ndarray:
+    """The two bits of each id in a filter of `size` bits."""
+    h = mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return np.concatenate([h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)]).astype(np.int64)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
-        for batch in batches:
-            bits[places(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        yield packed(np.packbits(bits))
 
-    def packed(bits: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())})
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Packed bits of a Bloom filter of the given ids, sized by their number."""
+    size = sized(ids.count() * BLOOM_SHARE, BLOOM_BITS)
 
-    bits = np.unpackbits(summed_parts(ids.mapInArrow(collect, "part binary"), packed, np.bitwise_or, np.zeros(BLOOM_BITS // 8, np.uint8))).astype(bool)
-
-    @F.pandas_udf("boolean")
-    def hit(values: pd.Series) -> pd.Series:
-        at = places(values.fillna(-1).to_numpy())
-        return pd.Series(bits[at[: len(values)]] & bits[at[len(values) :]] & values.notna().to_numpy())
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = places(batch.column(0).to_numpy(zero_copy_only=False), size)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield packed(bits)
 
-    return hit
+    return summed_parts(ids.mapInArrow(collect, "part binary"), np.bitwise_or, np.zeros(size // 8, np.uint8))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets link. Texts of the documents concerned travel compressed, once per side."""
     pairs = stored(pairs, "jaccard-pairs")
-    hit = hits(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
 
     def squeeze(cols):
-        return {"doc_id": cols["doc_id"], "body": [zstandard.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in cols["text"]]}
-
-    texts = pick(docs, doc_id="doc_id", text="text").filter(hit("doc_id"))
+        bits = wanted.value
+        known = [(i, t) for i, t in zip(cols["doc_id"], cols["text"]) if i is not None]
+        at = places(np.array([i for i, _ in known], np.int64), len(bits) * 8).reshape(2, -1)
+        hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+        picked = [x for x, ok in zip(known, hit) if ok]
+        return {"doc_id": [i for i, _ in picked], "body": [zstandard.compress((t or "").encode("utf-8", "surrogatepass"), 1) for _, t in picked]}
+
+    texts = pick(docs, doc_id="doc_id", text="text")
     bodies = stored(arrow_map(texts, pa.schema([("doc_id", pa.int64()), ("body", pa.binary())]), squeeze).distinct(), "jaccard-texts")
     both = (pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
             .join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b"))
@@ -321,9 +363,10 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     real = rows.filter("size > 0 AND doc_id IS NOT NULL")
     classes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2"])
-    sig = stored(reps.select("doc_id", "size", "prefix", "bitmap"), "jaccard-reps")
+    sig = stored(reps.select("doc_id", "size", "prefix", "short", "bitmap"), "jaccard-reps")
 
-    tokens = sig.select(F.explode("prefix").alias("token"), "doc_id", size_band(F.col("size"), percent).alias("own"))
+    tokens = sig.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "size", "short").select(
+        "token", "doc_id", "size", size_band(F.col("size"), percent).alias("own"), (F.col("at") < F.col("short")).alias("short"))
     crowds = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "own")).alias("leader")).filter("n > 1").drop("n")
     cells = stored(tokens.join(crowds, "token"), "jaccard-cells")
     near = (F.col("doc_id") != F.col("leader.doc_id")) & (F.abs(F.col("own") - F.col("leader.own")) <= 1)
@@ -335,21 +378,25 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     links = star_links
     for forest in (True, False):
         comps = stored(connected_components(links, []).select("node", "comp"), "jaccard-comps")
-        members = cells.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "own", F.coalesce("comp", "doc_id").alias("comp"))
+        members = cells.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "size", "short", "own", F.coalesce("comp", "doc_id").alias("comp"))
         apart = members.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("token")
-        # a cell is a token and a band with the next one; cells of the same members are searched once
+        # a cell is a token and a band with the next one; cells of the same members are searched once;
+        # of two sets that link the smaller one has the token in its short prefix
         placed = stored(members.join(apart, "token", "left_semi").withColumn("band", F.explode(F.array("own", F.col("own") - 1))), "jaccard-placed")
         groups = placed.groupBy("token", "band").agg(
             F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(F.col("own") == F.col("band")).alias("home"),
-            F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("set")).filter("n > 1 AND first < last AND home")
-        once = groups.groupBy("n", "set").agg(F.min(F.struct("token", "band")).alias("k")).select("k.token", "k.band", "n")
-        searched = placed.drop("own").join(once, ["token", "band"]).join(sig.select("doc_id", "size", "bitmap"), "doc_id")
+            F.sum(F.xxhash64("doc_id", "short").cast("decimal(38,0)")).alias("set"), F.min(F.when(F.col("short"), F.col("size"))).alias("least")).filter(
+            "n > 1 AND first < last AND home AND least IS NOT NULL")
+        once = groups.groupBy("n", "set").agg(F.min(F.struct("token", "band")).alias("k"), F.first("least").alias("least")).select("k.token", "k.band", "n", "least")
+        searched = placed.drop("own").join(once, ["token", "band"]).filter(F.col("short") | (F.col("size") >= F.col("least"))).drop("short", "least")
+        searched = searched.join(sig.select("doc_id", "bitmap"), "doc_id")
         links = stored(links.unionByName(verified(node_pairs(searched, percent, forest), docs, n, percent)), "jaccard-all-links")
 
     # a doc_id with several texts joins the classes of all of them
     own = real.join(classes, ["h1", "h2"]).select("doc_id", "rep")
     links = links.unionByName(own.filter("doc_id <> rep").join(sig.select("doc_id"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    several = own.join(least, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
     final = stored(connected_components(stored(links.unionByName(several), "jaccard-edges"), []).select("node", "comp"), "jaccard-components")
 
     of_class = stored(classes.join(final, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component")), "jaccard-classes")

@@ -27,6 +27,19 @@ def by_id(frame, *cols):
     return {r.doc_id: tuple(r[c] for c in cols) for r in frame.collect()}
 
 
+def test_one_id_with_three_texts_joins_all_their_classes(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, words[0]), (2, words[1]), (3, words[2])] + [(9, w) for w in words]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(d, 1) for d in (1, 2, 3, 9)}
+
+
+def test_saturating_sum_and_table_sizes():
+    a = np.array([1, 65_000, 65_535, 0], np.uint16)
+    assert ngram_join.added(a, np.array([2, 1000, 1, 65_535], np.uint16)).tolist() == [3, 65_535, 65_535, 65_535]
+    assert [ngram_join.sized(n, (4, 10)) for n in (0, 16, 17, 1000, 1e9)] == [16, 16, 32, 1024, 1024]
+
+
 # quality rules ---------------------------------------------------------------
 
 def test_quality_counts(docs, rows, labels):
