@@ -124,10 +124,12 @@ def fold_scores(df: DataFrame, features: list[str], label: str, kind: str, k: in
     train, test = df.filter(F.col("rank") <= n_train), df.filter(F.col("fold") == k)
     cut = int(n_train * 0.8)
     held = None
-    if calibration and cut > MIN_INNER and n_train - cut > MIN_TAIL:
-        inner = fit(train.filter(F.col("rank") <= cut), features, label, kind, trees)
-        held = inner.score(train.filter(F.col("rank") > cut)).select("p", label)
-    scored = fit(train, features, label, kind, trees).score(test)
+    with ThreadPoolExecutor(2) as pool:
+        whole = pool.submit(fit, train, features, label, kind, trees)
+        if calibration and cut > MIN_INNER and n_train - cut > MIN_TAIL:
+            inner = fit(train.filter(F.col("rank") <= cut), features, label, kind, trees)
+            held = inner.score(train.filter(F.col("rank") > cut)).select("p", label)
+        scored = whole.result().score(test)
     if held is not None and calibration == "isotonic":
         scored = isotonic(held, scored.drop("p_cal"), "p", label)
     elif held is not None and (platt := platt_fit(held, "p", label)):
