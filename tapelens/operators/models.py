@@ -41,14 +41,19 @@ class Head:
     platt: tuple[float, float] | None = None
     threshold: float | None = None
     meta: dict = field(default_factory=dict)
+    #: Features with a missing sign; all of them unless a model names its own.
+    indicators: list[str] | None = None
+
+    def signs(self) -> list[str]:
+        return self.features if self.indicators is None else self.indicators
 
     def columns(self) -> list[str]:
-        return self.features + [f"{f}_missing" for f in self.features]
+        return self.features + [f"{f}_missing" for f in self.signs()]
 
     def vector(self) -> Column:
         """Filled features, then one missing sign per feature; scaled and cut for the logistic model only."""
         raw = [F.coalesce(F.col(f).cast("double"), F.lit(m)) for f, m in zip(self.features, self.median)]
-        raw += [F.col(f).isNull().cast("double") for f in self.features]
+        raw += [F.col(f).isNull().cast("double") for f in self.signs()]
         if self.kind == "logistic":
             raw = [F.greatest(F.least((c - m) / s, F.lit(CLIP)), F.lit(-CLIP)) for c, m, s in zip(raw, self.mean, self.sd)]
         return array_to_vector(F.array(*raw))
@@ -60,16 +65,17 @@ class Head:
         return scored.withColumn(calibrated, platt_apply(self.platt, raw) if self.platt else F.col(raw))
 
 
-def fitted_columns(df: DataFrame, features: list[str], kind: str) -> Head:
+def fitted_columns(df: DataFrame, features: list[str], kind: str, indicators: list[str] | None = None) -> Head:
     """Medians, means and deviations of one training block; a feature without any value is left out."""
     x = {f: F.col(f).cast("double") for f in features}
     row = df.agg(*[F.percentile_approx(x[f], 0.5, 10_000).alias(f"m_{f}") for f in features]).first()
     used = [f for f in features if row[f"m_{f}"] is not None]
     median = [float(row[f"m_{f}"]) for f in used]
-    filled = [F.coalesce(x[f], F.lit(m)) for f, m in zip(used, median)] + [F.col(f).isNull().cast("double") for f in used]
+    signs = used if indicators is None else [f for f in indicators if f in used]
+    filled = [F.coalesce(x[f], F.lit(m)) for f, m in zip(used, median)] + [F.col(f).isNull().cast("double") for f in signs]
     row = df.agg(*[F.avg(c).alias(f"a_{i}") for i, c in enumerate(filled)], *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(filled)]).first()
     sd = [row[f"s_{i}"] or 0.0 for i in range(len(filled))]
-    return Head(used, median, [row[f"a_{i}"] or 0.0 for i in range(len(filled))], [s if s >= 1e-9 else 1.0 for s in sd], kind)
+    return Head(used, median, [row[f"a_{i}"] or 0.0 for i in range(len(filled))], [s if s >= 1e-9 else 1.0 for s in sd], kind, indicators=signs)
 
 
 def classifier(kind: str, label: str, trees: int = TREES):
@@ -80,9 +86,9 @@ def classifier(kind: str, label: str, trees: int = TREES):
     return LogisticRegression(featuresCol="x", labelCol=label, regParam=0.01, maxIter=100, standardization=False)
 
 
-def fit(df: DataFrame, features: list[str], label: str, kind: str = "logistic", trees: int = TREES) -> Head:
+def fit(df: DataFrame, features: list[str], label: str, kind: str = "logistic", trees: int = TREES, indicators: list[str] | None = None) -> Head:
     """A head without calibrator. The vectors are written once in as few partitions as their number needs."""
-    head = fitted_columns(df, features, kind)
+    head = fitted_columns(df, features, kind, indicators)
     rows = df.count()
     x = df.select(head.vector().alias("x"), F.col(label).cast("double").alias(label)).coalesce(max(1, -(-rows // PART_ROWS)))
     head.model = classifier(kind, label, trees).fit(stored(x, "training-vectors"))

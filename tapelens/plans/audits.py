@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapelens.operators import evaluation as ev
-from tapelens.operators import flow, labels, memory, models, quality
+from tapelens.operators import flow, hazard, hazard_model, labels, memory, models, quality
 from tapelens.plans import evaluation as pe
 from tapelens.plans.features import attribution
 from tapelens.plans.ingest import matches  # noqa: F401
@@ -17,7 +17,8 @@ from tapelens.plans.registry import cte, dsum, query
 from tapelens.plans.teams import scored
 from tapelens.session import cut, shared_path, stored
 from tapelens.sources.model_store import ModelStore, artifact_checks
-from tapelens.sources.tables import Tables
+from tapelens.sources.tables import ANCHOR_DELAY, Tables
+from tapelens.streaming import checks, jobs
 
 q = quality.check
 
@@ -276,13 +277,82 @@ def _(t):
     return clean.unionByName(artifact_checks(meta, bad, t.spark).withColumn("artifact", F.lit("damaged")))
 
 
+#: The event tape holds 100 coins, so its gates are lower than those of a full artifact.
+HAZARD_EVENTS, HAZARD_COINS = 15, 60
+
+
+def hazard_rows(t: Tables):
+    return t.store("hazard_design", lambda: hazard_model.design(pe.periods(t), context(t)))
+
+
+def hazard_coins(t: Tables):
+    at_risk = hazard_rows(t).filter("model = 'A'").select("token_mint").distinct()
+    return context(t).join(at_risk, "token_mint", "left_semi").select("token_mint", F.col("graduated_at").alias("grad"), *hazard_model.STATICS)
+
+
+def hazard_forward(t: Tables):
+    """Out-of-time predictions of the pair, stored once for both reports."""
+    made = {}
+
+    def run():
+        if not made:
+            found = hazard_model.walk_forward(hazard_rows(t), hazard_coins(t), min_train_coins=30)
+            made["i"] = found[0] if found else t.spark.createDataFrame([], "fold int, token_mint string, interval_idx int, p double, event int")
+            made["t"] = found[1] if found else t.spark.createDataFrame([], "token_mint string, horizon_s int, cif double, fold int")
+        return made
+    return t.store("hazard_intervals", lambda: run()["i"]), t.store("hazard_t0", lambda: run()["t"])
+
+
+@query("model_hazard_intervals", "e")
+def _(t):
+    """Interval AUC of the exit hazard per fold, on coins that the fit has not seen."""
+    rows, _ = hazard_forward(t)
+    g = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("event").alias("events"), F.countDistinct("token_mint").alias("coins"))
+    return g.join(ev.roc_auc(rows, ["fold"], "p", "event").select("fold", "auc"), "fold", "left")
+
+
+@query("model_hazard_t0", "e")
+def _(t):
+    """Incidence of a team exit at the anchor by horizon, from both fitted hazards, against what happened."""
+    _, t0 = hazard_forward(t)
+    return hazard_model.t0_report(t0, hazard_model.exits_by_horizon(hazard_rows(t)))
+
+
 @query("model_hazard_landmark", "e")
 def _(t):
-    """Pooled hazard logistic on person-period rows, scored per interval."""
-    cols = ["tv_trades", "tv_wallets", "tv_price_vs_first", "tv_drawdown", "tv_net_flow_recent", "tv_log_t"]
-    rows = models.with_missing_indicators(pe.periods(t).filter("model = 'B'").select("token_mint", "interval_idx", "event", *cols), cols)
-    m = models.fit(rows, cols, "event")
-    return models.score(m, rows).groupBy("interval_idx").agg(F.count("*").alias("n"), F.avg("p").alias("mean_hazard"), F.avg("event").alias("event_rate"))
+    """Landmark scores of two checkpoints from the stored pair, written by checkpoint and read back."""
+    store, out = ModelStore(t.spark, shared_path(t.spark, "hazard-model")), shared_path(t.spark, "hazard-predictions")
+    schema = "token_mint string, p_exit double, p_collapse double, team_exited int, model_version long, mode string, checkpoint_s int"
+    if hazard_model.save_pair(store, 1, hazard_rows(t), HAZARD_EVENTS, HAZARD_COINS) is None:
+        return t.spark.createDataFrame([], schema)
+    store.promote(1, t.spark.createDataFrame([(1,)], "ok int"))
+    pair = hazard_model.load_pair(store)
+    for checkpoint_s in (120, 300):
+        rows = hazard.landmark_rows(t.post, t.team, checkpoint_s)
+        hazard_model.persist(hazard_model.score_landmark(pair, rows, context(t), checkpoint_s, store.current()), out)
+    return t.spark.read.schema(schema).parquet(out)
+
+
+@query("stream_prewarn", "e")
+def _(t):
+    """Coins whose incidence of a team exit within 40 minutes, by the stored pair, is in the upper fifth; one alert a coin."""
+    store = ModelStore(t.spark, shared_path(t.spark, "hazard-model"))
+    folder = jobs.run_folder(t.spark, "prewarn")
+    if hazard_model.save_pair(store, 1, hazard_rows(t), HAZARD_EVENTS, HAZARD_COINS) is None:
+        return t.spark.createDataFrame([], checks.ALERTS)
+    store.promote(1, t.spark.createDataFrame([(1,)], "ok int"))
+    pair, version = hazard_model.load_pair(store), store.current()
+    # the threshold belongs to the stored pair: its scores on the coins it was fitted on
+    bar = ev.exact_quantiles(hazard_model.t0_incidence(pair, hazard_coins(t), (2400,)), [], "cif", [0.8]).first().q[0]
+
+    def score(rows):
+        p = hazard_model.t0_incidence(pair, rows, (2400,)).select("token_mint", F.col("cif").alias("p"))
+        return rows.join(p, "token_mint").withColumn("alert", (F.col("p") >= bar).cast("int")).withColumn("model_version", F.lit(version).cast("long"))
+
+    sink = checks.Prewarnings(t.spark, f"{folder}/alerts", context(t).drop("graduated_at"), score)
+    anchors = jobs.event_swaps(jobs.file_stream(t.spark, t.folder, "events")).select("token_mint", (F.col("ts") + ANCHOR_DELAY["e"]).alias("graduated_at"))
+    jobs.run_available(anchors, folder, sink)
+    return sink.read().drop("batch")
 
 
 @query("model_promotion_gate")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapelens.plans.memory import smart
-from tapelens.plans.registry import query
-from tapelens.streaming import jobs
+from tapelens.plans.registry import cte, query
+from tapelens.sources.tables import HOUR_S
+from tapelens.streaming import checks, jobs
 
 
 def swaps_stream(t):
@@ -96,3 +97,28 @@ def _(t):
     jobs.run_available(jobs.feed_watchdog(hb), folder)
     return t.spark.read.schema("feed string, start timestamp, stalled_at timestamp, events long").parquet(f"{folder}/out").groupBy("feed").agg(
         F.count("*").alias("episodes"), F.sum("events").alias("events"))
+
+
+# ── timed checks ─────────────────────────────────────────────────────────────
+SECOND_MS, EPOCH_MS, CHECK_DELAY = 600_000, 1_704_067_200_000, "10 minutes"
+cte("t_due", f"""SELECT token_mint, h AS check_offset_h FROM t_coins CROSS JOIN (VALUES (1), (4), (24)) v(h)
+WHERE {EPOCH_MS} + (graduated_at + h * {HOUR_S} + 1) * {SECOND_MS} <= (SELECT epoch_ms(max(ts)) FROM events JOIN t_coins k ON k.token_mint = json_extract_string(props, '$.k')
+  WHERE event_type IN ('error', 'purchase', 'signup') AND (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 600000000 - graduated_at BETWEEN 0 AND {24 * HOUR_S}) - 600000""")
+
+
+def landed_checks(t):
+    """Checks of the event stream; every run lands in its own folder."""
+    prints = swaps_stream(t).withColumn("price_usd", F.col("sol_amount") / F.col("token_amount")).join(t.coins.select("token_mint", "graduated_at"), "token_mint")
+    folder = jobs.run_folder(t.spark, "checks")
+    jobs.run_available(checks.timed_checks(prints, CHECK_DELAY, HOUR_S, SECOND_MS, EPOCH_MS), folder)
+    return t.spark.read.schema(checks.CHECKS).parquet(f"{folder}/out")
+
+
+@query("stream_timed_checks", "e", "SELECT o.token_mint, o.check_offset_h, o.price, o.launch_price, o.price_change_pct, o.classified FROM t_outcomes o JOIN t_due USING (token_mint, check_offset_h)")
+def _(t):
+    return checks.labelled(landed_checks(t))
+
+
+@query("stream_final_trajectory", "e", "SELECT x.* FROM t_traj x JOIN t_due d ON d.token_mint = x.token_mint AND d.check_offset_h = 24")
+def _(t):
+    return checks.finalised(landed_checks(t), t.post, t.team)

@@ -30,7 +30,7 @@ class ModelStore:
         for name, h in heads.items():
             h.model.write().overwrite().save(f"{self.folder}/v={version}/{name}/model")
         body = meta | {"version": version, "heads": {name: {"features": h.features, "median": h.median, "mean": h.mean, "sd": h.sd, "kind": h.kind,
-                                                            "platt": h.platt, "threshold": h.threshold, "meta": h.meta} for name, h in heads.items()}}
+                                                            "platt": h.platt, "threshold": h.threshold, "meta": h.meta, "indicators": h.indicators} for name, h in heads.items()}}
         self.spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/v={version}/meta")
 
     def pointer(self) -> DataFrame:
@@ -63,7 +63,7 @@ class ModelStore:
         out = {}
         for name, h in (meta or {"heads": {}})["heads"].items():
             model = KINDS[h["kind"]].load(f"{self.folder}/v={meta['version']}/{name}/model")
-            out[name] = Head(h["features"], h["median"], h["mean"], h["sd"], h["kind"], model, tuple(h["platt"]) if h["platt"] else None, h["threshold"], h["meta"])
+            out[name] = Head(h["features"], h["median"], h["mean"], h["sd"], h["kind"], model, tuple(h["platt"]) if h["platt"] else None, h["threshold"], h["meta"], h["indicators"])
         return out
 
     def scored(self, snapshots: DataFrame) -> DataFrame:
