@@ -55,6 +55,8 @@ BLOOM_SHARE, BLOOM_BITS = 16, (16, 27)
 SIGNATURES = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int64()),
                         ("prefix", pa.list_(pa.int64())), ("short", pa.int32()), ("bitmap", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Candidates, and (without a and b) the cells from which some were put off.
+FOUND = pa.schema([*PAIRS, ("token", pa.int64()), ("band", pa.int32())])
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -230,14 +232,15 @@ def node_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) of cells: upper nodes joined inside a cell, lower levels inside the tasks.
 
     `members`: token, band (together the cell), n (its members), doc_id, size, comp, bitmap. With
-    `forest` a pair of nodes gives only candidates that join components its earlier ones did not.
+    `forest` a pair of nodes gives only candidates that join components its earlier ones did not; a
+    cell that put any off is named in a row of its own (token, band).
     """
     cell = ["token", "band"]
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / NODE)).cast("int")
     nodes = members.groupBy(*cell, block.alias("block")).agg(
         F.collect_list(F.struct("doc_id", "size", "comp", "bitmap")).alias("members"),  # about NODE of them
         F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.first("n").alias("n"))
-    small = nodes.filter(F.col("n") <= NODE).select(F.col("members").alias("left"), F.lit(None).cast(nodes.schema["members"].dataType).alias("right"))
+    small = nodes.filter(F.col("n") <= NODE).select(*cell, F.col("members").alias("left"), F.lit(None).cast(nodes.schema["members"].dataType).alias("right"))
     large = stored(nodes.filter(F.col("n") > NODE), "signature-nodes")
     left = large.select(*cell, "block", "low", "high", "first", "last", F.col("members").alias("left"))
     right = large.select(*cell, F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"),
@@ -245,29 +248,30 @@ def node_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     crossed = left.join(right, cell).filter("block2 >= block")
     crossed = crossed.filter((100 * F.col("high2") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("low2"))
                              & ~((F.col("first") == F.col("last")) & (F.col("first2") == F.col("last2")) & (F.col("first") == F.col("first2"))))
-    crossed = crossed.select("left", F.when(F.col("block") != F.col("block2"), F.col("right")).alias("right"))
+    crossed = crossed.select(*cell, "left", F.when(F.col("block") != F.col("block2"), F.col("right")).alias("right"))
 
     def tree(members: list[dict]) -> Tree:
         return Tree(np.array([m["doc_id"] for m in members]), np.array([m["size"] for m in members]), np.array([m["comp"] for m in members]),
                     bitmaps([m["bitmap"] for m in members]))
 
     def step(cols):
-        out = [(np.empty(0, np.int64),) * 2]
-        for left, right in zip(cols["left"], cols["right"]):
+        out, put_off = [(np.empty(0, np.int64),) * 2], set()
+        for token, band, left, right in zip(cols["token"], cols["band"], cols["left"], cols["right"]):
             a = tree(left)
             b = a if right is None else tree(right)
-            found = a.pairs(b, percent)
-            out += spanning(found, a, b) if forest else found
-        a, b = (np.concatenate(x) for x in zip(*out))
-        return {"a": a, "b": b}
+            for p, q in a.pairs(b, percent) if not forest else spanning(a.pairs(b, percent), a, b, lambda: put_off.add((token, band))):
+                out.append((p, q))
+        a, b = (np.concatenate(x).tolist() for x in zip(*out))
+        none, cells = [None] * len(a), sorted(put_off)
+        return {"a": a + [None] * len(cells), "b": b + [None] * len(cells), "token": none + [t for t, _ in cells], "band": none + [d for _, d in cells]}
 
-    found = arrow_map(small.unionByName(crossed), PAIRS, step).filter("a <> b").distinct()
+    found = arrow_map(small.unionByName(crossed), FOUND, step).filter("a IS NULL OR a <> b").distinct()
     with arrow_rows(found.sparkSession, NODE_ROWS):
         return stored(found, "jaccard-candidates")
 
 
-def spanning(found: Iterator[tuple[np.ndarray, np.ndarray]], a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The candidates that join two components which earlier ones had left apart."""
+def spanning(found: Iterator[tuple[np.ndarray, np.ndarray]], a: Tree, b: Tree, put_off=lambda: None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidates that join two components which earlier ones had left apart; `put_off` hears of the others."""
     comp = dict(zip(a.ids.tolist() + b.ids.tolist(), a.comps.tolist() + b.comps.tolist()))
     parent: dict[int, int] = {}
 
@@ -283,6 +287,8 @@ def spanning(found: Iterator[tuple[np.ndarray, np.ndarray]], a: Tree, b: Tree) -
             x, y = root(comp[x]), root(comp[y])
             keep.append(x != y)
             parent[y] = x
+        if not all(keep):
+            put_off()
         yield p[keep], q[keep]
 
 
@@ -362,8 +368,9 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     rows = signatures(docs, n, percent)
     real = rows.filter("size > 0 AND doc_id IS NOT NULL")
     classes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2"])
-    sig = stored(reps.select("doc_id", "size", "prefix", "short", "bitmap"), "jaccard-reps")
+    # rows that repeat a doc_id and its text are equal, so a representative's own rows are told apart by id alone
+    reps = real.join(classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
+    sig = stored(reps.dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "size", "prefix", "short", "bitmap"), "jaccard-reps")
 
     tokens = sig.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "size", "short").select(
         "token", "doc_id", "size", size_band(F.col("size"), percent).alias("own"), (F.col("at") < F.col("short")).alias("short"))
@@ -374,15 +381,17 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     star_links = verified(bounded_pairs(stars, sig, percent), docs, n, percent)
 
     # first the candidates that span each pair of nodes: near copies without a common centre are
-    # contracted by a linear number of checks; then all candidates between what is still apart
-    links = star_links
+    # contracted by a linear number of checks; then all candidates between what is still apart, in the
+    # cells that put some off: the others have had all of theirs verified
+    links, put_off = star_links, None
     for forest in (True, False):
         comps = stored(connected_components(links, []).select("node", "comp"), "jaccard-comps")
         members = cells.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "size", "short", "own", F.coalesce("comp", "doc_id").alias("comp"))
         apart = members.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("token")
         # a cell is a token and a band with the next one; cells of the same members are searched once;
         # of two sets that link the smaller one has the token in its short prefix
-        placed = stored(members.join(apart, "token", "left_semi").withColumn("band", F.explode(F.array("own", F.col("own") - 1))), "jaccard-placed")
+        placed = members.join(apart, "token", "left_semi").withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+        placed = stored(placed if forest else placed.join(put_off, ["token", "band"], "left_semi"), "jaccard-placed")
         groups = placed.groupBy("token", "band").agg(
             F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(F.col("own") == F.col("band")).alias("home"),
             F.sum(F.xxhash64("doc_id", "short").cast("decimal(38,0)")).alias("set"), F.min(F.when(F.col("short"), F.col("size"))).alias("least")).filter(
@@ -390,7 +399,9 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
         once = groups.groupBy("n", "set").agg(F.min(F.struct("token", "band")).alias("k"), F.first("least").alias("least")).select("k.token", "k.band", "n", "least")
         searched = placed.drop("own").join(once, ["token", "band"]).filter(F.col("short") | (F.col("size") >= F.col("least"))).drop("short", "least")
         searched = searched.join(sig.select("doc_id", "bitmap"), "doc_id")
-        links = stored(links.unionByName(verified(node_pairs(searched, percent, forest), docs, n, percent)), "jaccard-all-links")
+        found = node_pairs(searched, percent, forest)
+        put_off = found.filter("a IS NULL").select("token", "band")
+        links = stored(links.unionByName(verified(found.filter("a IS NOT NULL").select("a", "b"), docs, n, percent)), "jaccard-all-links")
 
     # a doc_id with several texts joins the classes of all of them
     own = real.join(classes, ["h1", "h2"]).select("doc_id", "rep")
