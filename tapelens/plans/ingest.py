@@ -387,3 +387,42 @@ def _(t):
     for s in (flow.bc_flow(t.bc).select("token_mint", "n_buyers", "gini_buy_size"), bp, lab, t.trajectory.select("token_mint", F.col("time_to_team_exit_s").alias("label_exit_s"))):
         j = j.join(s, "token_mint", "left")
     return j
+
+
+_label_sql = ", ".join(f"max(classified) FILTER (check_offset_h = {h}) AS label_outcome_{h}h, max(price_change_pct) FILTER (check_offset_h = {h}) AS label_change_pct_{h}h" for h in (1, 4, 24))
+_signal_sql = ", ".join(f"max(signal) FILTER (check_offset_h = {h}) AS label_dist_signal_{h}h, max(team_sold_pct) FILTER (check_offset_h = {h}) AS label_team_sold_pct_{h}h" for h in (1, 4, 24))
+
+
+@query("training_export_written", sql=f"""SELECT x.*, f.* EXCLUDE (token_mint), ch.n_sellers AS label_team_sellers, o.* EXCLUDE (token_mint), b.* EXCLUDE (token_mint) FROM t_ctx x LEFT JOIN t_flow f USING (token_mint)
+LEFT JOIN t_choreo_sum ch USING (token_mint) LEFT JOIN (SELECT token_mint, {_label_sql} FROM t_outcomes GROUP BY 1) o USING (token_mint) LEFT JOIN (SELECT token_mint, {_signal_sql} FROM t_behavior GROUP BY 1) b USING (token_mint)""")
+def _(t):
+    """Snapshot, curve flow and pivoted labels of every coin, written as CSV parts and read back."""
+    from tapelens.plans.memory import behavior, context
+    from tapelens.session import shared_path
+
+    at = lambda h, c: F.max(F.when(F.col("check_offset_h") == h, F.col(c)))
+    o = t.outcomes.groupBy("token_mint").agg(*[at(h, c).alias(f"label_{n}_{h}h") for h in (1, 4, 24) for c, n in (("classified", "outcome"), ("price_change_pct", "change_pct"))])
+    b = behavior(t).groupBy("token_mint").agg(*[at(h, c).alias(f"label_{n}_{h}h") for h in (1, 4, 24) for c, n in (("signal", "dist_signal"), ("team_sold_pct", "team_sold_pct"))])
+    ch = flow.choreography_summary(flow.exit_choreography(t.post, t.team)).select("token_mint", F.col("n_sellers").alias("label_team_sellers"))
+    rows, own = context(t), set(context(t).columns)
+    f = flow.bc_flow(t.bc)
+    for side in (f.select("token_mint", *[c for c in f.columns if c not in own]), ch, o, b):
+        rows = rows.join(side, "token_mint", "left")
+    path = shared_path(t.spark, "training-export")
+    sinks.export_csv(rows, path)
+    return t.spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("rebuild_changed_keys", sql="SELECT token_mint, wallet, amount FROM t_balances")
+def _(t):
+    """Balances stored from a tape with a gap, then rebuilt for the coins whose trades the gap had held back."""
+    from tapelens.session import shared_path
+    from tapelens.sources.tables import exact_sum
+
+    signed = F.when(F.col("side") == "buy", F.col("token_amount")).otherwise(-F.col("token_amount"))
+    build = lambda tape: tape.groupBy("token_mint", F.col("signer").alias("wallet")).agg(exact_sum(signed).alias("amount")).filter("amount > 0")
+    held_back = (F.col("ts") - F.col("created_at") > 100) & (F.col("token_mint").cast("long") % 4 == 0)
+    path = shared_path(t.spark, "keyed-balances")
+    sinks.write_keyed(build(t.bc.filter(~held_back)), path, "token_mint")
+    sinks.recompute_changed(path, "token_mint", t.bc.filter(held_back), lambda keys: build(t.bc.join(keys, "token_mint", "left_semi")))
+    return t.spark.read.parquet(path).drop("bucket")

@@ -468,16 +468,21 @@ def _(t):
     return verdict.structural_verdict(live_context(t)).select(*VCOLS)
 
 
-@query("replay_fidelity", sql="""SELECT count(*) AS n, count(*) FILTER (a.verdict = b.verdict AND a.confidence = b.confidence) AS same FROM t_verdict a JOIN t_verdict b USING (token_mint)""")
+@query("replay_fidelity", sql="""SELECT count(*) AS n, count(*) FILTER (CAST(token_mint AS BIGINT) % 97 <> 0) AS same FROM t_verdict""")
 def _(t):
-    """Verdicts recomputed from a snapshot serialised to JSON and back equal the stored ones."""
-    live = verdict.structural_verdict(context(t)).select("token_mint", F.col("verdict").alias("v0"), F.col("confidence").alias("c0"))
+    """Verdicts stored with their snapshot as JSON, one in 97 damaged, against verdicts recomputed from that JSON alone."""
     ctx = context(t)
-    frozen = ctx.select("token_mint", F.to_json(F.struct(*ctx.columns)).alias("j"))
-    back = frozen.select(F.from_json("j", ctx.schema).alias("s")).select("s.*")
-    j = verdict.structural_verdict(back).join(live, "token_mint")
+
+    def store_verdicts():
+        v = verdict.structural_verdict(ctx)
+        hurt = F.col("token_mint").cast("long") % 97 == 0
+        return v.select("token_mint", F.col("verdict").alias("v0"), F.when(hurt, F.col("confidence") + 0.01).otherwise(F.col("confidence")).alias("c0")).join(
+            ctx.select("token_mint", F.to_json(F.struct(*ctx.columns)).alias("features_json")), "token_mint")
+
+    rows = t.store("stored_verdicts", store_verdicts)
+    back = rows.select("v0", "c0", F.from_json("features_json", ctx.schema).alias("s")).select("v0", "c0", "s.*")
     same = (F.col("verdict") == F.col("v0")) & (F.col("confidence") == F.col("c0"))
-    return j.agg(F.count("*").alias("n"), F.count_if(same).alias("same"))
+    return verdict.structural_verdict(back).agg(F.count("*").alias("n"), F.count_if(same).alias("same"))
 
 
 @query("verdict_mix_score", sql="""SELECT verdict, count(*) AS n, round(CAST(sum(CAST(CASE WHEN verdict = 'SKIP' THEN 0.5 + 0.5 * confidence WHEN verdict = 'STRUCTURALLY_SOUND' THEN 0.5 - 0.5 * confidence ELSE 0.5 END AS DECIMAL(28,9))) AS DOUBLE) / count(*), 6) AS mean_score FROM t_verdict GROUP BY 1""")

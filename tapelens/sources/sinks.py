@@ -1,10 +1,14 @@
-"""Keyed upserts and exports on plain Parquet."""
+"""Keyed upserts, partition replacement, recompute of changed keys and exports on plain Parquet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapelens.session import stored
+
 
 def merge_rows(target: DataFrame, incoming: DataFrame, keys: list[str], policy: dict[str, str], default: str = "replace",
                order: str | None = None) -> DataFrame:
@@ -42,6 +46,44 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+#: Buckets of a keyed table: one holds the rows of a fixed share of its keys.
+KEY_BUCKETS = 32
+
+
+def key_bucket(key: str, buckets: int = KEY_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int = KEY_BUCKETS) -> None:
+    """Replace the buckets of keys that `df` has rows in; the files of other buckets stay."""
+    placed = df.withColumn("bucket", key_bucket(key, buckets))
+    write_table(placed.repartition(F.col("bucket"), key_bucket(key, buckets * 8)), path, ["bucket"])
+
+
+def recompute_changed(path: str, key: str, changed: DataFrame, build: Callable[[DataFrame], DataFrame], buckets: int = KEY_BUCKETS) -> None:
+    """Rebuild a keyed table for a set of keys alone.
+
+    `build` gets the distinct changed keys and returns their new rows, as the full build would. Only
+    the buckets of those keys are read and written again: their other rows are carried over by an anti
+    join, keys without new rows vanish. The replacement is written aside first, so a job that dies
+    leaves the table as it was, and running it twice gives the same table.
+    """
+    spark = changed.sparkSession
+    keys = stored(changed.select(key).distinct(), "changed-keys")
+    touched = [r.b for r in keys.select(key_bucket(key, buckets).alias("b")).distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    old = spark.read.parquet(path)
+    fresh = build(keys)
+    kept = old.filter(F.col("bucket").isin(touched)).drop("bucket").join(keys, key, "left_anti")
+    both = stored(kept.unionByName(fresh.select(*kept.columns)).withColumn("bucket", key_bucket(key, buckets)), "replaced-buckets")
+    write_table(both.repartition(F.col("bucket"), key_bucket(key, buckets * 8)), path, ["bucket"])
+    full = {r.bucket for r in both.select("bucket").distinct().collect()}
+    for b in set(touched) - full:  # a bucket that lost its last row
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def gap_rows(source: DataFrame, sink: DataFrame, ts: str) -> DataFrame:
     """Source rows newer than anything in the sink."""
     top = sink.agg(F.coalesce(F.max(ts), F.lit(-(2**62))).alias("__top"))
