@@ -2,9 +2,10 @@
 
 A k-mer of code points is an anchor when the least hash among its inner s-mers is that of its
 first or its last one. Whether a k-mer is an anchor depends on nothing outside it, so an edit
-changes only the anchors that touch it. A fingerprint keeps the anchors of the least hashes with
-their places and the number of anchors; two fingerprints are compared by the anchors that occur
-at one common shift of places.
+changes only the anchors that touch it. A fingerprint keeps the number of anchors and, with their
+places, all whose hash is below a fixed share of the range, and the KEEP least ones at any rate, so its
+resolution does not fall with the length of a text. Two fingerprints are compared over the hashes that
+both cover, by the anchors that occur at one common shift of places.
 
 A k-mer that occurs several times is an anchor at each place, numbered in order. Short texts use
 smaller k and s and are alike only to short ones. Null texts count as empty. A text of fewer than
@@ -29,8 +30,9 @@ from tapelens.llm.common import BATCH_ROWS, mix, pick, slices
 
 #: k and s, and those of texts with fewer code points than SHORT.
 SIZES, SHORT_SIZES, SHORT = (12, 4), (5, 2), 64
-#: Anchors kept in a fingerprint; shifts of places that count as the same.
-KEEP, SLACK = 128, 64
+#: Least number of anchors kept in a fingerprint, share of hashes that are always kept; shifts of places that count as the same.
+KEEP, SHARE, SLACK = 128, 16, 64
+LIMIT = np.uint64((1 << 64) // SHARE - 1)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -71,10 +73,16 @@ Print = tuple[int, np.ndarray, np.ndarray]
 
 
 def fingerprint(text: str) -> Print:
-    """Number of anchors, and hashes (ascending) with first places of the KEEP least ones."""
+    """Number of anchors, and hashes (ascending) with first places of those kept."""
     h, places = anchors(code_points(text))
     h, first = np.unique(h, return_index=True)
-    return len(h), h[:KEEP], places[first[:KEEP]]
+    kept = max(KEEP, int(np.searchsorted(h, LIMIT, "right")))
+    return len(h), h[:kept], places[first[:kept]]
+
+
+def covered(p: Print) -> np.uint64:
+    """Up to which hash a fingerprint holds every anchor of its text."""
+    return np.uint64((1 << 64) - 1) if len(p[1]) == p[0] else max(p[1][-1], LIMIT)
 
 
 def written(p: Print) -> str:
@@ -86,9 +94,11 @@ def likeness(a: Print, b: Print) -> float:
     """Estimated share of anchors in common (Dice), counting only those at one common shift."""
     if not a[0] or not b[0]:
         return float(a[0] == b[0])
-    union = np.union1d(a[1], b[1])[:KEEP]
+    upto = min(covered(a), covered(b))
+    union = np.union1d(a[1], b[1])
+    union = union[union <= upto]
     both, i, j = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
-    inside = both <= union[-1]
+    inside = both <= upto
     shift = np.sort((a[2][i] - b[2][j])[inside])
     if not len(shift):
         return 0.0
@@ -116,7 +126,7 @@ def in_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     docs = pick(docs, doc_id="doc_id", text="text")
     n = docs.count()
-    ranges = max(1, min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 8, 40_000))
+    ranges = max(1, min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 8))
     found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges)], 20 * ranges).alias("q"),
                      F.min("doc_id").alias("low"), F.count_if(F.isnull("doc_id")).alias("nulls")).first()
     borders = np.array(sorted({*(found.q or []), *([found.low] if found.low is not None else [])}), np.int64)
