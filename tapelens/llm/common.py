@@ -8,12 +8,15 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Rows of one Arrow batch and bytes a Python step takes at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: Tasks whose tables one task adds up.
+FAN_IN = 8
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -107,3 +110,28 @@ def quality_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, label): one row per labelled document, the majority of repeated rows; nulls are left out."""
     rows = pick(labels, doc_id="doc_id", quality="quality").dropna()
     return rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+
+
+def packed(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
+    """Combine arrays of one fixed size: no task adds up more than FAN_IN of them, then one array goes to the driver."""
+    kind, size = zero.dtype, len(zero)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, kind)
+        for batch in batches:
+            for row in batch.column(0):
+                total = add(total, np.frombuffer(zstandard.decompress(row.as_py()), kind))
+        yield packed(total)
+
+    n = parts.rdd.getNumPartitions()
+    with arrow_rows(parts.sparkSession, 1):
+        while n > 1:
+            n = -(-n // FAN_IN)
+            parts = parts.repartition(n).mapInArrow(combine, "part binary")
+        for r in parts.collect():
+            zero = add(zero, np.frombuffer(zstandard.decompress(r.part), kind))
+    return zero

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tapelens.llm.common import arrow_map, arrow_rows, mix, pick, shingle_hashes, slices
+from tapelens.llm.common import arrow_map, arrow_rows, mix, packed, pick, shingle_hashes, slices, summed_parts
 from tapelens.operators.components import connected_components
 from tapelens.session import stored
 
@@ -44,8 +44,6 @@ from tapelens.session import stored
 BITMAP_WORDS, BUCKET_LOAD, BUCKET_BITS = 32, 4, (16, 25)
 #: Characters of a word with its blank, roughly: only to choose the size of that table.
 WORD_CHARS = 6
-#: Tasks whose tables one task adds up.
-FAN_IN = 8
 #: Members of an upper node, and of a lower one; rows of nodes, and of texts, in one Arrow batch.
 NODE, LEAF = 256, 16
 NODE_ROWS, TEXT_ROWS = 32, 200
@@ -111,10 +109,6 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
 LONE = 6
 
 
-def packed(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
-
-
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sum in place, up to the greatest value that fits; never below either of the two."""
     a += b
@@ -122,27 +116,6 @@ def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a
 
 
-def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
-    """Combine arrays of one fixed size: no task adds up more than FAN_IN of them, then one array goes to the driver."""
-    kind, size = zero.dtype, len(zero)
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, kind)
-        for batch in batches:
-            for row in batch.column(0):
-                total = add(total, np.frombuffer(zstandard.decompress(row.as_py()), kind))
-        yield packed(total)
-
-    n = parts.rdd.getNumPartitions()
-    with arrow_rows(parts.sparkSession, 1):
-        while n > 1:
-            n = -(-n // FAN_IN)
-            parts = parts.repartition(n).mapInArrow(combine, "part binary")
-        for r in parts.collect():
-            zero = add(zero, np.frombuffer(zstandard.decompress(r.part), kind))
-    return zero
-
-
 def bitmap_of(tokens: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITMAP_WORDS, np.uint64)
     at = mix(tokens) >> np.uint64(64 - 6 - BITMAP_WORDS.bit_length() + 1)

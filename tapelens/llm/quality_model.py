@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelens.llm.common import arrow_map, bounded_sample, mix, pick, quality_labels, slices, word_hashes, words_of
+from tapelens.llm.common import arrow_map, bounded_sample, mix, packed, pick, quality_labels, slices, summed_parts, word_hashes, words_of
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 FIT_ROWS = 20_000
@@ -69,21 +69,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 total += context_table(*bucket_lists(part.column(0).to_pylist()))
         yield packed(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS * DIM)
-        for batch in batches:
-            for row in batch.column(0):
-                total += np.frombuffer(row.as_py(), np.float64)
-        yield packed(total)
-
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
-
     parts = pick(docs, text="text").mapInArrow(gather, "part binary")
-    # square-root fan-in: neither the middle tasks nor the last one read more than that many tables
-    middle = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
-    rows = parts.repartition(middle).mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect()
-    total = sum((np.frombuffer(r.part, np.float64) for r in rows), np.zeros(BUCKETS * DIM)).reshape(BUCKETS, DIM)
+    total = summed_parts(parts, np.add, np.zeros(BUCKETS * DIM)).reshape(BUCKETS, DIM)
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 

@@ -365,6 +365,26 @@ def test_fingerprints(docs, rows):
             assert v[3] > 0.5
 
 
+def test_resolution_does_not_fall_with_length():
+    """A passage of under one percent is seen between long texts that share nothing else."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    text = lambda n: "".join(rng.choice(letters, n))
+    shared = text(2000)
+    for _ in range(3):
+        a, b = (text(150_000) + shared + text(150_000) for _ in range(2))
+        p, q = syncmers.fingerprint(a), syncmers.fingerprint(b)
+        assert 0.001 < syncmers.likeness(p, q) < 0.03 and syncmers.likeness(p, syncmers.fingerprint(text(300_000))) == 0
+        assert p[0] / 20 < len(p[1]) < p[0] / 12
+    for n in (20, 500, 5000, 60_000):
+        a = text(n)
+        for part in (0.3, 0.7):
+            b = a[: int(n * part)] + text(n - int(n * part))
+            sets = [set(syncmers.anchors(syncmers.code_points(x))[0].tolist()) for x in (a, b)]
+            want = 2 * len(sets[0] & sets[1]) / max(sum(map(len, sets)), 1)
+            assert abs(syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) - want) < 0.15
+
+
 def test_anchors_are_context_free():
     rng = np.random.default_rng(6)
     text = "".join(rng.choice(list("abcdefgh "), 500))
