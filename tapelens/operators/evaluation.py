@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelens.functions.ordered import magnitude_cell, split_fill, split_row_number, split_running_sum, time_cell
+from tapelens.operators import resample
 from tapelens.session import cut
 
 DEC = "decimal(38,12)"
@@ -160,17 +161,9 @@ def poisson_weight(u: Column) -> Column:
     return w
 
 
-def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int) -> DataFrame:
-    """(cluster, draw, w): one weight per cluster and draw, reproducible on any partitioning."""
-    d = clusters.select(cluster).distinct().select(cluster, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    return d.withColumn("w", poisson_weight(hash_uniform(F.col("draw"), F.col(cluster)))).filter("w > 0")
-
-
 def cluster_bootstrap_auc(df: DataFrame, cluster: str, score: str, label: str, draws: int) -> DataFrame:
-    """Percentile interval of the AUC over cluster resamples; rows collapse to (cluster, score) first."""
-    small = df.groupBy(cluster, score, label).agg(F.count("*").alias("k"))
-    w = small.join(bootstrap_draws(df, cluster, draws), cluster)
-    per = roc_auc(w, ["draw"], score, label, F.col("w") * F.col("k")).filter("auc IS NOT NULL")
+    """Percentile interval of the AUC over cluster resamples."""
+    per = resample.draw_auc(df, [], cluster, score, label, draws).filter("auc IS NOT NULL")
     return exact_quantiles(per, [], "auc", [0.025, 0.5, 0.975]).select(
         F.col("n").alias("draws"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
@@ -178,8 +171,7 @@ def cluster_bootstrap_auc(df: DataFrame, cluster: str, score: str, label: str, d
 def cluster_bootstrap_mean(df: DataFrame, keys: list[str], cluster: str, value: str, draws: int, null_at: float = 1.0) -> DataFrame:
     """Mean per group with a cluster-bootstrap interval and the share of draws at or below `null_at`."""
     per = df.groupBy(*keys, cluster).agg(F.sum(F.col(value).cast(DEC)).alias("s"), F.count("*").alias("k"))
-    w = per.join(bootstrap_draws(per, cluster, draws), cluster)
-    means = w.groupBy(*keys, "draw").agg((F.sum(F.col("s") * F.col("w")).cast("double") / F.sum(F.col("k") * F.col("w"))).alias("m"))
+    means = resample.draw_means(per, keys, cluster, "s", "k", draws).filter("m IS NOT NULL")
     q = exact_quantiles(means, keys, "m", [0.025, 0.975])
     low = means.groupBy(*keys).agg((F.count_if(F.col("m") <= null_at) / F.count("*")).alias("p_low"))
     base = per.groupBy(*keys).agg((F.sum("s").cast("double") / F.sum("k")).alias("mean"), F.sum("k").alias("n"), F.count("*").alias("clusters"))
@@ -202,10 +194,7 @@ def top_lift(df: DataFrame, keys: list[str], score: str, label: str, quantile: f
 
 def bootstrap_lift(df: DataFrame, keys: list[str], row_id: str, score: str, label: str, draws: int) -> DataFrame:
     """Lift with a percentile interval over Poisson resamples of the rows."""
-    d = df.select(*keys, row_id, score, label, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    w = d.withColumn("w", poisson_weight(hash_uniform(F.col("draw"), F.col(row_id)))).filter("w > 0")
-    w = w.select(*keys, "draw", score, label, F.explode(F.sequence(F.lit(1), F.col("w")))).drop("col")
-    per = top_lift(w, [*keys, "draw"], score, label).filter("lift IS NOT NULL")
+    per = resample.draw_lift(df, keys, row_id, score, label, draws).filter("lift IS NOT NULL")
     q = exact_quantiles(per, keys, "lift", [0.025, 0.975])
     point = top_lift(df, keys, score, label)
     j = point.join(q.select(*keys, "q"), keys, "left") if keys else point.join(F.broadcast(q.select("q")), how="left")

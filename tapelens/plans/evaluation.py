@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapelens.operators import evaluation as ev
-from tapelens.operators import flow, hazard, labels, verdict
+from tapelens.operators import flow, hazard, labels, resample, verdict
 from tapelens.plans.graph import shape_frame
 from tapelens.operators import samples as samples_op
 from tapelens.plans.memory import ask_f, behavior, context, verdict_sql
@@ -439,14 +439,16 @@ def _(t):
 
 
 # ── bootstrap, lift, equivalence ─────────────────────────────────────────────
-DRAWS = 40
+DRAWS = 3000
+AUC_DRAWS = 500
+PARITY_DRAWS = 2000
 _u = "CAST(concat('0x', substr(md5(concat_ws('|', CAST({d} AS VARCHAR), CAST({c} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
 _cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
 
-def weights_sql(cluster_src: str, cluster: str) -> str:
+def weights_sql(cluster_src: str, cluster: str, draws: int = DRAWS) -> str:
     u = _u.format(d="draw", c=cluster)
-    return f"SELECT {cluster}, draw, " + " + ".join(f"(CASE WHEN u >= {c}::DOUBLE THEN 1 ELSE 0 END)" for c in _cuts) + f" AS w FROM (SELECT {cluster}, draw, {u} AS u FROM (SELECT DISTINCT {cluster} FROM {cluster_src}) CROSS JOIN (SELECT unnest(range(0, {DRAWS})) AS draw))"
+    return f"SELECT {cluster}, draw, " + " + ".join(f"(CASE WHEN u >= {c}::DOUBLE THEN 1 ELSE 0 END)" for c in _cuts) + f" AS w FROM (SELECT {cluster}, draw, {u} AS u FROM (SELECT DISTINCT {cluster} FROM {cluster_src}) CROSS JOIN (SELECT unnest(range(0, {draws})) AS draw))"
 
 
 @query("top_quintile_lift", "e", """SELECT n, n_top, base_rate, CASE WHEN n >= 20 AND n_top >= 5 AND k > 0 AND k < n THEN k_top / n_top - base_rate END AS lift FROM (
@@ -469,10 +471,10 @@ def _(t):
 @query("auc_cluster_bootstrap", sql=f"""SELECT count(*) AS draws, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.5), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS hi FROM (
  SELECT draw, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (2 * cneg + neg)) / (2 * sum(pos) * sum(neg)) END AS auc FROM (
   SELECT draw, score, pos, neg, coalesce(sum(neg) OVER (PARTITION BY draw ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cneg FROM (
-   SELECT w.draw, score, CAST(sum(CASE WHEN y = 1 THEN w.w ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN y = 0 THEN w.w ELSE 0 END) AS DOUBLE) AS neg FROM (SELECT c, score, y FROM t_scl) s JOIN ({weights_sql('t_scl', 'c')}) w USING (c) GROUP BY 1, 2)) GROUP BY 1) WHERE auc IS NOT NULL""")
+   SELECT w.draw, score, CAST(sum(CASE WHEN y = 1 THEN w.w ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN y = 0 THEN w.w ELSE 0 END) AS DOUBLE) AS neg FROM (SELECT c, score, y FROM t_scl) s JOIN ({weights_sql('t_scl', 'c', AUC_DRAWS)}) w USING (c) GROUP BY 1, 2)) GROUP BY 1) WHERE auc IS NOT NULL""")
 def _(t):
     s = samples(t).select((F.col("grad") % 211).alias("c"), "score", "y")
-    return ev.cluster_bootstrap_auc(s, "c", "score", "y", DRAWS)
+    return ev.cluster_bootstrap_auc(s, "c", "score", "y", AUC_DRAWS)
 
 
 cte("t_scl", "SELECT grad % 211 AS c, score, y FROM t_samples")
@@ -485,10 +487,7 @@ SELECT max(n) FILTER (arm = 0) AS na, max(n) FILTER (arm = 1) AS nb, max(lift) F
  SELECT arm, draw, sum(y) FILTER (score >= thr) / count(*) FILTER (score >= thr) - sum(y) / count(*) AS lift FROM t_warm JOIN (SELECT arm, draw, quantile_cont(score, 0.8) AS thr FROM t_warm GROUP BY 1, 2) USING (arm, draw) GROUP BY 1, 2) GROUP BY 1))""")
 def _(t):
     s = samples(t, samples_op.BOTH).withColumn("arm", (F.col("platform") == "mayhem").cast("int"))
-    d = s.select("arm", "sample_id", "score", "y", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
-    w = d.withColumn("w", ev.poisson_weight(ev.hash_uniform(F.col("draw"), F.col("sample_id")))).filter("w > 0")
-    w = w.select("arm", "draw", "score", "y", F.explode(F.sequence(F.lit(1), F.col("w")))).drop("col")
-    per = ev.top_lift(w, ["arm", "draw"], "score", "y").groupBy("draw").agg(
+    per = resample.draw_lift(s, ["arm"], "sample_id", "score", "y", DRAWS).groupBy("draw").agg(
         (F.max(F.when(F.col("arm") == 1, F.col("lift"))) - F.max(F.when(F.col("arm") == 0, F.col("lift")))).alias("d"))
     q = ev.exact_quantiles(per, [], "d", [0.025, 0.975]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     p = ev.top_lift(s, ["arm"], "score", "y")
@@ -547,13 +546,13 @@ def parity_rows(t):
 @query("source_parity", sql=f"""SELECT metric, n_ws, n_poll, round(ws, 6) AS ws, round(poll, 6) AS poll, CASE WHEN n_ws < 60 OR n_poll < 60 THEN 'SUSPENDED' WHEN lo > 0 OR hi < 0 THEN CASE WHEN abs(poll - ws) >= 0.2 THEN 'DIVERGENT' ELSE 'SMALL' END ELSE 'NONE' END AS verdict FROM (
 SELECT metric, count(*) FILTER (src = 'websocket') AS n_ws, count(*) FILTER (src = 'poll') AS n_poll, sum(v) FILTER (src = 'websocket') / count(*) FILTER (src = 'websocket') AS ws, sum(v) FILTER (src = 'poll') / count(*) FILTER (src = 'poll') AS poll FROM t_parl GROUP BY 1)
 JOIN (SELECT metric, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM (SELECT metric, draw, sum(v * w) FILTER (src = 'poll') / sum(w) FILTER (src = 'poll') - sum(v * w) FILTER (src = 'websocket') / sum(w) FILTER (src = 'websocket') AS d
- FROM t_parl JOIN ({weights_sql('t_par', 'token_mint')}) USING (token_mint) GROUP BY 1, 2) GROUP BY 1) USING (metric)""")
+ FROM t_parl JOIN ({weights_sql('t_par', 'token_mint', PARITY_DRAWS)}) USING (token_mint) GROUP BY 1, 2) GROUP BY 1) USING (metric)""")
 def _(t):
     p = parity_rows(t)
     long = p.select("token_mint", "src", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("collapsed", "exited")])))
-    w = long.join(ev.bootstrap_draws(p, "token_mint", DRAWS), "token_mint")
-    arm = lambda s: F.sum(F.when(F.col("src") == s, F.col("v") * F.col("w"))) / F.sum(F.when(F.col("src") == s, F.col("w")))
-    d = w.groupBy("metric", "draw").agg((arm("poll") - arm("websocket")).alias("d"))
+    means = resample.draw_means(long.withColumn("one", F.lit(1)), ["metric", "src"], "token_mint", "v", "one", PARITY_DRAWS)
+    arm = lambda s: F.max(F.when(F.col("src") == s, F.col("m")))
+    d = means.groupBy("metric", "draw").agg((arm("poll") - arm("websocket")).alias("d"))
     q = ev.exact_quantiles(d, ["metric"], "d", [0.025, 0.975]).select("metric", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     n = lambda s: F.count_if(F.col("src") == s)
     mean = lambda s: F.sum(F.when(F.col("src") == s, F.col("v"))) / n(s)
