@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from tapelens.session import stored
+
 #: Rows of one Arrow batch and bytes a Python step takes at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 #: Tasks whose tables one task adds up.
@@ -128,6 +130,7 @@ def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
         yield packed(total)
 
     n = parts.rdd.getNumPartitions()
+    parts = stored(parts, "parts")  # the scan runs with its own batches; one-row batches are for the arrays only
     with arrow_rows(parts.sparkSession, 1):
         while n > 1:
             n = -(-n // FAN_IN)
