@@ -18,3 +18,12 @@ def team_of(spark):
 def test_label_heads_count_zero_prices(spark, tape):
     r = labels.label_heads(labels.anchor_gated(labels.trajectory(market(tape), team_of(spark)))).first()
     assert (r.survive60, r.fastrug, r.survive60_censored) == (0, 1, 0)
+
+
+def test_person_periods_count_zero_prices(spark, tape):
+    df, team = market(tape), team_of(spark)
+    anchors = hazard.robust_anchor(df)
+    events = labels.trajectory(df, team).join(hazard.collapse_events(df, anchors), "token_mint", "left").select(
+        "token_mint", F.col("time_to_team_exit_s").alias("exit_s"), F.col("collapse_s").cast("double").alias("collapse_s"), F.col("tape_span_s").alias("span_s"))
+    rows = hazard.person_periods(hazard.edge_covariates(df, team, anchors), events).collect()
+    assert [(r.model, r.t_start, r.event) for r in rows] == [("B", 0, 1)]
