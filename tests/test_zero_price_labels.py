@@ -27,3 +27,9 @@ def test_person_periods_count_zero_prices(spark, tape):
         "token_mint", F.col("time_to_team_exit_s").alias("exit_s"), F.col("collapse_s").cast("double").alias("collapse_s"), F.col("tape_span_s").alias("span_s"))
     rows = hazard.person_periods(hazard.edge_covariates(df, team, anchors), events).collect()
     assert [(r.model, r.t_start, r.event) for r in rows] == [("B", 0, 1)]
+
+
+def test_final_trajectory_counts_zero_prices(spark, tape):
+    done = spark.createDataFrame([("m", 24, 1.0, 1.0, True)], checks.CHECKS)
+    r = checks.finalised(done, market(tape), team_of(spark)).first()
+    assert (r.n_price_points, r.time_to_collapse_s, r.collapsed) == (40, 20.0, 1)
