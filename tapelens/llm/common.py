@@ -114,11 +114,22 @@ def quality_labels(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
 
 
-def packed(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+def packed(total: np.ndarray, sparse: bool = False) -> pa.RecordBatch:
+    """One row with a compressed array; a sparse one as the bits of its entries that are not zero, then these entries."""
+    raw = np.packbits(total != 0).tobytes() + total[total != 0].tobytes() if sparse else total.tobytes()
+    return pa.RecordBatch.from_pydict({"part": pa.array([zstandard.compress(raw, 1)], pa.binary())})
 
 
-def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
+def unpacked(part: bytes, zero: np.ndarray, sparse: bool = False) -> np.ndarray:
+    raw = zstandard.decompress(part)
+    if not sparse:
+        return np.frombuffer(raw, zero.dtype)
+    out, bits = np.zeros_like(zero), -(-len(zero) // 8)
+    out[np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=len(zero)).view(bool)] = np.frombuffer(raw, zero.dtype, offset=bits)
+    return out
+
+
+def summed_parts(parts: DataFrame, add, zero: np.ndarray, sparse: bool = False) -> np.ndarray:
     """Combine arrays of one fixed size: no task adds up more than FAN_IN of them, then one array goes to the driver."""
     kind, size = zero.dtype, len(zero)
 
@@ -126,8 +137,8 @@ def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
         total = np.zeros(size, kind)
         for batch in batches:
             for row in batch.column(0):
-                total = add(total, np.frombuffer(zstandard.decompress(row.as_py()), kind))
-        yield packed(total)
+                total = add(total, unpacked(row.as_py(), total, sparse))
+        yield packed(total, sparse)
 
     n = parts.rdd.getNumPartitions()
     parts = stored(parts, "parts")  # the scan runs with its own batches; one-row batches are for the arrays only
@@ -136,5 +147,5 @@ def summed_parts(parts: DataFrame, add, zero: np.ndarray) -> np.ndarray:
             n = -(-n // FAN_IN)
             parts = parts.repartition(n).mapInArrow(combine, "part binary")
         for r in parts.collect():
-            zero = add(zero, np.frombuffer(zstandard.decompress(r.part), kind))
+            zero = add(zero, unpacked(r.part, zero, sparse))
     return zero

@@ -99,9 +99,9 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
                 if sets:
                     at, more = np.unique((np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.uint32), return_counts=True)
                     total[at] = np.minimum(total[at].astype(np.int64) + more, 65_535)
-        yield packed(total)
+        yield packed(total, sparse=True)
 
-    counts = summed_parts(pick(docs, text="text").mapInArrow(count, "part binary"), added, np.zeros(buckets, np.uint16))
+    counts = summed_parts(pick(docs, text="text").mapInArrow(count, "part binary"), added, np.zeros(buckets, np.uint16), sparse=True)
     return np.minimum(np.log2(np.arange(65_536) + 1) * 6, 255).astype(np.uint8)[counts]
 
 
@@ -142,7 +142,9 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 out[k].append(v)
         return out | {"doc_id": cols["doc_id"]}
 
-    return stored(arrow_map(pick(docs, doc_id="doc_id", text="text"), SIGNATURES, step), "signatures")
+    out = stored(arrow_map(pick(docs, doc_id="doc_id", text="text"), SIGNATURES, step), "signatures")
+    table.destroy()
+    return out
 
 
 def could_link(a: dict, b: dict, percent: int) -> np.ndarray:
@@ -210,11 +212,11 @@ def node_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """
     cell = ["token", "band"]
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / NODE)).cast("int")
-    nodes = members.groupBy(*cell, block.alias("block")).agg(
+    nodes = stored(members.groupBy(*cell, block.alias("block")).agg(
         F.collect_list(F.struct("doc_id", "size", "comp", "bitmap")).alias("members"),  # about NODE of them
-        F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.first("n").alias("n"))
+        F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.first("n").alias("n")), "signature-nodes")
     small = nodes.filter(F.col("n") <= NODE).select(*cell, F.col("members").alias("left"), F.lit(None).cast(nodes.schema["members"].dataType).alias("right"))
-    large = stored(nodes.filter(F.col("n") > NODE), "signature-nodes")
+    large = nodes.filter(F.col("n") > NODE)
     left = large.select(*cell, "block", "low", "high", "first", "last", F.col("members").alias("left"))
     right = large.select(*cell, F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"),
                          F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("members").alias("right"))
@@ -313,7 +315,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         return {"doc_id": [i for i, _ in picked], "body": [zstandard.compress((t or "").encode("utf-8", "surrogatepass"), 1) for _, t in picked]}
 
     texts = pick(docs, doc_id="doc_id", text="text")
-    bodies = stored(arrow_map(texts, pa.schema([("doc_id", pa.int64()), ("body", pa.binary())]), squeeze).distinct(), "jaccard-texts")
+    bodies = stored(arrow_map(texts, pa.schema([("doc_id", pa.int64()), ("body", pa.binary())]), squeeze), "jaccard-texts")
+    wanted.destroy()
+    if not bodies.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # only then are texts shuffled to drop repeated rows
+        bodies = stored(bodies.distinct(), "jaccard-texts")
     both = (pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
             .join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b"))
 
@@ -345,10 +350,12 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     reps = real.join(classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
     sig = stored(reps.dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "size", "prefix", "short", "bitmap"), "jaccard-reps")
 
+    # one shuffle serves the count of a token and the join with it, so both read the same columns
     tokens = sig.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "size", "short").select(
-        "token", "doc_id", "size", size_band(F.col("size"), percent).alias("own"), (F.col("at") < F.col("short")).alias("short"))
-    crowds = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "own")).alias("leader")).filter("n > 1").drop("n")
-    cells = stored(tokens.join(crowds, "token"), "jaccard-cells")
+        "token", "doc_id", "size", (F.col("at") < F.col("short")).alias("short")).repartition("token")
+    crowds = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "size", "short")).alias("first")).filter("n > 1").select(
+        "token", F.struct("first.doc_id", size_band(F.col("first.size"), percent).alias("own")).alias("leader"))
+    cells = stored(tokens.join(crowds, "token").withColumn("own", size_band(F.col("size"), percent)), "jaccard-cells")
     near = (F.col("doc_id") != F.col("leader.doc_id")) & (F.abs(F.col("own") - F.col("leader.own")) <= 1)
     stars = cells.filter(near).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     star_links = verified(bounded_pairs(stars, sig, percent), docs, n, percent)
