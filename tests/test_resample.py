@@ -1,5 +1,6 @@
 """Bootstrap vectors against loops over draws that copy every row by its weight."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -45,6 +46,16 @@ def test_weights_equal_the_column_form(spark):
         assert list(weights(r["id"])) == r["w"]
 
 
+def test_weights_of_any_length_and_draw():
+    draws, clusters = [b"%d" % d for d in (0, 9, 10, 99, 100, 1234)], [None, "", "7", "x" * 40, "x" * 50, "x" * 51, "x" * 53, "x" * 54, "x" * 70, "\u00fc" * 9]
+    got = resample.weight_rows(clusters, draws)
+    for i, c in enumerate(clusters):
+        for j, d in enumerate(draws):
+            text = d if c is None else d + b"|" + c.encode()
+            u = int(hashlib.md5(text).hexdigest()[:8], 16) / 2**32
+            assert got[i, j] == sum(u >= cut for cut in resample.CUTS)
+
+
 def test_auc_of_each_draw(spark, rows):
     got = {(r["g"], r["draw"]): r["auc"] for r in draw_auc(spark.createDataFrame(rows, ROWS).repartition(5), ["g"], "c", "s", "y", DRAWS).collect()}
     assert len(got) == 3 * DRAWS
@@ -67,6 +78,27 @@ def test_lift_of_each_draw(spark, rows):
         assert close(lift, want), (g, d)
 
 
+def test_lift_carries_few_vectors(spark, monkeypatch):
+    """Vectors leave the tasks for score bins and the scores near the quantile, not for every score."""
+    made, plain = [], resample.draw_sums
+
+    def counted(df, keys, draws):
+        out = plain(df, keys, draws)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(resample, "draw_sums", counted)
+    rows = [("a", i, i / 7, i % 3 == 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, c long, s double, y boolean").withColumn("y", F.col("y").cast("int")).repartition(4)
+    got = {r["draw"]: r["lift"] for r in draw_lift(df, ["g"], "c", "s", "y", DRAWS).collect()}
+    assert sum(made) < 1000
+    for d in range(DRAWS):
+        drawn = [(s, int(y)) for _, c, s, y in rows for _ in range(weights(c)[d])]
+        threshold = np.quantile([s for s, _ in drawn], 0.8)
+        top = [y for s, y in drawn if s >= threshold]
+        assert close(got[d], sum(top) / len(top) - sum(y for _, y in drawn) / len(drawn))
+
+
 def test_mean_of_each_draw(spark, rows):
     df = spark.createDataFrame(rows, ROWS).withColumn("one", F.lit(1))
     got = {(r["g"], r["draw"]): r["m"] for r in draw_means(df.repartition(5), ["g"], "c", "s", "one", DRAWS).collect()}
